@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +31,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def ship(df: DataFrame) -> None:
+    """Send this package to the Python workers, once a session (as ``--py-files`` would)."""
+    sc, root = df.sparkSession.sparkContext, Path(__file__).resolve().parents[1]
+    if getattr(sc, "_weft_shipped", False):
+        return
+    path = Path(tempfile.mkdtemp(prefix="weft-")) / f"{root.name}.zip"  # only the driver reads it: it serves the file to the workers
+    with zipfile.ZipFile(path, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, str(p.relative_to(root.parent)))
+    sc.addPyFile(str(path))
+    sc._weft_shipped = True
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z only. Pure ASCII strings take the fast built-in path."""
     return F.when(F.octet_length(c) == F.char_length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))

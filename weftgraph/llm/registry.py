@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import queries_native
+from . import queries_native, queries_python
 
-QUERIES = {**queries_native.QUERIES}
+QUERIES = {**queries_native.QUERIES, **queries_python.QUERIES}
 SQL = {**queries_native.SQL}
