@@ -2,7 +2,8 @@
 
 The lexicon is learned from labelled rows: a word's evidence is the number of distinct
 (word before, word) pairs it has in toxic and in clean documents, so that copies of one
-document count once, and its weight is the smoothed log odds. Matching is one Aho-Corasick
+document count once, and its weight is the smoothed log odds. Entries are whole words and word
+beginnings (compounds and inflections share those); a word counts by its best entry. Matching is one Aho-Corasick
 pass over the folded text (case, accents of look-alike letters from other scripts, digits
 and signs that stand for letters). Hits must be whole words; those covered by an exception
 phrase (a stated list, and word pairs learned from clean documents) do not count. The sum
@@ -33,10 +34,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import cut, ship
 
 SAMPLE, LEXICON, EXCEPTIONS = 20_000, 1_000, 1_000
 MIN_PAIRS, MIN_ODDS, MIN_CLEAN = 8, math.log(8), 5
+STEM = (5, 7)  # lengths of the word beginnings that may be entries
 PHRASES = ("trash can", "trash cans", "trash bin", "class clown", "clown fish", "pond scum", "stupid mistake of mine")
 
 _LOOKALIKE = dict(zip("аеорсухіјѕԁһӏνοαερτυικηωβ", "aeopcyxijsdhlvoaeptuiknwb")) | dict(zip("０１２３４５６７８９", "0123456789"))
@@ -73,29 +75,33 @@ class Model:
             return 0.0
         if self._auto is None:
             self._auto = ahocorasick.Automaton()
-            for w in self.weights:
-                self._auto.add_word(w, (len(w), True))
-            for p in self.exceptions:
-                self._auto.add_word(p, (len(p), False))
+            for key in {w.rstrip("*") for w in self.weights} | self.exceptions:
+                self._auto.add_word(key, (len(key), self.weights.get(key, 0.0), self.weights.get(key + "*", 0.0), key in self.exceptions))
             self._auto.make_automaton()
         t = fold(text)
-        hits, free, n = [], [], len(t)
-        for end, (size, bad) in self._auto.iter(t):
+        hits: dict[int, tuple[float, int]] = {}  # where a word starts: the highest weight there, and where that entry ends
+        free, n = [], len(t)
+        for end, (size, word, stem, good) in self._auto.iter(t):
             start = end - size + 1
-            if (start and t[start - 1].isalpha()) or (end + 1 < n and t[end + 1].isalpha()):
+            if start and t[start - 1].isalpha():
                 continue
-            (hits if bad else free).append((start, end))
+            inside = end + 1 < n and t[end + 1].isalpha()
+            if good and not inside:
+                free.append((start, end))
+            w = stem if inside else max(stem, word)
+            if w > hits.get(start, (0.0,))[0]:
+                hits[start] = (w, end)
         if not hits:
             return 0.0
         total, k = 0.0, 0
         free.sort()
         reach = -1
-        for a, b in hits:  # in order of their ends
+        for a in sorted(hits):
             while k < len(free) and free[k][0] <= a:
                 reach = max(reach, free[k][1])
                 k += 1
-            if reach < b:
-                total += self.weights[t[a : b + 1]]
+            if reach < hits[a][1]:
+                total += hits[a][0]
         return total / math.sqrt(1.0 + t.count(" ") / 100.0)
 
     def score(self, text: str | None) -> float:
@@ -124,8 +130,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic")
     pairs = rows.mapInPandas(_evidence, "before string, word string, toxic int").distinct()
     flag = lambda v: F.count_if(F.col("toxic") == v)
-    words = pairs.groupBy("word").agg(flag(1).alias("t"), flag(0).alias("c"))
-    n_t, n_c = words.agg(F.coalesce(F.sum("t"), F.lit(0)), F.coalesce(F.sum("c"), F.lit(0))).first()
+    pairs = cut(pairs)
+    stems = F.transform(F.sequence(F.lit(STEM[0]), F.least(F.lit(STEM[1]), F.length("word"))), lambda k: F.concat(F.substr("word", F.lit(1), k), F.lit("*")))
+    entries = pairs.select("toxic", F.explode(F.concat(F.array("word"), F.when(F.length("word") >= STEM[0], stems).otherwise(F.array().cast("array<string>")))).alias("word"))
+    words = entries.groupBy("word").agg(flag(1).alias("t"), flag(0).alias("c"))
+    n_t, n_c = pairs.agg(flag(1), flag(0)).first()
     if not n_t or not n_c:
         return Model()
     odds = F.log((F.col("t") + 0.5) / float(n_t)) - F.log((F.col("c") + 0.5) / float(n_c))
