@@ -5,7 +5,8 @@ only classes are compared. Every shingle has a place in several global orders: e
 first, by a hashed count over the whole corpus, and ties are broken by another permutation
 of the shingle hashes in each order. Two sets with Jaccard ``T`` or more share a shingle
 among the first ``n - ceil(T n) + 1`` of both under every order, so candidates are the pairs
-that pass the prefix and length filters of all orders; they are verified on the whole sets.
+that pass the prefix, length and positional filters of all orders. A parity bitmap of each
+set then bounds the overlap from above, and what is left is verified on the whole sets.
 An order is a function of the shingle alone, so coarse counts cost candidates, never links.
 
 What moves: prefix postings as packed blocks (not rows); narrow class and pair tables; the
@@ -56,13 +57,31 @@ def _sets(col: pa.Array, width: int) -> Iterator[tuple[int, np.ndarray]]:
             yield i + r, a
 
 
+def _bitmap(a: np.ndarray) -> bytes:
+    """Parities of the shingles by hash position, on at least twice as many bits as shingles."""
+    size = 1 << max(6, int(2 * len(a) - 1).bit_length())
+    n = np.bincount((a >> X.U(40)).astype(np.int64) & (size - 1), minlength=size)
+    return np.packbits((n & 1).astype(np.uint8)).tobytes()
+
+
+def bitmap_passes(x: bytes, y: bytes, n: int, m: int, percent: int) -> bool:
+    """Whether the sets behind two bitmaps may reach the threshold: a differing bit is a shingle that only one has."""
+    u, v = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    while len(u) > len(v):
+        u = u[: len(u) // 2] ^ u[len(u) // 2 :]
+    while len(v) > len(u):
+        v = v[: len(v) // 2] ^ v[len(v) // 2 :]
+    differ = int(np.bitwise_count(u ^ v).sum())
+    return 100 * ((n + m - differ) // 2) >= percent * (n + m - (n + m - differ) // 2)
+
+
 def shingle_sets(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """Per document (doc_id, n, digest of the set), and per task the hashed shingle counts in chunks (chunk, counts)."""
+    """Per document (doc_id, n, digest and bitmap of the set), and per task the hashed shingle counts in chunks (chunk, counts)."""
     ship(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, held, size = np.zeros(BUCKETS, np.uint32), [], 0
-        names = ["doc_id", "n", "digest", "chunk", "counts"]
+        names = ["doc_id", "n", "digest", "bits", "chunk", "counts"]
 
         def add() -> None:
             nonlocal held, size
@@ -72,24 +91,25 @@ def shingle_sets(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
         seen = False
         for b in batches:
-            n, digest = np.zeros(b.num_rows, np.int64), [None] * b.num_rows
+            n, digest, bits = np.zeros(b.num_rows, np.int64), [None] * b.num_rows, [None] * b.num_rows
             for r, a in _sets(b.column("text"), width):
                 n[r], digest[r] = len(a), hashlib.blake2b(a.tobytes(), digest_size=16).digest() if len(a) else b""
+                bits[r] = _bitmap(a) if len(a) else b""
                 held.append(a)
                 size += len(a)
                 if size > FLUSH:
                     add()
             none = pa.nulls(b.num_rows)
             seen = seen or b.num_rows > 0
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n), pa.array(digest, pa.binary()), none.cast(pa.int32()), none.cast(pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n), pa.array(digest, pa.binary()), pa.array(bits, pa.binary()), none.cast(pa.int32()), none.cast(pa.binary())], names=names)
         add()
         if seen:
             part = BUCKETS // CHUNKS
             packed = [zlib.compress(counts[k * part : (k + 1) * part].tobytes(), 1) for k in range(CHUNKS)]
             none = pa.nulls(CHUNKS)
-            yield pa.RecordBatch.from_arrays([none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.binary()), pa.array(range(CHUNKS), pa.int32()), pa.array(packed, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.binary()), none.cast(pa.binary()), pa.array(range(CHUNKS), pa.int32()), pa.array(packed, pa.binary())], names=names)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, digest binary, chunk int, counts binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, digest binary, bits binary, chunk int, counts binary")
 
 
 def _fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -114,8 +134,16 @@ def rarity(parts: DataFrame) -> np.ndarray:
     return out
 
 
+def _small(a: np.ndarray) -> bytes:
+    return a.astype(np.uint32 if len(a) and a.max() > 65535 else np.uint16).tobytes()
+
+
+def _wide(data: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(data, np.uint16 if len(data) == 2 * n else np.uint32).astype(np.int64)
+
+
 def prefix_postings(docs: DataFrame, rank: np.ndarray, parts: int, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """Packed blocks of prefix shingles: (part, keys, sizes, order, hashes, rows)."""
+    """Packed blocks of prefix shingles: a table of classes (keys, sizes) and postings (hashes, rows, places in the order)."""
     ship(docs)
     shared = docs.sparkSession.sparkContext.broadcast(rank)
 
@@ -126,24 +154,25 @@ def prefix_postings(docs: DataFrame, rank: np.ndarray, parts: int, width: int =
         def flush() -> pa.RecordBatch:
             keys = np.frombuffer(b"".join(k for k, _ in docs_), "V16")
             sizes = np.array([n for _, n in docs_], np.uint32)
-            cols: list[list] = [[], [], [], [], [], []]
+            cols: list[list] = [[], [], [], [], [], [], []]
             for o, held in enumerate(posts):
                 h = np.concatenate([a for _, a in held])
                 d = np.repeat(np.array([i for i, _ in held], np.uint32), [len(a) for _, a in held])
+                at = np.concatenate([np.arange(len(a), dtype=np.uint32) for _, a in held])
                 part = (h % X.U(parts)).astype(np.int64)
                 by = np.argsort(part, kind="stable")
-                h, d = (h[by] >> X.U(32)).astype(np.uint32), d[by]
+                h, d, at = (h[by] >> X.U(32)).astype(np.uint32), d[by], at[by]
                 edge = np.searchsorted(part[by], np.arange(parts + 1))
                 for p in range(parts):
                     if edge[p] == edge[p + 1]:
                         continue
                     use, local = np.unique(d[edge[p] : edge[p + 1]], return_inverse=True)
-                    for c, v in zip(cols, (p, o, keys[use].tobytes(), sizes[use].tobytes(), h[edge[p] : edge[p + 1]].tobytes(), local.astype(np.uint32 if len(use) > 65535 else np.uint16).tobytes())):
+                    for c, v in zip(cols, (p, o, keys[use].tobytes(), sizes[use].tobytes(), h[edge[p] : edge[p + 1]].tobytes(), _small(local), _small(at[edge[p] : edge[p + 1]]))):
                         c.append(v)
             docs_.clear()
             for held in posts:
                 held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[2:]]], names=["part", "ord", "keys", "sizes", "hashes", "rows"])
+            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[2:]]], names=["part", "ord", "keys", "sizes", "hashes", "rows", "places"])
 
         for b in batches:
             for _, a in _sets(b.column("text"), width):
@@ -155,7 +184,8 @@ def prefix_postings(docs: DataFrame, rank: np.ndarray, parts: int, width: int =
                 weight = rank[(a & X.U(BUCKETS - 1)).astype(np.int64)].astype(X.U) << X.U(56)
                 for o, salt in enumerate(ORDERS):
                     place = weight | ((X.mix(a ^ X.U(salt)) if salt else a) >> X.U(8))
-                    posts[o].append((len(docs_) - 1, a[np.argpartition(place, p - 1)[:p]] if p < n else a))
+                    first = np.argpartition(place, p - 1)[:p] if p < n else np.arange(n)
+                    posts[o].append((len(docs_) - 1, a[first[np.argsort(place[first])]]))
                 size += p
                 if size > FLUSH:
                     yield flush()
@@ -163,17 +193,17 @@ def prefix_postings(docs: DataFrame, rank: np.ndarray, parts: int, width: int =
         if docs_:
             yield flush()
 
-    return docs.select("text").mapInArrow(run, "part int, ord int, keys binary, sizes binary, hashes binary, rows binary")
+    return docs.select("text").mapInArrow(run, "part int, ord int, keys binary, sizes binary, hashes binary, rows binary, places binary")
 
 
 def _pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Pairs of classes that share a prefix shingle and pass the length filter, for the blocks of one partition."""
+    """Pairs of classes that share a prefix shingle and pass the length and positional filters, for the blocks of one partition."""
     held: dict[tuple[int, int], list] = {}
     for b in batches:
-        cols = [b.column(i).to_pylist() for i in range(6)]
-        for part, o, keys, sizes, hashes, rows in zip(*cols):
+        cols = [b.column(i).to_pylist() for i in range(7)]
+        for part, o, keys, sizes, hashes, rows, places in zip(*cols):
             k, n, h = np.frombuffer(keys, "V16"), np.frombuffer(sizes, np.uint32), np.frombuffer(hashes, np.uint32)
-            held.setdefault((part, o), []).append((k, n, h, np.frombuffer(rows, np.uint16 if len(rows) == 2 * len(h) else np.uint32)))
+            held.setdefault((part, o), []).append((k, n, h, _wide(rows, len(h)), _wide(places, len(h))))
     names = ["a", "b", "ord"]
     for (_, o), group in held.items():
         shift = np.concatenate([[0], np.cumsum([len(g[0]) for g in group])])
@@ -181,20 +211,24 @@ def _pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Recor
         _, first, code = np.unique(keys.view([("x", ">u8"), ("y", ">u8")]), return_index=True, return_inverse=True)
         keys, sizes = keys[first], sizes[first]
         h = np.concatenate([g[2] for g in group]).astype(np.int64)
-        d = code[np.concatenate([g[3].astype(np.int64) + s for g, s in zip(group, shift)])]
+        d = code[np.concatenate([g[3] + s for g, s in zip(group, shift)])]
         by_size = np.argsort(np.argsort(sizes, kind="stable"), kind="stable")  # place of each class by size
-        both = np.unique((h << 32) | by_size[d])
+        both, once = np.unique((h << 32) | by_size[d], return_index=True)
+        rest = np.concatenate([g[4] for g in group])[once]
         back = np.argsort(by_size)
         tok, cls = both >> 32, back[both & 0xFFFFFFFF]
         n = sizes[cls]
+        rest = n - rest  # members from this place on
         live, step, found, size = np.arange(len(tok) - 1), 1, [], 0
         while len(live):
             live = live[live + step < len(tok)]
             ok = (tok[live] == tok[live + step]) & (100 * n[live] >= percent * n[live + step])
             live = live[ok]  # further steps only leave the group or grow the other set
-            if len(live):
-                found.append((np.minimum(cls[live], cls[live + step]) << 32) | np.maximum(cls[live], cls[live + step]))
-                size += len(live)
+            # positional filter: true of the first shared shingle of every pair that links
+            near = live[(100 + percent) * np.minimum(rest[live], rest[live + step]) >= percent * (n[live] + n[live + step])]
+            if len(near):
+                found.append((np.minimum(cls[near], cls[near + step]) << 32) | np.maximum(cls[near], cls[near + step]))
+                size += len(near)
             step += 1
             if size > FLUSH:
                 found, size = [np.unique(np.concatenate(found))], 0
@@ -217,6 +251,19 @@ def candidates(docs: DataFrame, rank: np.ndarray, width: int = WIDTH, percent: i
     return pairs.groupBy("a", "b").agg(F.bit_or("ord").alias("passed")).where(F.col("passed") == (1 << len(ORDERS)) - 1).select("a", "b")
 
 
+def likely(pairs: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(a, b, n_a, n_b): the candidates by representative, without those that their bitmaps rule out."""
+    end = lambda x: classes.select(F.col("digest").alias(x), F.col("rep").alias(f"r_{x}"), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            ok = [bitmap_passes(x, y, n, m, percent) for x, y, n, m in zip(b["bits_a"], b["bits_b"], b["n_a"], b["n_b"])]
+            yield b.loc[ok, ["r_a", "r_b", "n_a", "n_b"]].rename(columns={"r_a": "a", "r_b": "b"})
+
+    both = pairs.join(end("a"), "a").join(end("b"), "b")
+    return both.select("r_a", "r_b", "n_a", "n_b", "bits_a", "bits_b").mapInPandas(run, "a long, b long, n_a long, n_b long")
+
+
 def _verify(batches: Iterator[pd.DataFrame], percent: int) -> Iterator[pd.DataFrame]:
     """Stream the rows of a block (texts' sets first, then pairs) and keep the pairs that link."""
     key, sets, out = None, {}, []
@@ -271,20 +318,18 @@ def verified(docs: DataFrame, pairs: DataFrame, width: int = WIDTH, percent: int
 def similar(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """Per document: doc_id, n_shingles, n_similar, component_id."""
     scan = cut(shingle_sets(docs, width))
-    sets = scan.where("chunk IS NULL").select("doc_id", "n", "digest").dropDuplicates(["doc_id"])
+    sets = scan.where("chunk IS NULL").select("doc_id", "n", "digest", "bits").dropDuplicates(["doc_id"])
     rank = rarity(scan.where("chunk IS NOT NULL").select("chunk", "counts"))
-    classes = cut(sets.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.max("n").alias("n")))
-    pairs = candidates(docs, rank, width, percent)
-    rep = classes.select("digest", "rep", "n")
-    named = pairs.join(rep.select(F.col("digest").alias("a"), F.col("rep").alias("ra"), F.col("n").alias("n_a")), "a").join(rep.select(F.col("digest").alias("b"), F.col("rep").alias("rb"), F.col("n").alias("n_b")), "b")
-    links = cut(verified(docs, named.select(F.col("ra").alias("a"), F.col("rb").alias("b"), "n_a", "n_b"), width, percent))
+    classes = cut(sets.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.max("n").alias("n"), F.max("bits").alias("bits")))
+    pairs = likely(candidates(docs, rank, width, percent), classes, percent)
+    links = cut(verified(docs, pairs, width, percent))
     ends = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     copies = classes.select(F.col("rep").alias("b"), "copies")
     linked = salted_join(ends, copies, ["b"], F.col("a"), "inner").groupBy("a").agg(F.sum("copies").alias("others"))
     comp = components(links)
     by_class = classes.join(linked, F.col("rep") == F.col("a"), "left").join(comp, F.col("rep") == F.col("node"), "left")
     by_class = by_class.select("digest", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("similar"), F.coalesce("component", "rep").alias("component"))
-    out = salted_join(sets, by_class, ["digest"], F.col("doc_id"))
+    out = salted_join(sets.drop("bits"), by_class, ["digest"], F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("similar", F.lit(0)).cast("long").alias("n_similar"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
