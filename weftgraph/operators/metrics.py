@@ -48,7 +48,7 @@ def list_hits(top: DataFrame, gold: DataFrame, known: DataFrame, task: list[str]
 
 def confusion(rows: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Precision, recall and F1 from columns ``actual`` and ``predicted`` (0 or 1)."""
-    c = rows.groupBy(*(by or [])).agg(F.count_if("actual = 1 AND predicted = 1").alias("tp"), F.count_if("actual = 0 AND predicted = 1").alias("fp"), F.count_if("actual = 1 AND predicted = 0").alias("fn"), F.count_if("actual = 0 AND predicted = 0").alias("tn"))
+    c = rows.groupBy(*(by or [])).agg(F.count_if(F.expr("actual = 1 AND predicted = 1")).alias("tp"), F.count_if(F.expr("actual = 0 AND predicted = 1")).alias("fp"), F.count_if(F.expr("actual = 1 AND predicted = 0")).alias("fn"), F.count_if(F.expr("actual = 0 AND predicted = 0")).alias("tn"))
     p, r = F.try_divide("tp", F.col("tp") + F.col("fp")), F.try_divide("tp", F.col("tp") + F.col("fn"))
     z = lambda x: F.round(F.coalesce(x, F.lit(0.0)), 6)
     return c.withColumns({"precision": z(p), "recall": z(r), "f1": z(F.try_divide(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")))})
@@ -60,12 +60,12 @@ def best_threshold(scored: DataFrame, by: list[str] | None = None) -> DataFrame:
     Counts per distinct score first, so the running sums are over scores, not rows.
     """
     by = by or []
-    s = scored.groupBy(*by, "score").agg(F.count_if("actual = 1").alias("p"), F.count_if("actual = 0").alias("q"))
+    s = scored.groupBy(*by, "score").agg(F.count_if(F.expr("actual = 1")).alias("p"), F.count_if(F.expr("actual = 0")).alias("q"))
     w = Window.partitionBy(*by).orderBy(F.desc("score"))
     r = s.withColumns({"tp": F.sum("p").over(w), "fp": F.sum("q").over(w)})
-    total = s.groupBy(*by).agg(F.sum("p").alias("P"), F.sum("q").alias("Q"))
+    total = s.groupBy(*by).agg(F.sum("p").alias("p_all"), F.sum("q").alias("q_all"))
     j = r.join(total, by) if by else r.crossJoin(F.broadcast(total))  # one row
-    acc = (F.col("tp") + F.col("Q") - F.col("fp")) / (F.col("P") + F.col("Q"))
+    acc = (F.col("tp") + F.col("q_all") - F.col("fp")) / (F.col("p_all") + F.col("q_all"))
     return j.groupBy(*by).agg(F.max_by("score", F.struct(acc, "score")).alias("threshold"), F.round(F.max(acc), 6).alias("accuracy"))
 
 
@@ -115,14 +115,14 @@ def compare_runs(a: DataFrame, b: DataFrame, task: list[str]) -> DataFrame:
 def divergence(p: DataFrame, q: DataFrame, key: str) -> DataFrame:
     """Kullback-Leibler divergence and Bhattacharyya coefficient of two count tables (key, n), with add-one smoothing."""
     j = p.select(key, F.col("n").alias("_p")).join(q.select(key, F.col("n").alias("_q")), key, "full_outer").select((F.coalesce("_p", F.lit(0)) + 1.0).alias("p"), (F.coalesce("_q", F.lit(0)) + 1.0).alias("q"))
-    total = j.agg(F.sum("p").alias("P"), F.sum("q").alias("Q"))
-    x, y = F.col("p") / F.col("P"), F.col("q") / F.col("Q")
+    total = j.agg(F.sum("p").alias("p_all"), F.sum("q").alias("q_all"))
+    x, y = F.col("p") / F.col("p_all"), F.col("q") / F.col("q_all")
     return j.crossJoin(F.broadcast(total)).agg(F.round(F.sum(x * F.log(x / y)), 6).alias("kl"), F.round(F.sum(F.sqrt(x * y)), 6).alias("bhattacharyya"))
 
 
 def chao(sizes: DataFrame) -> DataFrame:
     """Chao's richness estimate from (seen) counts: d + f1^2 / (2 f2)."""
-    a = sizes.agg(F.count("*").alias("d"), F.count_if("seen = 1").alias("f1"), F.count_if("seen = 2").alias("f2"))
+    a = sizes.agg(F.count("*").alias("d"), F.count_if(F.expr("seen = 1")).alias("f1"), F.count_if(F.expr("seen = 2")).alias("f2"))
     return a.select("d", F.round(F.col("d") + F.coalesce(F.try_divide(F.col("f1") * F.col("f1"), 2 * F.col("f2")), F.lit(0.0)), 6).alias("richness"))
 
 

@@ -37,9 +37,9 @@ def maximum(p: DataFrame, task: list[str]) -> DataFrame:
     return p.groupBy(*task, "candidate").agg(F.max("confidence").alias("score"), F.max_by("rule_id", F.struct("confidence", -F.col("rule_id"))).alias("rule_id"))
 
 
-def top(scored: DataFrame, task: list[str], k: int, by: str = "score", ascending: bool = False) -> DataFrame:
+def top(scored: DataFrame, task: list[str], k: int, by: str = "score", ascending: bool = False, item: str = "candidate") -> DataFrame:
     """The best k of each task with their rank. Spark limits each task's group before the shuffle."""
-    w = Window.partitionBy(*task).orderBy(F.asc(by) if ascending else F.desc(by), "candidate")
+    w = Window.partitionBy(*task).orderBy(F.asc(by) if ascending else F.desc(by), item)
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 

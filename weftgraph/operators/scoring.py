@@ -50,7 +50,7 @@ def rerank(run: DataFrame, queries: DataFrame, docs: DataFrame, alpha: float) ->
     q = queries.select(F.col("id").alias("qid"), F.col("vec").alias("qv"))
     d = docs.select(F.col("id").alias("doc"), F.col("vec").alias("dv"))
     j = run.join(q, "qid").join(d, "doc").select("qid", "doc", (alpha * kge.cosine(F.col("qv"), F.col("dv")) + (1 - alpha) * F.col("score")).alias("score"))
-    return ranking.top(j, ["qid"], 100)
+    return ranking.top(j, ["qid"], 100, item="doc")
 
 
 def bag_of_words(texts: DataFrame, vectors: DataFrame) -> DataFrame:

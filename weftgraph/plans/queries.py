@@ -485,7 +485,7 @@ def _(s, d):
     return rules.functionality(triples(s, d))
 
 
-@query("negative_pairs", f"{W}, {_SMALL}, at AS (SELECT r, t, count(*) AS n FROM sm GROUP BY r, t HAVING count(*) >= 10) SELECT a.r AS r1, a.t AS c1, a.n AS n1, b.r AS r2, b.t AS c2, b.n AS n2 FROM at a JOIN at b ON a.r < b.r WHERE (SELECT count(DISTINCT x.h) FROM sm x JOIN at q ON q.r = x.r AND q.t = x.t JOIN sm y ON y.h = x.h JOIN at w ON w.r = y.r AND w.t = y.t WHERE x.r = a.r AND y.r = b.r) >= 10 AND NOT EXISTS (SELECT 1 FROM sm x JOIN sm y ON x.h = y.h WHERE x.r = a.r AND x.t = a.t AND y.r = b.r AND y.t = b.t)")
+@query("negative_pairs", f"{W}, {_SMALL}, ato AS (SELECT r, t, count(*) AS n FROM sm GROUP BY r, t HAVING count(*) >= 10) SELECT a.r AS r1, a.t AS c1, a.n AS n1, b.r AS r2, b.t AS c2, b.n AS n2 FROM ato a JOIN ato b ON a.r < b.r WHERE (SELECT count(DISTINCT x.h) FROM sm x JOIN ato q ON q.r = x.r AND q.t = x.t JOIN sm y ON y.h = x.h JOIN ato w ON w.r = y.r AND w.t = y.t WHERE x.r = a.r AND y.r = b.r) >= 10 AND NOT EXISTS (SELECT 1 FROM sm x JOIN sm y ON x.h = y.h WHERE x.r = a.r AND x.t = a.t AND y.r = b.r AND y.t = b.t)")
 def _(s, d):
     return rules.negative_pairs(_small(s, d))
 
@@ -629,5 +629,5 @@ def _(s, d):
 
 @query("round_metrics", "WITH b AS (SELECT l_shipdate::DATE AS k, 60000 AS init, count(*) AS n, count(*) FILTER (WHERE l_quantity < 40) AS vc, count(*) FILTER (WHERE l_quantity < 20) AS cc FROM lineitem GROUP BY 1), a AS (SELECT avg(cc / n) AS c, avg(vc / n) AS v, sum(cc) / min(init) AS cov_c, sum(vc) / min(init) AS cov_v FROM b), r AS (SELECT round(c, 6) AS correctness, round(v, 6) AS consistency, round(cov_c, 6) AS coverage_c, round(cov_v, 6) AS coverage_v FROM a) SELECT r.*, round(2 * c * cov_c / (c + cov_c), 6) AS h_correctness, round(2 * v * cov_v / (v + cov_v), 6) AS h_consistency FROM r, a")
 def _(s, d):
-    b = read(s, d, "lineitem").groupBy(F.to_date("l_shipdate").alias("k")).agg(F.lit(60000).alias("init"), F.count("*").alias("n"), F.count_if("l_quantity < 40").alias("vc"), F.count_if("l_quantity < 20").alias("cc"))
+    b = read(s, d, "lineitem").groupBy(F.to_date("l_shipdate").alias("k")).agg(F.lit(60000).alias("init"), F.count("*").alias("n"), F.count_if(F.expr("l_quantity < 40")).alias("vc"), F.count_if(F.expr("l_quantity < 20")).alias("cc"))
     return metrics.rounds(b)
