@@ -10,9 +10,11 @@ set then bounds the overlap from above, and what is left is verified on the whol
 An order is a function of the shingle alone, so coarse counts cost candidates, never links.
 
 What moves: prefix postings as packed blocks (not rows); narrow class and pair tables; the
-texts of documents that have a candidate, once. Verification works on connected candidate
+packed sets of documents that have a candidate. Verification works on connected candidate
 groups; a group with more than ``BLOCK`` shingles is cut into block pairs, so no task holds
-an unbounded group. Nothing of corpus size is broadcast: the counts are ``BUCKETS`` bytes.
+an unbounded group. Nothing of corpus size is broadcast: the counts are ``BUCKETS`` bytes and the
+membership table of candidates ``MEMBERS`` bits. Coarser counts and a fuller table cost
+candidates and traffic, never links.
 
 Edge cases: null and empty texts, or texts without words, have no shingles, no links and
 themselves as component; with fewer words than a shingle the whole sequence is one shingle;
@@ -38,9 +40,10 @@ from .graph import components
 
 WIDTH, PERCENT = 2, 60
 ORDERS = (0x0, 0xA24BAED4963EE407)
-BUCKETS, CHUNKS = 1 << 22, 16
+BUCKETS, CHUNKS = 1 << 25, 16
 BLOCK = 1 << 21
 FLUSH = 1 << 20
+MEMBERS = 1 << 24
 
 
 def _sets(col: pa.Array, width: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -57,6 +60,10 @@ def _sets(col: pa.Array, width: int) -> Iterator[tuple[int, np.ndarray]]:
             yield i + r, a
 
 
+def _digest(a: np.ndarray) -> bytes:
+    return hashlib.blake2b(a.tobytes(), digest_size=16).digest()
+
+
 def _bitmap(a: np.ndarray) -> bytes:
     """Parities of the shingles by hash position, on at least twice as many bits as shingles."""
     size = 1 << max(6, int(2 * len(a) - 1).bit_length())
@@ -80,20 +87,21 @@ def shingle_sets(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     ship(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, held, size = np.zeros(BUCKETS, np.uint32), [], 0
-        names = ["doc_id", "n", "digest", "bits", "chunk", "counts"]
+        counts, held, size = np.zeros(BUCKETS, np.uint16), [], 0
+        names = ["doc_id", "n", "digest", "key", "bits", "chunk", "counts"]
 
         def add() -> None:
             nonlocal held, size
             if held:
-                counts[:] += np.bincount((np.concatenate(held) & X.U(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS).astype(np.uint32)
+                at, n = np.unique((np.concatenate(held) & X.U(BUCKETS - 1)).astype(np.uint32), return_counts=True)
+                counts[at] = np.minimum(counts[at] + n, 65535)
             held, size = [], 0
 
         seen = False
         for b in batches:
             n, digest, bits = np.zeros(b.num_rows, np.int64), [None] * b.num_rows, [None] * b.num_rows
             for r, a in _sets(b.column("text"), width):
-                n[r], digest[r] = len(a), hashlib.blake2b(a.tobytes(), digest_size=16).digest() if len(a) else b""
+                n[r], digest[r] = len(a), _digest(a) if len(a) else b""
                 bits[r] = _bitmap(a) if len(a) else b""
                 held.append(a)
                 size += len(a)
@@ -101,24 +109,25 @@ def shingle_sets(docs: DataFrame, width: int = WIDTH) -> DataFrame:
                     add()
             none = pa.nulls(b.num_rows)
             seen = seen or b.num_rows > 0
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n), pa.array(digest, pa.binary()), pa.array(bits, pa.binary()), none.cast(pa.int32()), none.cast(pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n), pa.array(digest, pa.binary()), pa.array([int.from_bytes(x[:8], "little", signed=True) for x in digest], pa.int64()), pa.array(bits, pa.binary()), none.cast(pa.int32()), none.cast(pa.binary())], names=names)
         add()
         if seen:
             part = BUCKETS // CHUNKS
             packed = [zlib.compress(counts[k * part : (k + 1) * part].tobytes(), 1) for k in range(CHUNKS)]
             none = pa.nulls(CHUNKS)
-            yield pa.RecordBatch.from_arrays([none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.binary()), none.cast(pa.binary()), pa.array(range(CHUNKS), pa.int32()), pa.array(packed, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.binary()), none.cast(pa.int64()), none.cast(pa.binary()), pa.array(range(CHUNKS), pa.int32()), pa.array(packed, pa.binary())], names=names)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, digest binary, bits binary, chunk int, counts binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, digest binary, key long, bits binary, chunk int, counts binary")
 
 
-def _fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _fold(batches: Iterator[pd.DataFrame], summed: bool) -> Iterator[pd.DataFrame]:
     """Sum the count chunks of a partition while they stream by."""
     total: dict[int, np.ndarray] = {}
     for b in batches:
         for k, c in zip(b["chunk"], b["counts"]):
-            a = np.frombuffer(zlib.decompress(c), np.uint32)
-            total[k] = np.minimum(total[k].astype(np.uint64) + a, 0xFFFFFFFF).astype(np.uint32) if k in total else a
+            a = np.frombuffer(zlib.decompress(c), np.uint32 if summed else np.uint16)
+            total.setdefault(k, np.zeros(len(a), np.uint32))
+            np.minimum(total[k].astype(np.uint64) + a, 0xFFFFFFFF, out=total[k], casting="unsafe")
     if total:
         yield pd.DataFrame({"chunk": list(total), "counts": [zlib.compress(a.tobytes(), 1) for a in total.values()]})
 
@@ -126,10 +135,10 @@ def _fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def rarity(parts: DataFrame) -> np.ndarray:
     """For each hash bucket the rounded logarithm of its count: ``BUCKETS`` bytes whatever the corpus."""
     schema = "chunk int, counts binary"
-    once = parts.withColumn("s", F.pmod(F.xxhash64("counts"), F.lit(8))).repartition(CHUNKS * 2, "chunk", "s").select("chunk", "counts").mapInPandas(_fold, schema)
+    once = parts.withColumn("s", F.pmod(F.xxhash64("counts"), F.lit(8))).repartition(CHUNKS * 2, "chunk", "s").select("chunk", "counts").mapInPandas(lambda x: _fold(x, False), schema)
     out = np.zeros(BUCKETS, np.uint8)
     part = BUCKETS // CHUNKS
-    for r in once.repartition(CHUNKS, "chunk").mapInPandas(_fold, schema).collect():
+    for r in once.repartition(CHUNKS, "chunk").mapInPandas(lambda x: _fold(x, True), schema).toLocalIterator():
         out[r["chunk"] * part : (r["chunk"] + 1) * part] = np.minimum(255, np.round(8 * np.log2(1.0 + np.frombuffer(zlib.decompress(r["counts"]), np.uint32))))
     return out
 
@@ -152,7 +161,7 @@ def prefix_postings(docs: DataFrame, rank: np.ndarray, parts: int, width: int =
         docs_, posts, size = [], [[] for _ in ORDERS], 0
 
         def flush() -> pa.RecordBatch:
-            keys = np.frombuffer(b"".join(k for k, _ in docs_), "V16")
+            keys = np.frombuffer(b"".join(k for k, _ in docs_), np.int64)
             sizes = np.array([n for _, n in docs_], np.uint32)
             cols: list[list] = [[], [], [], [], [], [], []]
             for o, held in enumerate(posts):
@@ -180,7 +189,7 @@ def prefix_postings(docs: DataFrame, rank: np.ndarray, parts: int, width: int =
                 if not n:
                     continue
                 p = n - (-(-percent * n // 100)) + 1
-                docs_.append((hashlib.blake2b(a.tobytes(), digest_size=16).digest(), n))
+                docs_.append((_digest(a)[:8], n))
                 weight = rank[(a & X.U(BUCKETS - 1)).astype(np.int64)].astype(X.U) << X.U(56)
                 for o, salt in enumerate(ORDERS):
                     place = weight | ((X.mix(a ^ X.U(salt)) if salt else a) >> X.U(8))
@@ -202,14 +211,14 @@ def _pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Recor
     for b in batches:
         cols = [b.column(i).to_pylist() for i in range(7)]
         for part, o, keys, sizes, hashes, rows, places in zip(*cols):
-            k, n, h = np.frombuffer(keys, "V16"), np.frombuffer(sizes, np.uint32), np.frombuffer(hashes, np.uint32)
+            k, n, h = np.frombuffer(keys, np.int64), np.frombuffer(sizes, np.uint32), np.frombuffer(hashes, np.uint32)
             held.setdefault((part, o), []).append((k, n, h, _wide(rows, len(h)), _wide(places, len(h))))
     names = ["a", "b", "ord"]
     for (_, o), group in held.items():
         shift = np.concatenate([[0], np.cumsum([len(g[0]) for g in group])])
         keys, sizes = np.concatenate([g[0] for g in group]), np.concatenate([g[1] for g in group]).astype(np.int64)
-        _, first, code = np.unique(keys.view([("x", ">u8"), ("y", ">u8")]), return_index=True, return_inverse=True)
-        keys, sizes = keys[first], sizes[first]
+        keys, first, code = np.unique(keys, return_index=True, return_inverse=True)
+        sizes = sizes[first]
         h = np.concatenate([g[2] for g in group]).astype(np.int64)
         d = code[np.concatenate([g[3] + s for g, s in zip(group, shift)])]
         by_size = np.argsort(np.argsort(sizes, kind="stable"), kind="stable")  # place of each class by size
@@ -239,21 +248,21 @@ def _pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Recor
 
 
 def _named(pairs: np.ndarray, keys: np.ndarray, o: int, names: list[str]) -> pa.RecordBatch:
-    a, b = keys[pairs >> 32].tolist(), keys[pairs & 0xFFFFFFFF].tolist()
-    return pa.RecordBatch.from_arrays([pa.array([min(x, y) for x, y in zip(a, b)], pa.binary()), pa.array([max(x, y) for x, y in zip(a, b)], pa.binary()), pa.array(np.full(len(a), 1 << o, np.int32))], names=names)
+    a, b = keys[pairs >> 32], keys[pairs & 0xFFFFFFFF]
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(np.full(len(a), 1 << o, np.int32))], names=names)
 
 
 def candidates(docs: DataFrame, rank: np.ndarray, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """(a, b): digests of class pairs that pass the filters of every order."""
+    """(a, b): keys (the first 8 bytes of the digests) of class pairs that pass the filters of every order."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     posts = prefix_postings(docs, rank, parts, width, percent)
-    pairs = posts.repartition(parts, "part").mapInArrow(lambda x: _pairs(x, percent), "a binary, b binary, ord int")
+    pairs = posts.repartition(parts, "part").mapInArrow(lambda x: _pairs(x, percent), "a long, b long, ord int")
     return pairs.groupBy("a", "b").agg(F.bit_or("ord").alias("passed")).where(F.col("passed") == (1 << len(ORDERS)) - 1).select("a", "b")
 
 
 def likely(pairs: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(a, b, n_a, n_b): the candidates by representative, without those that their bitmaps rule out."""
-    end = lambda x: classes.select(F.col("digest").alias(x), F.col("rep").alias(f"r_{x}"), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"))
+    end = lambda x: classes.select(F.col("key").alias(x), F.col("rep").alias(f"r_{x}"), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -287,6 +296,31 @@ def _verify(batches: Iterator[pd.DataFrame], percent: int) -> Iterator[pd.DataFr
             out = []
 
 
+def _slot(ids: np.ndarray) -> np.ndarray:
+    return (X.mix(ids.astype(np.int64).view(X.U)) & X.U(MEMBERS - 1)).astype(np.int64)
+
+
+def _members(nodes: DataFrame) -> np.ndarray:
+    """A hashed membership table of ``MEMBERS`` entries: no node is missed, few others pass."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = np.zeros(MEMBERS, bool)
+        for b in batches:
+            t[_slot(np.asarray(b.column(0)))] = True
+        if t.any():
+            yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(np.packbits(t).tobytes(), 1)], pa.binary())], names=["t"])
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = np.zeros(MEMBERS // 8, np.uint8)
+        for b in batches:
+            for x in b.column(0):
+                t |= np.frombuffer(zlib.decompress(x.as_py()), np.uint8)
+        yield pa.RecordBatch.from_arrays([pa.array([t.tobytes()], pa.binary())], names=["t"])
+
+    rows = nodes.select("node").mapInArrow(run, "t binary").repartition(1).mapInArrow(fold, "t binary").collect()  # one row
+    return np.unpackbits(np.frombuffer(rows[0]["t"], np.uint8)).astype(bool) if rows else np.zeros(MEMBERS, bool)
+
+
 def verified(docs: DataFrame, pairs: DataFrame, width: int = WIDTH, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
     """(a, b) of ``pairs`` (with set sizes n_a, n_b) whose whole sets reach the threshold."""
     ship(docs)
@@ -297,15 +331,17 @@ def verified(docs: DataFrame, pairs: DataFrame, width: int = WIDTH, percent: int
     size = nodes.groupBy("component").agg(F.greatest(F.lit(1), F.ceil(F.sum("n") / F.lit(block))).cast("int").alias("g"))
     nodes = cut(salted_join(nodes, size, ["component"], F.col("node"), "inner").withColumn("cell", F.pmod(F.xxhash64("node"), F.col("g")).cast("int")))
 
+    member = docs.sparkSession.sparkContext.broadcast(_members(nodes))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            data = [None] * b.num_rows
-            for r, a in _sets(b.column("text"), width):
-                data[r] = a.tobytes()
-            yield pa.RecordBatch.from_arrays([b.column("node"), b.column("component"), b.column("cell"), b.column("g"), pa.array(data, pa.binary())], names=["node", "component", "cell", "g", "data"])
+            b = b.filter(pa.array(member.value[_slot(np.asarray(b.column("node").fill_null(0)))]))
+            for part in (b.slice(i, 1000) for i in range(0, b.num_rows, 1000)):
+                data = [a.tobytes() for _, a in _sets(part.column("text"), width)]
+                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(data, pa.binary())], names=["node", "data"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(nodes.select("node", "component", "cell", "g").hint("shuffle_hash"), "node")
-    sets = texts.mapInArrow(run, "node long, component long, cell int, g int, data binary")
+    packed = docs.select(F.col("doc_id").cast("long").alias("node"), "text").mapInArrow(run, "node long, data binary")
+    sets = packed.join(nodes.select("node", "component", "cell", "g").hint("shuffle_hash"), "node")
     mates = F.explode(F.sequence(F.lit(0), F.col("g") - 1))
     left = sets.withColumn("o", mates).select(F.col("component").alias("comp"), F.least("cell", "o").alias("i"), F.greatest("cell", "o").alias("j"), F.lit(0).alias("kind"), F.col("node").alias("x"), F.lit(0).cast("long").alias("y"), "data")
     where = nodes.select("node", "component", "cell")
@@ -318,9 +354,9 @@ def verified(docs: DataFrame, pairs: DataFrame, width: int = WIDTH, percent: int
 def similar(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """Per document: doc_id, n_shingles, n_similar, component_id."""
     scan = cut(shingle_sets(docs, width))
-    sets = scan.where("chunk IS NULL").select("doc_id", "n", "digest", "bits").dropDuplicates(["doc_id"])
+    sets = scan.where("chunk IS NULL").select("doc_id", "n", "digest", "key", "bits").dropDuplicates(["doc_id"])
     rank = rarity(scan.where("chunk IS NOT NULL").select("chunk", "counts"))
-    classes = cut(sets.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.max("n").alias("n"), F.max("bits").alias("bits")))
+    classes = cut(sets.where("n > 0").groupBy("digest", "key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.max("n").alias("n"), F.max("bits").alias("bits")))
     pairs = likely(candidates(docs, rank, width, percent), classes, percent)
     links = cut(verified(docs, pairs, width, percent))
     ends = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -329,7 +365,7 @@ def similar(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> Data
     comp = components(links)
     by_class = classes.join(linked, F.col("rep") == F.col("a"), "left").join(comp, F.col("rep") == F.col("node"), "left")
     by_class = by_class.select("digest", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("similar"), F.coalesce("component", "rep").alias("component"))
-    out = salted_join(sets.drop("bits"), by_class, ["digest"], F.col("doc_id"))
+    out = salted_join(sets.drop("bits", "key"), by_class, ["digest"], F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("similar", F.lit(0)).cast("long").alias("n_similar"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
