@@ -44,6 +44,9 @@ LABELLED = [
     ((4, 0.0, 3, 1.0, 2, 1.0, 0, 0, 1), 0), ((30, 0.9, 10, 0.9, 10, 0.9, 0, 0, 0), 0), ((7, 0.0, 12, 0.9, 3, 0.9, 0, 0, 0), 0), ((3, 0.0, 0, 0.0, 1, 1.0, 0, 0, 0), 0),
     ((11, 0.0, 9, 0.0, 48, 0.0, 0, 1, 1), 1), ((48, 0.0, 11, 0.0, 33, 0.0, 0, 1, 0), 1), ((33, 0.0, 48, 0.0, 5, 0.0, 0, 1, 0), 1), ((5, 0.0, 33, 0.0, 10, 0.0, 0, 1, 0), 1),
     ((1, 0.0, 20, 0.0, 10, 0.0, 0, 1, 0), 1), ((1, 1.0, 40, 0.0, 30, 0.0, 0, 1, 0), 1), ((40, 0.5, 40, 0.0, 30, 0.0, 0, 1, 0), 1), ((2, 0.0, 1, 0.0, 1, 0.0, 0, 1, 0), 1),
+    ((5, 0.0, 0, 0.0, 20, 0.0, 0, 1, 0), 1), ((2, 0.0, 0, 0.0, 0, 0.0, 0, 1, 0), 1), ((11, 0.0, 0, 0.0, 3, 0.0, 0, 1, 1), 1), ((3, 0.0, 1, 1.0, 2, 0.0, 0, 1, 0), 1),
+    ((8, 0.0, 1, 1.0, 5, 0.0, 0, 1, 1), 1), ((12, 0.0, 3, 1.0, 40, 0.0, 0, 1, 0), 1), ((6, 0.0, 30, 0.0, 2, 1.0, 0, 1, 0), 1), ((2, 1.0, 2, 1.0, 2, 1.0, 0, 1, 0), 1),
+    ((50, 0.3, 2, 1.0, 10, 0.0, 0, 1, 0), 1), ((4, 0.0, 1, 1.0, 1, 1.0, 0, 1, 0), 1), ((90, 0.0, 1, 1.0, 8, 0.0, 0, 1, 0), 1), ((1, 1.0, 0, 0.0, 1, 1.0, 0, 1, 0), 1),
     ((60, 0.0, 4, 1.0, 55, 0.0, 0, 0, 0), 1), ((45, 0.1, 60, 0.0, 3, 1.0, 0, 0, 0), 1), ((30, 0.0, 50, 0.0, 40, 0.0, 0, 0, 0), 1), ((9, 0.0, 5, 1.0, 60, 0.0, 0, 0, 1), 1),
     ((12, 0.0, 50, 0.0, 45, 0.0, 0, 0, 0), 1), ((25, 0.2, 25, 0.1, 30, 0.0, 0, 0, 0), 1), ((90, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0), 1), ((8, 0.0, 40, 0.0, 35, 0.1, 0, 0, 1), 1),
 ]
