@@ -31,6 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,10 +41,10 @@ from .graph import components
 
 WIDTH, PERCENT = 2, 60
 ORDERS = (0x0, 0xA24BAED4963EE407)
-BUCKETS, CHUNKS = 1 << 25, 16
+BUCKETS, CHUNKS = 1 << 24, 16
 BLOCK = 1 << 21
 FLUSH = 1 << 20
-MEMBERS = 1 << 24
+MEMBERS = 1 << 22
 
 
 def _sets(col: pa.Array, width: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -151,10 +152,9 @@ def _wide(data: bytes, n: int) -> np.ndarray:
     return np.frombuffer(data, np.uint16 if len(data) == 2 * n else np.uint32).astype(np.int64)
 
 
-def prefix_postings(docs: DataFrame, rank: np.ndarray, parts: int, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+def prefix_postings(docs: DataFrame, shared: Broadcast, parts: int, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """Packed blocks of prefix shingles: a table of classes (keys, sizes) and postings (hashes, rows, places in the order)."""
     ship(docs)
-    shared = docs.sparkSession.sparkContext.broadcast(rank)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank = shared.value
@@ -252,7 +252,7 @@ def _named(pairs: np.ndarray, keys: np.ndarray, o: int, names: list[str]) -> pa.
     return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(np.full(len(a), 1 << o, np.int32))], names=names)
 
 
-def candidates(docs: DataFrame, rank: np.ndarray, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+def candidates(docs: DataFrame, rank: Broadcast, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """(a, b): keys (the first 8 bytes of the digests) of class pairs that pass the filters of every order."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     posts = prefix_postings(docs, rank, parts, width, percent)
@@ -300,8 +300,13 @@ def _slot(ids: np.ndarray) -> np.ndarray:
     return (X.mix(ids.astype(np.int64).view(X.U)) & X.U(MEMBERS - 1)).astype(np.int64)
 
 
+def _is_member(bits: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    s = _slot(ids)
+    return (bits[s >> 3] >> (7 - (s & 7)).astype(np.uint8)) & 1 == 1
+
+
 def _members(nodes: DataFrame) -> np.ndarray:
-    """A hashed membership table of ``MEMBERS`` entries: no node is missed, few others pass."""
+    """A hashed membership table of ``MEMBERS`` bits: no node is missed, few others pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = np.zeros(MEMBERS, bool)
@@ -318,7 +323,7 @@ def _members(nodes: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array([t.tobytes()], pa.binary())], names=["t"])
 
     rows = nodes.select("node").mapInArrow(run, "t binary").repartition(1).mapInArrow(fold, "t binary").collect()  # one row
-    return np.unpackbits(np.frombuffer(rows[0]["t"], np.uint8)).astype(bool) if rows else np.zeros(MEMBERS, bool)
+    return np.frombuffer(bytes(rows[0]["t"]), np.uint8) if rows else np.zeros(MEMBERS // 8, np.uint8)
 
 
 def verified(docs: DataFrame, pairs: DataFrame, width: int = WIDTH, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
@@ -335,7 +340,7 @@ def verified(docs: DataFrame, pairs: DataFrame, width: int = WIDTH, percent: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            b = b.filter(pa.array(member.value[_slot(np.asarray(b.column("node").fill_null(0)))]))
+            b = b.filter(pa.array(_is_member(member.value, np.asarray(b.column("node").fill_null(0)))))
             for part in (b.slice(i, 1000) for i in range(0, b.num_rows, 1000)):
                 data = [a.tobytes() for _, a in _sets(part.column("text"), width)]
                 yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(data, pa.binary())], names=["node", "data"])
@@ -355,10 +360,11 @@ def similar(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> Data
     """Per document: doc_id, n_shingles, n_similar, component_id."""
     scan = cut(shingle_sets(docs, width))
     sets = scan.where("chunk IS NULL").select("doc_id", "n", "digest", "key", "bits").dropDuplicates(["doc_id"])
-    rank = rarity(scan.where("chunk IS NOT NULL").select("chunk", "counts"))
+    rank = docs.sparkSession.sparkContext.broadcast(rarity(scan.where("chunk IS NOT NULL").select("chunk", "counts")))
     classes = cut(sets.where("n > 0").groupBy("digest", "key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.max("n").alias("n"), F.max("bits").alias("bits")))
     pairs = likely(candidates(docs, rank, width, percent), classes, percent)
     links = cut(verified(docs, pairs, width, percent))
+    rank.destroy()  # all that needed it is in checkpoints
     ends = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     copies = classes.select(F.col("rep").alias("b"), "copies")
     linked = salted_join(ends, copies, ["b"], F.col("a"), "inner").groupBy("a").agg(F.sum("copies").alias("others"))
