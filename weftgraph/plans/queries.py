@@ -357,7 +357,7 @@ def _(s, d):
 
 # --- rules ---
 
-_BODY = [("placedBy", 1, "locatedIn", 1), ("contains", 1, "suppliedBy", 1), ("shippedBy", 1, "locatedIn", 1), ("shippedBy", 1, "suppliedBy", 0)]
+_BODY = [("placedBy", 1, "locatedIn", 1), ("contains", 1, "suppliedBy", 1), ("shippedBy", 1, "locatedIn", 1)]
 _EDGES = ", ed AS (SELECT r, 1 AS d, h AS x, t AS y FROM kg UNION ALL SELECT r, 0, t, h FROM kg)"
 _BV = "(VALUES " + ", ".join(f"('{a}', {b}, '{c}', {e})" for a, b, c, e in _BODY) + ") q(r1, d1, r2, d2)"
 _CH = f"{_EDGES}, ch AS (SELECT DISTINCT q.r1, q.d1, q.r2, q.d2, a.x, b.y FROM {_BV} JOIN ed a ON a.r = q.r1 AND a.d = q.d1 JOIN ed b ON b.r = q.r2 AND b.d = q.d2 AND b.x = a.y WHERE a.x <> b.y AND a.x <> a.y AND b.x <> b.y)"
@@ -596,9 +596,9 @@ def _(s, d):
     return metrics.best_threshold(_scored_labels(s, d).withColumn("score", F.round("score", 4)), ["label"])
 
 
-@query("threshold_grid", f"WITH {_LAB}, g AS (SELECT label, threshold, count(*) FILTER (WHERE actual = 1 AND score * 100 >= threshold) AS tp, count(*) FILTER (WHERE actual = 0 AND score * 100 >= threshold) AS fp, count(*) FILTER (WHERE actual = 1 AND score * 100 < threshold) AS fn FROM lb, (SELECT unnest(range(6, 43, 4)) AS threshold) GROUP BY 1, 2) SELECT threshold, round(avg(round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 6)), 6) AS macro_f1 FROM g GROUP BY threshold")
+@query("threshold_grid", f"WITH {_LAB}, g AS (SELECT label, threshold, count(*) FILTER (WHERE actual = 1 AND score * 100 >= threshold) AS tp, count(*) FILTER (WHERE actual = 0 AND score * 100 >= threshold) AS fp, count(*) FILTER (WHERE actual = 1 AND score * 100 < threshold) AS fn FROM lb, (SELECT unnest(range(6, 43, 4)) AS threshold) GROUP BY 1, 2) SELECT threshold, round(avg(round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 6)), 4) AS macro_f1 FROM g GROUP BY threshold")
 def _(s, d):
-    return metrics.threshold_grid(_scored_labels(s, d), "label", 6, 42, 4).withColumn("threshold", F.col("threshold").cast("long"))
+    return metrics.threshold_grid(_scored_labels(s, d), "label", 6, 42, 4).select(F.col("threshold").cast("long").alias("threshold"), F.round("macro_f1", 4).alias("macro_f1"))
 
 
 @query("ndcg", f"{_RANKED}, ga AS (SELECT DISTINCT h AS qid, candidate AS doc, 1 AS gain FROM tr), rn AS (SELECT h AS qid, candidate AS doc, row_number() OVER (PARTITION BY h ORDER BY score DESC, candidate) AS rank FROM sc), id AS (SELECT qid, sum(gain / log2(i + 1)) AS v FROM (SELECT qid, gain, row_number() OVER (PARTITION BY qid ORDER BY gain DESC, doc) AS i FROM ga) WHERE i <= 10 GROUP BY qid), go AS (SELECT rn.qid, sum(gain / log2(rank + 1)) AS v FROM rn JOIN ga ON ga.qid = rn.qid AND ga.doc = rn.doc WHERE rank <= 10 GROUP BY rn.qid) SELECT round(avg(round(coalesce(go.v / id.v, 0), 6)), 5) AS ndcg, count(*) AS n FROM id LEFT JOIN go ON go.qid = id.qid")
