@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import zipfile
 from pathlib import Path
@@ -31,6 +32,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(df: DataFrame) -> None:
+    """Collect the driver's garbage, so that shuffles and checkpoints nobody refers to are removed now.
+
+    Long plans otherwise pile up their files and their metadata until the driver's heap is full.
+    """
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+
+
 def ship(df: DataFrame) -> None:
     """Send this package to the Python workers, once a session (as ``--py-files`` would)."""
     sc, root = df.sparkSession.sparkContext, Path(__file__).resolve().parents[1]

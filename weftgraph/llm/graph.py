@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, salted_join
+from .common import cut, release, salted_join
 
 
 def _stars(e: DataFrame, small: bool) -> DataFrame:
@@ -27,6 +27,7 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         e = cut(_stars(_stars(e, False), True))
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003)).first())
+        release(e)
         if now == before:
             break
         before = now

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textops as X
-from .common import cut, salted_join, ship
+from .common import cut, release, salted_join, ship
 from .graph import components
 
 WIDTH, PERCENT = 2, 60
@@ -330,6 +330,7 @@ def verified(docs: DataFrame, pairs: DataFrame, width: int = WIDTH, percent: int
     """(a, b) of ``pairs`` (with set sizes n_a, n_b) whose whole sets reach the threshold."""
     ship(docs)
     pairs = cut(pairs)
+    release(docs)
     comp = components(pairs)
     ids = pairs.select(F.col("a").alias("node"), F.col("n_a").alias("n")).unionByName(pairs.select(F.col("b").alias("node"), F.col("n_b").alias("n"))).distinct()
     nodes = ids.join(comp, "node")
@@ -362,9 +363,11 @@ def similar(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> Data
     sets = scan.where("chunk IS NULL").select("doc_id", "n", "digest", "key", "bits").dropDuplicates(["doc_id"])
     rank = docs.sparkSession.sparkContext.broadcast(rarity(scan.where("chunk IS NOT NULL").select("chunk", "counts")))
     classes = cut(sets.where("n > 0").groupBy("digest", "key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.max("n").alias("n"), F.max("bits").alias("bits")))
+    release(docs)
     pairs = likely(candidates(docs, rank, width, percent), classes, percent)
     links = cut(verified(docs, pairs, width, percent))
     rank.destroy()  # all that needed it is in checkpoints
+    release(docs)
     ends = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     copies = classes.select(F.col("rep").alias("b"), "copies")
     linked = salted_join(ends, copies, ["b"], F.col("a"), "inner").groupBy("a").agg(F.sum("copies").alias("others"))
