@@ -41,7 +41,7 @@ from .graph import components
 
 WIDTH, PERCENT = 2, 60
 ORDERS = (0x0, 0xA24BAED4963EE407)
-BUCKETS, CHUNKS = 1 << 24, 16
+BUCKETS, CHUNKS = 1 << 22, 16
 BLOCK = 1 << 21
 FLUSH = 1 << 20
 MEMBERS = 1 << 22
@@ -49,7 +49,7 @@ MEMBERS = 1 << 22
 
 def _sets(col: pa.Array, width: int) -> Iterator[tuple[int, np.ndarray]]:
     """(row, sorted distinct shingle hashes) of every row."""
-    for i, j, buf, offs in X.blocks(col):
+    for i, j, buf, offs in X.blocks(col, 1 << 20):
         s, start = X.shingle_hashes(*X.word_hashes(buf, offs), width)
         for r in range(j - i):
             a = np.sort(s[start[r] : start[r + 1]])
