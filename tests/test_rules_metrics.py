@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 from weftgraph.functions import kge
 from weftgraph.model import HRT, Graph
 from weftgraph.operators import etl, metrics, ranking, rules, sampling, scoring, sets
-from weftgraph.plans import rounds
+from weftgraph.plans import queries, rounds
 
 
 def trip(spark, *rows):
@@ -22,6 +24,26 @@ def test_two_atom_rule_counts_distinct_bindings_with_object_identity(spark):
     assert m["s", "p", 1, "q", 1] == (3, 2)
 
 
+def test_two_atom_rules_of_all_bodies_against_brute_force(spark, monkeypatch):
+    rnd = random.Random(5)
+    graph = sorted({(f"e{rnd.randrange(9)}", rnd.choice("pqs"), f"e{rnd.randrange(9)}") for _ in range(45)})
+    steps = [(r, 1, h, t) for h, r, t in graph] + [(r, 0, t, h) for h, r, t in graph]
+    found = {}
+    for r1, d1, x, z in steps:
+        for r2, d2, a, y in steps:
+            if a == z and len({x, y, z}) == 3:
+                found.setdefault((r1, d1, r2, d2), set()).add((x, y))
+    want = {}
+    for shape, xy in found.items():
+        for head in "pqs":
+            n = len(xy & {(h, t) for h, r, t in graph if r == head})
+            if n >= 2:
+                want[head, *shape] = (len(xy), n)
+    monkeypatch.setattr(queries, "triples", lambda s, d: trip(s, *graph, graph[0]))
+    got = {(r["head"], r.r1, r.d1, r.r2, r.d2): (r.predicted, r.correct) for r in queries.QUERIES["rule_cyclic2_whole"](spark, "").collect()}
+    assert got == want and len({k[1:] for k in got}) > 20
+
+
 def test_one_atom_and_constant_rules(spark):
     t = trip(spark, *[(f"a{i}", "p", f"b{i}") for i in range(4)], *[(f"b{i}", "q", f"a{i}") for i in range(3)], *[(f"a{i}", "in", "x") for i in range(4)], *[(f"a{i}", "at", "y") for i in range(3)])
     one = {(r["head"], r.body, r.d): (r.predicted, r.correct) for r in rules.mine_cyclic1(t).collect()}

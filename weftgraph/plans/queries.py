@@ -369,6 +369,12 @@ def _(s, d):
     return rules.mine_cyclic2(triples(s, d), b).withColumn("confidence", F.round("confidence", 6))
 
 
+@query("rule_cyclic2_whole")
+def _(s, d):
+    """All bodies over the whole graph; has no SQL, which would enumerate every binding."""
+    return rules.mine_cyclic2(triples(s, d)).withColumn("confidence", F.round("confidence", 6))
+
+
 @query("rule_cyclic1", f"WITH RECURSIVE {SQL_KG}, {SQL_NEAR}, k2 AS (SELECT h, r, t FROM kg UNION SELECT h, r, t FROM near UNION SELECT t, 'suppliesTo', h FROM kg WHERE r = 'shippedBy' AND NOT is_new), ed AS (SELECT r, 1 AS d, h AS x, t AS y FROM k2 WHERE h <> t UNION ALL SELECT r, 0, t, h FROM k2 WHERE h <> t), n AS (SELECT r, d, count(*) AS c FROM ed GROUP BY r, d) SELECT k.r AS head, ed.r AS body, ed.d, any_value(n.c) AS predicted, count(*) AS correct, round(count(*) / any_value(n.c), 6) AS confidence FROM ed JOIN k2 k ON k.h = ed.x AND k.t = ed.y JOIN n ON n.r = ed.r AND n.d = ed.d WHERE NOT (k.r = ed.r AND ed.d = 1) GROUP BY 1, 2, 3 HAVING count(*) >= 2 AND count(*) / any_value(n.c) >= 0.0001")
 def _(s, d):
     t = triples(s, d)
