@@ -85,6 +85,69 @@ QUERIES["kge_rerank"] = kge_rerank
 SQL["kge_rerank"] = f"{_T}, rn AS (SELECT head AS qid, (head * 31 + k * 17) % 500 AS doc, 1.0 / k AS score FROM tr, (SELECT unnest(range(1, 13)) AS k) WHERE head % 10 = 0), sc AS (SELECT rn.qid, rn.doc, 0.5 * {_sum('q.vec[i]*e.vec[i]')} / (sqrt({_sum('q.vec[i]*q.vec[i]')}) * sqrt({_sum('e.vec[i]*e.vec[i]')})) + 0.5 * rn.score AS score FROM rn JOIN ev q ON q.id = rn.qid JOIN ev e ON e.id = rn.doc) SELECT qid, doc, round(score, 5) AS score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc) AS rank FROM sc"
 
 
+# --- whole vectors: no SQL, which is too slow on 64 values ---
+
+
+def _whole(s, d):
+    e = read(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vec"))
+    n = e.count()
+    t = e.select(F.col("id").alias("head"), (F.col("id") % 7).alias("rel"), ((F.col("id") * 7 + 1) % n).alias("tail"))
+    return t, e, e.where("id < 7"), n
+
+
+def _matrix(r, h):
+    """The matrix behind a relation vector as long as ``h``."""
+    return F.slice(r, F.size(h) + 1, F.size(r) - F.size(h))
+
+
+#: As ``MODELS``, for whole vectors: phases are half of the relation vector, matrices map whole vectors to whole vectors.
+WHOLE = {k: f for k, (f, _) in MODELS.items()} | {
+    "rotate": lambda h, r, t: kge.rotate(h, kge.halves(r)[0], t),
+    "transr": lambda h, r, t: kge.transr(h, F.slice(r, F.lit(1), F.size(h)), t, _matrix(r, h)),
+    "rescal": lambda h, r, t: kge.rescal(h, _matrix(r, h), t),
+}
+MATRIX = ("transr", "rescal")
+
+
+def _with_matrices(r, e, n):
+    """Relation vectors, each followed by its matrix: row i of relation k is the vector of id k * length + i, modulo the rows."""
+    rows = r.select(F.col("id").alias("k"), F.size("vec").alias("dim"), F.posexplode("vec").alias("i", "x")).select("k", "i", ((F.col("k") * F.col("dim") + F.col("i")) % n).alias("id"))
+    m = rows.join(e, "id").groupBy(F.col("k").alias("id")).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("i", "vec"))), lambda s: s["vec"])).alias("m"))
+    return r.join(m, "id").select("id", F.concat("vec", "m").alias("vec"))
+
+
+def _whole_model(name):
+    def run(s, d):
+        t, e, r, n = _whole(s, d)
+        return scoring.score(t, e, _with_matrices(r, e, n) if name in MATRIX else r, WHOLE[name]).withColumn("score", F.round("score", 5))
+
+    return run
+
+
+for _n in WHOLE:
+    QUERIES[f"kge_{_n}_whole"] = _whole_model(_n)
+
+
+def kge_topk_whole(s, d):
+    """The search queries are the heads with id % 20 = 0; all entities are candidates."""
+    t, e, r, _ = _whole(s, d)
+    best = scoring.complete(t.where("head % 20 = 0").select("head", "rel"), e, r, lambda h, r, t: F.round(kge.distmult(h, r, t), 5), 10)
+    return best.select("head", "rel", "candidate", "score", "rank")
+
+
+QUERIES["kge_topk_whole"] = kge_topk_whole
+
+
+def kge_rerank_whole(s, d):
+    """Every id is a query, candidates are drawn from all rows."""
+    t, e, _, n = _whole(s, d)
+    run = t.select(F.col("head").alias("qid"), F.explode(F.sequence(F.lit(1), F.lit(12))).alias("k")).select("qid", ((F.col("qid") * 31 + F.col("k") * 17) % n).alias("doc"), (1.0 / F.col("k")).alias("score"))
+    return scoring.rerank(run, e, e, 0.5).select("qid", "doc", F.round("score", 5).alias("score"), "rank")
+
+
+QUERIES["kge_rerank_whole"] = kge_rerank_whole
+
+
 def kge_classify(s, d):
     """Node classification has no SQL; tests check its accuracy."""
     e = read(s, d, "embeddings")
