@@ -44,6 +44,29 @@ def test_two_atom_rules_of_all_bodies_against_brute_force(spark, monkeypatch):
     assert got == want and len({k[1:] for k in got}) > 20
 
 
+def test_constant_rules_and_exclusive_pairs_of_all_relations_against_brute_force(spark, monkeypatch):
+    rnd = random.Random(6)
+    graph = sorted({(f"o{rnd.randrange(60)}", r, f"{k}{rnd.randrange(4)}") for _ in range(110) for r, k in (("contains", "p"), ("shippedBy", "s"), ("placedBy", "c"))} | {(f"p{i}", "suppliedBy", f"s{rnd.randrange(4)}") for i in range(4)})
+    monkeypatch.setattr(queries, "triples", lambda s, d: trip(s, *graph, graph[0]))
+    steps = [(r, 1, h, t) for h, r, t in graph] + [(r, 0, t, h) for h, r, t in graph]
+    heads = {}
+    for h, r, t in graph:
+        heads.setdefault((r, t), set()).add(h)
+    keyed, loose = {}, {}
+    for r, d, x, y in steps:
+        keyed.setdefault((r, d, y), set()).add(x)
+        loose.setdefault((r, d), set()).add(x)
+    one = {(*a, *b): (len(xs), len(xs & hs)) for a, hs in heads.items() for b, xs in keyed.items() if len(xs) >= 5 and len(xs & hs) >= 2 and (a[0], 1) != b[:2]}
+    two = {(*a, *b): (len(xs), len(xs & hs)) for a, hs in heads.items() for b, xs in loose.items() if len(xs & hs) >= 2}
+    got1 = {(r["head"], r.const, r.body, r.d, r.key): (r.predicted, r.correct) for r in queries.QUERIES["rule_acyclic1_whole"](spark, "").collect()}
+    got2 = {(r["head"], r.const, r.body, r.d): (r.predicted, r.correct) for r in queries.QUERIES["rule_acyclic2_whole"](spark, "").collect()}
+    assert got1 == one and got2 == two and {"contains", "shippedBy"} <= {k[2] for k in got1}
+    often = {a: hs for a, hs in heads.items() if len(hs) >= 10}
+    both = lambda a, b: sum(any(x in hs for (r, _), hs in often.items() if r == a) and any(x in hs for (r, _), hs in often.items() if r == b) for x in {h for h, _, _ in graph})
+    want = {(*a, *b): (len(often[a]), len(often[b])) for a in often for b in often if a[0] < b[0] and both(a[0], b[0]) >= 10 and not often[a] & often[b]}
+    assert {(r.r1, r.c1, r.r2, r.c2): (r.n1, r.n2) for r in queries.QUERIES["negative_pairs_whole"](spark, "").collect()} == want
+
+
 def test_one_atom_and_constant_rules(spark):
     t = trip(spark, *[(f"a{i}", "p", f"b{i}") for i in range(4)], *[(f"b{i}", "q", f"a{i}") for i in range(3)], *[(f"a{i}", "in", "x") for i in range(4)], *[(f"a{i}", "at", "y") for i in range(3)])
     one = {(r["head"], r.body, r.d): (r.predicted, r.correct) for r in rules.mine_cyclic1(t).collect()}

@@ -404,6 +404,18 @@ def _(s, d):
     return rules.mine_acyclic2(_small(s, d)).withColumn("confidence", F.round("confidence", 6))
 
 
+@query("rule_acyclic1_whole")
+def _(s, d):
+    """Rules over all relations; has no SQL."""
+    return rules.mine_acyclic1(triples(s, d)).withColumn("confidence", F.round("confidence", 6))
+
+
+@query("rule_acyclic2_whole")
+def _(s, d):
+    """Rules over all relations; has no SQL."""
+    return rules.mine_acyclic2(triples(s, d)).withColumn("confidence", F.round("confidence", 6))
+
+
 _RULES = [(1, "reach", "placedBy", 1, "locatedIn", 1, 0.8), (2, "reach", "shippedBy", 1, "locatedIn", 1, 0.5), (3, "within", "locatedIn", 1, "partOf", 1, 0.9)]
 _RV = "(VALUES " + ", ".join("({}, '{}', '{}', {}, '{}', {}, {}::DOUBLE)".format(*x) for x in _RULES) + ") q(rule_id, head, r1, d1, r2, d2, confidence)"
 _PRED = f"{_EDGES}, pred AS (SELECT DISTINCT q.rule_id, a.x AS h, q.head AS r, b.y AS t, q.confidence FROM {_RV} JOIN ed a ON a.r = q.r1 AND a.d = q.d1 JOIN ed b ON b.r = q.r2 AND b.d = q.d2 AND b.x = a.y WHERE a.x <> b.y AND a.x <> a.y AND b.x <> b.y)"
@@ -496,6 +508,12 @@ def _(s, d):
     return rules.negative_pairs(_small(s, d))
 
 
+@query("negative_pairs_whole")
+def _(s, d):
+    """Exclusive pairs over all relations; has no SQL."""
+    return rules.negative_pairs(triples(s, d))
+
+
 # --- sampling ---
 
 
