@@ -236,6 +236,25 @@ def test_chat_round_trip(spark):
     assert sum(n.values()) == len(rows)
 
 
+def test_chat_windows_keep_the_budget(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(str(public_tokenizers.path("word_bpe_49k.json")))
+    count = lambda s: len(tokenizer.encode(s, add_special_tokens=False).ids)
+    rnd = random.Random(11)
+    rows = [(c, t, rnd.choice(["user", "assistant", "a-role-of-7-parts"]) if t else "system", "1 + 2 = 3; </s> " * rnd.choice([1, 2, 9, 30, 60, 90]) if t else "1 + 2 = 3; </s> " * (1, 40)[c % 2]) for c in range(6) for t in range(60)]
+    w = chat.windows(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    for x in w:
+        turns = [p + "</s>" for p in x.text.split("</s>")[:-1]]  # those inside texts are escaped
+        assert len(turns) == x.n_turns
+        costs = [count(t) for t in turns]
+        assert costs == [chat.tokens(t, r) for r, t in chat.parse(x.text)]
+        assert count(x.text) <= sum(costs)
+        assert sum(costs) <= chat.BUDGET or (x.n_turns - x.n_repeated == 1 and costs[-1] > chat.BUDGET)
+    assert any(x.n_turns - x.n_repeated > 1 and x.n_repeated > 1 for x in w)
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline as P
 

@@ -1,10 +1,12 @@
 r"""Chat formatting in budgeted windows.
 
 A turn is written ``<s>[INST]role[/INST]text</s>``. Control strings (and the escape character)
-inside roles and texts are escaped reversibly, so a text can never forge a turn. Turns of a
-conversation are laid on a line by the prefix sums of their token counts, and windows are
-turn-aligned spans of that line: each window holds the next new turns that fit the budget
-beside the system turn and a limited history. The system turn and the history are repeats
+inside roles and texts are escaped reversibly, so a text can never forge a turn. A turn costs
+the tokens of what is written, role and marks included. Turns of a conversation are laid on a
+line by the prefix sums of their costs, and windows are turn-aligned spans of that line: each
+window holds the next new turns that fit the budget beside the system turn and a limited
+history. The history is shortened until the first new turn fits, and the system turn left out
+if the two don't fit without any. The system turn and the history are repeats
 and are marked so; the loss mask covers the text of each new assistant turn, and never a
 repeat, so every assistant text is a target exactly once.
 
@@ -13,8 +15,9 @@ and hold one window, so a conversation with a third of all rows needs no more me
 turns are one sequence and pass through one task).
 
 Edge cases: null texts and roles are empty; turns of equal number are ordered by role and
-text; a turn larger than the budget is a window of its own, never cut; a null conv_id is a
-conversation; an empty table gives no windows; extra columns are ignored.
+text; a turn larger than the budget is the only new one of its window, beside the system turn,
+and is never cut; a system turn larger than the budget is repeated beside one new turn a window;
+a null conv_id is a conversation; an empty table gives no windows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,6 +33,8 @@ from .common import ship
 
 CONTROL = ("<s>", "</s>", "[INST]", "[/INST]")
 BUDGET, HISTORY = 1024, 256
+TOKENIZER, KEPT = "word_bpe_49k.json", 200_000
+_BLANK = re.compile(r"[ \t-\r]+")
 _OUT = {"\\": "\\\\"} | {c: f"\\{i}" for i, c in enumerate(CONTROL)}
 _IN = {v: k for k, v in _OUT.items()}
 _ESC = re.compile("|".join(map(re.escape, _OUT)))
@@ -46,9 +51,39 @@ def unescape(s: str) -> str:
     return _UNESC.sub(lambda m: _IN[m[0]], s)
 
 
-def tokens(s: str) -> int:
-    """A cheap estimate of the tokens of a turn: one for four characters, and its marks."""
-    return len(s) // 4 + 6
+_tokenizer = None
+_counts: dict[str, int] = {}
+
+
+def _count(written: str) -> int:
+    """Tokens of a string. The tokenizer drops white space, so words are counted one by one and short ones kept."""
+    global _tokenizer
+    if _tokenizer is None:
+        import public_tokenizers
+        from tokenizers import Tokenizer
+
+        _tokenizer = Tokenizer.from_file(str(public_tokenizers.path(TOKENIZER)))
+    n = 0
+    for w in _BLANK.split(written):
+        got = _counts.get(w)
+        if got is None:
+            got = len(_tokenizer.encode(w, add_special_tokens=False).ids)
+            if len(w) <= 64:
+                if len(_counts) >= KEPT:
+                    _counts.clear()
+                _counts[w] = got
+        n += got
+    return n
+
+
+def _written(role: str, text: str) -> str:
+    """A turn of escaped role and text."""
+    return f"<s>[INST]{role}[/INST]{text}</s>"
+
+
+def tokens(s: str, role: str = "") -> int:
+    """The tokens of a turn as it is written."""
+    return _count(_written(escape(role), escape(s)))
 
 
 def parse(text: str) -> list[tuple[str, str]]:
@@ -64,25 +99,25 @@ class _Conversation:
         self.system: tuple[str, str, int] | None = None
         self.past: list[tuple[str, str, int]] = []
         self.new: list[tuple[str, str, int]] = []
+        self.repeats: list[tuple[str, str, int]] = []  # of the window at hand
         self.window = self.seen = 0
         self.sum = self.start = 0  # prefix sums of tokens: at the last turn, and where the window's new turns begin
 
-    def _repeats(self) -> list[tuple[str, str, int]]:
-        """The system turn, and the last turns of the past within the history budget."""
-        keep, cost = [], 0
-        for t in reversed(self.past):
-            cost += t[2]
-            if cost > self.history:
-                break
-            keep.append(t)
+    def _choose(self, first: int) -> list[tuple[str, str, int]]:
+        """The system turn and the last turns of the past that fit beside a first new turn of so many tokens."""
         head = [self.system] if self.window and self.system else []
-        return head + keep[::-1]
+        if head and first <= self.budget and head[0][2] <= self.budget < first + head[0][2]:
+            head = []
+        room = min(self.history, self.budget - first - sum(x[2] for x in head))
+        return head + _tail(self.past, room)
 
     def add(self, role: str, text: str) -> Iterator[tuple]:
-        t = (escape(role), escape(text), tokens(text))
-        held = sum(x[2] for x in self._repeats())
-        if self.new and self.sum + t[2] - self.start + held > self.budget:
+        role, text = escape(role), escape(text)
+        t = (role, text, _count(_written(role, text)))
+        if self.new and self.sum + t[2] - self.start + sum(x[2] for x in self.repeats) > self.budget:
             yield self.flush()
+        if not self.new:
+            self.repeats = self._choose(t[2])
         if not self.seen and role == "system":
             self.system = t
         self.new.append(t)
@@ -90,13 +125,13 @@ class _Conversation:
         self.sum += t[2]
 
     def flush(self) -> tuple:
-        repeats = self._repeats()
+        repeats = self.repeats
         parts, mask, at = [], [], 0
         for k, (role, text, _) in enumerate([*repeats, *self.new]):
             head = f"<s>[INST]{role}[/INST]"
             if k >= len(repeats) and role == "assistant":
                 mask.append({"start": at + len(head), "end": at + len(head) + len(text)})
-            parts.append(f"{head}{text}</s>")
+            parts.append(_written(role, text))
             at += len(parts[-1])
         row = (self.id, self.window, "".join(parts), len(repeats) + len(self.new), len(repeats), mask)
         own = [t for t in self.new if t is not self.system]
