@@ -94,6 +94,19 @@ def test_license_join_is_exact(spark):
         assert set(filter(None, got[i].split(","))) == want
 
 
+def test_license_of_wrapped_templates(spark, tmp_path):
+    from weftgraph.llm import queries_native
+
+    temps = license_scan.TEMPLATES
+    words = {k: v.split() for k, v in temps.items()}
+    data = [(f"{k} {n}", k, "Some title here\n\n" + "\n".join(" ".join(w[j : j + n]) for j in range(0, len(w), n)) + "\n\nthe end") for k, w in words.items() for n in (1, 2, 5, 12)]
+    data += [("far", None, "Released today\n\nunder the\n\nLicense MIT"), ("long", None, "Released\n" + "other words again and again\n" * 9 + "under the MIT"), ("none", None, None)]
+    spark.createDataFrame([(i, t) for i, (_, _, t) in enumerate(data)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.labels.split(",") for r in queries_native.op8_license_scan(spark, str(tmp_path)).collect()}
+    for i, (name, k, _) in enumerate(data):
+        assert k in got[i] if k else "mit-short" not in got[i], name
+
+
 def plain_pii(x):
     out = []
     kinds = [("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)"), ("card", r"[0-9](?:[\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")]

@@ -1,6 +1,7 @@
 r"""License scan: fixed phrases, and templates found by an exact set-similarity join.
 
-A block (line) of text holds a template when it contains at least ``CONTAIN`` of the
+A block of text (a line, or with ``wrapped`` also a line and those after it in its paragraph,
+until these have as many words as the longest template) holds a template when it contains at least ``CONTAIN`` of the
 template's distinct words. Template words are put in one global order, rarest in the
 scanned blocks first. A block that reaches the threshold shares at least one of the first
 ``m - ceil(CONTAIN * m) + 1`` words (prefix filter), has enough template words at all
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import math
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -67,7 +69,20 @@ def _best_block(order: list[str], contain: float) -> Column:
     return F.when(F.size("blocks") > 0, F.coalesce(F.array_max(F.transform("blocks", overlap)), F.lit(0.0))).otherwise(0.0)
 
 
-def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, contain: float = CONTAIN) -> DataFrame:
+def _runs(length: int) -> tuple[Column, Column]:
+    """Distinct template words of each line and the lines after it, until those have ``length`` words or a line has none."""
+    info = F.transform(F.arrays_zip("known", "lines"), lambda x: F.struct(x["known"].alias("w"), F.size(F.array_remove(F.split(x["lines"], BREAKS), "")).alias("n")))
+    start = lambda x: F.struct(x["w"].alias("w"), F.lit(0).alias("n"), (x["n"] > 0).alias("open"))
+
+    def more(run: Column, x: Column) -> Column:
+        on = run["open"] & (run["n"] < length) & (x["n"] > 0)
+        return F.struct(F.when(on, F.array_union(run["w"], x["w"])).otherwise(run["w"]).alias("w"), (run["n"] + F.when(on, x["n"]).otherwise(0)).alias("n"), on.alias("open"))
+
+    after = lambda i: F.slice("info", i + 2, F.lit(length))
+    return info, F.transform("info", lambda x, i: F.aggregate(after(i), start(x), more)["w"])
+
+
+def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, contain: float = CONTAIN, wrapped: bool = False) -> DataFrame:
     """Per document: n_words, n_base, first_word, last_word, base_labels, labels, score."""
     sets = {k: _tokens(v) for k, v in templates.items()}
     vocab = sorted({t for v in sets.values() for t in v})
@@ -87,7 +102,13 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, contain: float
     which = lambda i: F.array_compact(F.array(*[F.when(at(i, p), F.lit(x)) for p, x in PHRASES.items()]))
     places = F.filter(F.transform(F.sequence(F.lit(0), F.size("w") - 1), lambda i: F.struct(i.alias("at"), which(i).alias("what"))), lambda x: F.size(x["what"]) > 0)
     known = F.transform("lines", lambda x: F.array_intersect(F.split(x, BREAKS), _lits(vocab)))  # distinct template words of each block
-    c = cut(b.select("doc_id", "n_words", F.when(F.col("w").isNotNull(), places).alias("places"), F.filter(known, lambda x: F.size(x) >= least).alias("blocks")))
+    k = b.select("doc_id", "n_words", "w", "lines", known.alias("known")).withColumn("blocks", F.col("known"))
+    if wrapped:
+        info, runs = _runs(max(len([x for x in re.split("[^0-9a-z]+", v.lower()) if x]) for v in templates.values()))
+        every = F.array_distinct(F.flatten("known"))
+        may = reduce(lambda x, y: x | y, [F.size(F.array_intersect("every", _lits(v))) >= need(len(v), contain) for v in sets.values()])  # else no block of the text can hold one
+        k = k.withColumn("every", every).withColumn("info", F.when(may, info)).withColumn("blocks", F.when(F.col("info").isNotNull(), F.concat("known", runs)).otherwise(F.col("known")))
+    c = cut(k.select("doc_id", "n_words", F.when(F.col("w").isNotNull(), places).alias("places"), F.array_distinct(F.filter("blocks", lambda x: F.size(x) >= least)).alias("blocks")))
 
     freq = {r["t"]: r["n"] for r in c.select(F.explode(F.flatten("blocks")).alias("t")).groupBy("t").agg(F.count("*").alias("n")).collect()}  # at most one row a template word
     tests = [_best_block(sorted(v, key=lambda t: (freq.get(t, 0), t)), contain).alias(f"t_{label}") for label, v in sets.items()]
