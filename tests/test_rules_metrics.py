@@ -99,6 +99,15 @@ def test_forward_chain_takes_the_best_relation(spark):
     assert out["a", "grandson", "c"] == 1 and ("a", "nephew", "c") not in out
 
 
+def test_forward_chain_reaches_the_fix_point(spark):
+    t = trip(spark, *[(f"a{i}", k, f"a{i + 1}") for i in range(13) for k in ("parent", "ancestor")])
+    r = spark.createDataFrame([(1, "ancestor", "ancestor", 1, "parent", 1, 0.9)], "rule_id int, head string, r1 string, d1 int, r2 string, d2 int, confidence double")
+    out = {(x.h, x.t) for x in rules.forward_chain(t, r).where("r = 'ancestor'").collect()}
+    assert out == {(f"a{i}", f"a{j}") for i in range(14) for j in range(i + 1, 14)}
+    with pytest.raises(RuntimeError):
+        rules.forward_chain(t, r, 2)
+
+
 def test_rule_lines_round_trip():
     line = "10\t7\t0.7\tp(X,Y) <= q(X,A), s(A,Y)"
     r = rules.parse_rule(line)

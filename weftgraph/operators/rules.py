@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -146,19 +147,21 @@ def predict_zero(tasks: DataFrame, rules: DataFrame) -> DataFrame:
     return tasks.select("h", "r").distinct().join(rules.select("rule_id", F.col("head").alias("r"), F.col("const").alias("t"), "confidence"), "r").select("rule_id", "h", "r", "t", "confidence")
 
 
-def forward_chain(t: DataFrame, rules: DataFrame, rounds: int = 10) -> DataFrame:
+def forward_chain(t: DataFrame, rules: DataFrame, rounds: int | None = None) -> DataFrame:
     """Two-atom rules to a fix-point; a pair without a relation takes the one of the best confidence each round.
 
-    (h, r, t, round): round 0 is the input.
+    (h, r, t, round): round 0 is the input. Each pair gets one relation at most, so there is a
+    last round; with ``rounds``, a fix-point that takes more of them is an error.
     """
     done = cut(t.select(*HRT, F.lit(0).alias("round")))
-    for k in range(1, rounds + 1):
+    for k in count(1):
         p = predict_cyclic2(done, rules).groupBy("h", "t").agg(F.max_by("r", F.struct("confidence", "r")).alias("r"))
         new = cut(p.join(done.select("h", "t").distinct(), ["h", "t"], "left_anti").select(*HRT, F.lit(k).alias("round")))
         if new.isEmpty():
-            break
+            return done
+        if rounds is not None and k > rounds:
+            raise RuntimeError(f"no fix-point after {rounds} rounds")
         done = cut(done.unionByName(new))
-    return done
 
 
 def where_body(t: DataFrame, rows: DataFrame, column: str, relation: str, constant: str | None = None, negated: bool = False) -> DataFrame:
