@@ -66,20 +66,48 @@ def test_ngram_join_against_brute_force(spark, seed):
     assert got == brute(rows)
 
 
-def test_ngram_join_with_groups_over_the_block_limit(spark, monkeypatch):
+def pairs_of(docs):
+    sets = ngram_join.shingle_sets(docs).where("chunk IS NULL")
+    cls = sets.groupBy("digest", "key").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"))
+    end = lambda x: cls.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("key").alias(f"k_{x}"))
+    return cls, end("a").join(end("b")).where("a < b")
+
+
+def test_ngram_join_with_groups_over_the_block_limit(spark):
     rnd = random.Random(5)
     b = [f"w{i}" for i in range(60)]
     rows = [(i, " ".join(rnd.choice(["x", "y"]) if rnd.random() < 0.08 else w for w in b)) for i in range(60)]
-    d = spark.createDataFrame(rows, "doc_id long, text string")
-    sets = ngram_join.shingle_sets(d).where("chunk IS NULL")
-    cls = sets.groupBy("digest", "key").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("bits").alias("bits"))
-    pairs = cls.select(F.col("rep").alias("a"), F.col("n").alias("n_a")).join(cls.select(F.col("rep").alias("b"), F.col("n").alias("n_b"))).where("a < b")
+    cls, pairs = pairs_of(spark.createDataFrame(rows, "doc_id long, text string"))
     want = {(i, j) for i, s in rows for j, t in rows if i < j and 100 * len(shingles(s) & shingles(t)) >= 60 * len(shingles(s) | shingles(t))}
     reps = {r.rep for r in cls.collect()}
-    got = {(r.a, r.b) for r in ngram_join.verified(d, pairs, block=200).collect()}
+    got = {(r.a, r.b) for r in ngram_join.verified(spark.createDataFrame(rows, "doc_id long, text string"), pairs, 4, block=200).collect()}
     assert got == {(i, j) for i, j in want if i in reps and j in reps}
 
 
+@pytest.mark.parametrize("hot", [3, 7, 1000])
+def test_ngram_join_candidates_lose_no_link(spark, hot):
+    rnd = random.Random(hot)
+    b = [[f"{k}w{i}" for i in range(40)] for k in range(3)]
+    rows = [(i, " ".join(rnd.choice(["x", "y", "z"]) if rnd.random() < 0.1 else w for w in rnd.choice(b)[: rnd.randint(25, 40)])) for i in range(90)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    scan = ngram_join.shingle_sets(d)
+    rank = spark.sparkContext.broadcast(ngram_join.rarity(scan.where("chunk IS NOT NULL").select("chunk", "counts"), ngram_join.LEAST_BUCKETS))
+    keys = {r.doc_id: r.key for r in scan.where("chunk IS NULL").collect()}
+    got = {(r.a, r.b) for r in ngram_join.candidates(d, rank, 3, hot=hot).collect()}
+    s = {i: shingles(t) for i, t in rows}
+    links = {tuple(sorted((keys[i], keys[j]))) for i in s for j in s if keys[i] != keys[j] and 100 * len(s[i] & s[j]) >= 60 * len(s[i] | s[j])}
+    assert links and links <= got
+
+
+def test_ngram_join_of_null_and_shared_ids(spark):
+    rows = [(1, "a b c d"), (None, "a b c d"), (None, "a b c d"), (None, None), (2, "a b c d"), (3, "x y"), (3, "a b c d")]
+    d = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"_gone": F.lit(1), "component_id": F.lit("x"), "node": F.lit(0)})
+    out = sorted((r.doc_id or -1, r.n_shingles, r.n_similar, r.component_id) for r in ngram_join.similar(d).collect())
+    assert out[:3] == [(-1, 0, 0, None), (-1, 3, 0, None), (-1, 3, 0, None)] and len(out) == 6
+    kept = ngram_join.keep_one(d)
+    assert kept.columns == d.columns and sum(r.doc_id is None for r in kept.collect()) == 3
+
+
 def test_keep_one_and_components(spark):
     rows = [(1, "a b c d e"), (2, "a b c d e"), (3, "x y z"), (4, None), (5, None)]
     kept = {r.doc_id for r in ngram_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}

@@ -2,10 +2,54 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, release, salted_join
+from .common import cut, release, salted_join, ship
+
+HELD = 1 << 20
+
+
+def _contract(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The edges from each node to the smallest node it reaches over the given edges."""
+    nodes, code = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = code[: len(a)], code[len(a) :]
+    root = np.arange(len(nodes))
+    while len(x):
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while True:
+            after = root[root]
+            if np.array_equal(after, root):
+                break
+            root = after
+        x, y = root[x], root[y]
+        x, y = x[x != y], y[x != y]
+    own = root == np.arange(len(nodes))
+    return nodes[~own], nodes[root[~own]]
+
+
+def forest(edges: DataFrame) -> DataFrame:
+    """(a, b) edges with the same components, each partition's contracted to at most one a node (for ``HELD`` edges at a time)."""
+    ship(edges)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [(np.zeros(0, np.int64),) * 2], 0
+        for batch in batches:
+            held.append((np.asarray(batch.column(0)), np.asarray(batch.column(1))))
+            size += batch.num_rows
+            if size > HELD:
+                held = [_contract(*(np.concatenate(c) for c in zip(*held)))]
+                size = len(held[0][0])
+                if size > HELD // 2:  # a large forest goes on in parts
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in held[0]], names=["a", "b"])
+                    held, size = [(np.zeros(0, np.int64),) * 2], 0
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in _contract(*(np.concatenate(c) for c in zip(*held)))], names=["a", "b"])
+
+    return edges.select(F.col("a").cast("long"), F.col("b").cast("long")).mapInArrow(run, "a long, b long")
 
 
 def _stars(e: DataFrame, small: bool) -> DataFrame:
@@ -22,7 +66,7 @@ def _stars(e: DataFrame, small: bool) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node reachable; only nodes with an edge are returned."""
-    e = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    e = cut(forest(edges).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     before = None
     while True:
         e = cut(_stars(_stars(e, False), True))

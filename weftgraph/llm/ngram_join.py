@@ -1,30 +1,44 @@
 """Exact n-gram Jaccard self-join by multiple-global-order filtering.
 
 A document is the set of its distinct word shingles. Documents with equal sets form a class;
-only classes are compared. Every shingle has a place in several global orders: each is rare
-first, by a hashed count over the whole corpus, and ties are broken by another permutation
-of the shingle hashes in each order. Two sets with Jaccard ``T`` or more share a shingle
-among the first ``n - ceil(T n) + 1`` of both under every order, so candidates are the pairs
-that pass the prefix, length and positional filters of all orders. A parity bitmap of each
-set then bounds the overlap from above, and what is left is verified on the whole sets.
+only classes are compared. Shingles have places in three global orders: rare first (by a hashed
+count over the whole corpus), by ascending hash, and by descending hash. Two sets with
+Jaccard ``T`` or more share a shingle among the first ``n - ceil(T n) + 1`` of both under every
+order. The first order finds pairs: its prefixes are posted to partitions by shingle, and a
+partition keeps the pairs that pass the length and positional filters. The other two are
+intersected with it where the sets of a candidate group meet, before verification: a pair
+stays when the shingles that both prefixes share, and all that lies behind the prefixes, could
+still reach the threshold. What is left is verified on the whole sets.
 An order is a function of the shingle alone, so coarse counts cost candidates, never links.
 
-What moves: prefix postings as packed blocks (not rows); narrow class and pair tables; the
-packed sets of documents that have a candidate. Verification works on connected candidate
-groups; a group with more than ``BLOCK`` shingles is cut into block pairs, so no task holds
-an unbounded group. Nothing of corpus size is broadcast: the counts are ``BUCKETS`` bytes and the
-membership table of candidates ``MEMBERS`` bits. Coarser counts and a fuller table cost
-candidates and traffic, never links.
+Near copies share most of their prefix, so most partitions meet the same pair. Each posted
+class carries ``OWNERS`` marks, shingles of its prefix with their places; a pair is left to the last
+mark in the order that both have and that passes the filters, and only pairs without one are emitted
+by several partitions.
+
+What moves: prefix postings of one order as packed blocks (not rows), narrow pair and node
+tables, and the packed sets of documents that have a candidate. Candidate groups (connected
+components, each partition's pairs contracted to a forest first) are verified in blocks; a group with
+more than ``BLOCK`` shingles is cut into cells, and a set goes only to the block pairs in which it has a
+candidate, so no task holds an unbounded group. The posting list of a shingle with more than ``HOT``
+classes is cut into blocks too, and its block pairs are dealt to all tasks. Nothing of corpus size is
+broadcast: the counts are between 2**22 and ``MOST_BUCKETS`` bytes, by the bytes of text, and the membership
+table of candidates is ``MEMBERS`` bits. Coarser counts and a fuller table cost candidates and traffic, never links.
+
+Equality of shingles, and of sets, is that of 64-bit hashes.
 
 Edge cases: null and empty texts, or texts without words, have no shingles, no links and
 themselves as component; with fewer words than a shingle the whole sequence is one shingle;
-rows that repeat a doc_id count as one document; an empty table gives an empty result;
-extra columns are ignored.
+rows that share a doc_id count as one document, whose text is that with the smallest digest
+if they differ; each row with a null doc_id is returned by itself, without links or component,
+and is kept by ``keep_one``; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -40,11 +54,12 @@ from .common import cut, release, salted_join, ship
 from .graph import components
 
 WIDTH, PERCENT = 2, 60
-ORDERS = (0x0, 0xA24BAED4963EE407)
-BUCKETS, CHUNKS = 1 << 22, 16
+#: Bytes of the count table: one for ``PER_BUCKET`` bytes of text, within these limits.
+LEAST_BUCKETS, MOST_BUCKETS, PER_BUCKET, CHUNKS = 1 << 22, 1 << 26, 1 << 13, 16
 BLOCK = 1 << 21
-FLUSH = 1 << 20
+FLUSH = 1 << 19
 MEMBERS = 1 << 22
+OWNERS, HOT = 2, 1 << 12
 
 
 def _sets(col: pa.Array, width: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -65,60 +80,46 @@ def _digest(a: np.ndarray) -> bytes:
     return hashlib.blake2b(a.tobytes(), digest_size=16).digest()
 
 
-def _bitmap(a: np.ndarray) -> bytes:
-    """Parities of the shingles by hash position, on at least twice as many bits as shingles."""
-    size = 1 << max(6, int(2 * len(a) - 1).bit_length())
-    n = np.bincount((a >> X.U(40)).astype(np.int64) & (size - 1), minlength=size)
-    return np.packbits((n & 1).astype(np.uint8)).tobytes()
-
-
-def bitmap_passes(x: bytes, y: bytes, n: int, m: int, percent: int) -> bool:
-    """Whether the sets behind two bitmaps may reach the threshold: a differing bit is a shingle that only one has."""
-    u, v = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
-    while len(u) > len(v):
-        u = u[: len(u) // 2] ^ u[len(u) // 2 :]
-    while len(v) > len(u):
-        v = v[: len(v) // 2] ^ v[len(v) // 2 :]
-    differ = int(np.bitwise_count(u ^ v).sum())
-    return 100 * ((n + m - differ) // 2) >= percent * (n + m - (n + m - differ) // 2)
+def _key(digest: bytes) -> int:
+    return int.from_bytes(digest[:8], "little", signed=True)
 
 
-def shingle_sets(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """Per document (doc_id, n, digest and bitmap of the set), and per task the hashed shingle counts in chunks (chunk, counts)."""
+def shingle_sets(docs: DataFrame, buckets: int = LEAST_BUCKETS, width: int = WIDTH) -> DataFrame:
+    """Per document (doc_id, n, digest of the set, key: its first 8 bytes), and per task the hashed shingle counts in chunks (chunk, counts)."""
     ship(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, held, size = np.zeros(BUCKETS, np.uint16), [], 0
-        names = ["doc_id", "n", "digest", "key", "bits", "chunk", "counts"]
+        counts, held, size = np.zeros(buckets, np.uint16), [], 0
+        names = ["doc_id", "n", "digest", "key", "chunk", "counts"]
 
         def add() -> None:
-            nonlocal held, size
-            if held:
-                at, n = np.unique((np.concatenate(held) & X.U(BUCKETS - 1)).astype(np.uint32), return_counts=True)
-                counts[at] = np.minimum(counts[at] + n, 65535)
-            held, size = [], 0
+            at, n = np.unique((np.concatenate(held) & X.U(buckets - 1)).astype(np.uint32), return_counts=True)
+            counts[at] = np.minimum(counts[at] + n, 65535)
+            held.clear()
 
         seen = False
         for b in batches:
-            n, digest, bits = np.zeros(b.num_rows, np.int64), [None] * b.num_rows, [None] * b.num_rows
+            n, digest = np.zeros(b.num_rows, np.int64), [b""] * b.num_rows
             for r, a in _sets(b.column("text"), width):
-                n[r], digest[r] = len(a), _digest(a) if len(a) else b""
-                bits[r] = _bitmap(a) if len(a) else b""
+                n[r] = len(a)
+                digest[r] = _digest(a) if len(a) else b""
                 held.append(a)
                 size += len(a)
                 if size > FLUSH:
                     add()
+                    size = 0
             none = pa.nulls(b.num_rows)
             seen = seen or b.num_rows > 0
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n), pa.array(digest, pa.binary()), pa.array([int.from_bytes(x[:8], "little", signed=True) for x in digest], pa.int64()), pa.array(bits, pa.binary()), none.cast(pa.int32()), none.cast(pa.binary())], names=names)
-        add()
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n), pa.array(digest, pa.binary()), pa.array([_key(x) for x in digest], pa.int64()), none.cast(pa.int32()), none.cast(pa.binary())], names=names)
+        if held:
+            add()
         if seen:
-            part = BUCKETS // CHUNKS
+            part = buckets // CHUNKS
             packed = [zlib.compress(counts[k * part : (k + 1) * part].tobytes(), 1) for k in range(CHUNKS)]
             none = pa.nulls(CHUNKS)
-            yield pa.RecordBatch.from_arrays([none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.binary()), none.cast(pa.int64()), none.cast(pa.binary()), pa.array(range(CHUNKS), pa.int32()), pa.array(packed, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.binary()), none.cast(pa.int64()), pa.array(range(CHUNKS), pa.int32()), pa.array(packed, pa.binary())], names=names)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, digest binary, key long, bits binary, chunk int, counts binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, digest binary, key long, chunk int, counts binary")
 
 
 def _fold(batches: Iterator[pd.DataFrame], summed: bool) -> Iterator[pd.DataFrame]:
@@ -133,167 +134,300 @@ def _fold(batches: Iterator[pd.DataFrame], summed: bool) -> Iterator[pd.DataFram
         yield pd.DataFrame({"chunk": list(total), "counts": [zlib.compress(a.tobytes(), 1) for a in total.values()]})
 
 
-def rarity(parts: DataFrame) -> np.ndarray:
-    """For each hash bucket the rounded logarithm of its count: ``BUCKETS`` bytes whatever the corpus."""
+def rarity(parts: DataFrame, buckets: int) -> np.ndarray:
+    """For each hash bucket the rounded logarithm of its count."""
     schema = "chunk int, counts binary"
     once = parts.withColumn("s", F.pmod(F.xxhash64("counts"), F.lit(8))).repartition(CHUNKS * 2, "chunk", "s").select("chunk", "counts").mapInPandas(lambda x: _fold(x, False), schema)
-    out = np.zeros(BUCKETS, np.uint8)
-    part = BUCKETS // CHUNKS
+    out = np.zeros(buckets, np.uint8)
+    part = buckets // CHUNKS
     for r in once.repartition(CHUNKS, "chunk").mapInPandas(lambda x: _fold(x, True), schema).toLocalIterator():
         out[r["chunk"] * part : (r["chunk"] + 1) * part] = np.minimum(255, np.round(8 * np.log2(1.0 + np.frombuffer(zlib.decompress(r["counts"]), np.uint32))))
     return out
 
 
-def _small(a: np.ndarray) -> bytes:
-    return a.astype(np.uint32 if len(a) and a.max() > 65535 else np.uint16).tobytes()
+def _prefix(n: np.ndarray | int, percent: int):  # noqa: ANN202
+    """Length of the prefix of a set of ``n`` shingles."""
+    return n - (-(-percent * n // 100)) + 1
 
 
-def _wide(data: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(data, np.uint16 if len(data) == 2 * n else np.uint32).astype(np.int64)
+POSTINGS = "part int, keys binary, sizes binary, marks binary, marked binary, counts binary, hashes binary, weights binary, places binary"
 
 
 def prefix_postings(docs: DataFrame, shared: Broadcast, parts: int, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """Packed blocks of prefix shingles: a table of classes (keys, sizes) and postings (hashes, rows, places in the order)."""
+    """Packed blocks of prefix shingles in the rare-first order.
+
+    A block has a table of classes (key, size, marks and their places, number of postings) and, class by
+    class, the upper half of each hash, its weight, and its place in 256ths of the prefix, rounded down.
+    """
     ship(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank = shared.value
-        docs_, posts, size = [], [[] for _ in ORDERS], 0
+        mask = X.U(len(rank) - 1)
+        keys, sizes, marks, held, size = [], [], [], [], 0
+        seen: set[int] = set()
 
         def flush() -> pa.RecordBatch:
-            keys = np.frombuffer(b"".join(k for k, _ in docs_), np.int64)
-            sizes = np.array([n for _, n in docs_], np.uint32)
-            cols: list[list] = [[], [], [], [], [], [], []]
-            for o, held in enumerate(posts):
-                h = np.concatenate([a for _, a in held])
-                d = np.repeat(np.array([i for i, _ in held], np.uint32), [len(a) for _, a in held])
-                at = np.concatenate([np.arange(len(a), dtype=np.uint32) for _, a in held])
-                part = (h % X.U(parts)).astype(np.int64)
-                by = np.argsort(part, kind="stable")
-                h, d, at = (h[by] >> X.U(32)).astype(np.uint32), d[by], at[by]
-                edge = np.searchsorted(part[by], np.arange(parts + 1))
-                for p in range(parts):
-                    if edge[p] == edge[p + 1]:
-                        continue
-                    use, local = np.unique(d[edge[p] : edge[p + 1]], return_inverse=True)
-                    for c, v in zip(cols, (p, o, keys[use].tobytes(), sizes[use].tobytes(), h[edge[p] : edge[p + 1]].tobytes(), _small(local), _small(at[edge[p] : edge[p + 1]]))):
-                        c.append(v)
-            docs_.clear()
-            for held in posts:
-                held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[2:]]], names=["part", "ord", "keys", "sizes", "hashes", "rows", "places"])
+            k, n = np.array(keys, np.int64), np.array(sizes, np.uint32)
+            mark, at_mark = np.array([m for m, _ in marks], X.U), np.array([m for _, m in marks], np.uint8)
+            h, w, at = (np.concatenate([x[c] for x in held]) for c in range(3))
+            d = np.repeat(np.arange(len(held), dtype=np.uint32), [len(x[0]) for x in held])
+            part = (h % X.U(parts)).astype(np.int32)
+            by = np.argsort(part, kind="stable")
+            h, w, at, d, part = (h[by] >> X.U(32)).astype(np.uint32), w[by], at[by], d[by], part[by]
+            edge = np.searchsorted(part, np.arange(parts + 1))
+            cols: list[list] = [[] for _ in range(9)]
+            for p in np.flatnonzero(np.diff(edge)).tolist():
+                here = slice(edge[p], edge[p + 1])
+                use, count = np.unique(d[here], return_counts=True)
+                for c, v in zip(cols, (p, *(x.tobytes() for x in (k[use], n[use], mark[use], at_mark[use], count.astype(np.uint32), h[here], w[here], at[here])))):
+                    c.append(v)
+            for x in (keys, sizes, marks, held, seen):
+                x.clear()
+            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]]], names=[c.split()[0] for c in POSTINGS.split(", ")])
 
         for b in batches:
             for _, a in _sets(b.column("text"), width):
                 n = len(a)
-                if not n:
+                key = _key(_digest(a)) if n else 0
+                if not n or key in seen:
                     continue
-                p = n - (-(-percent * n // 100)) + 1
-                docs_.append((_digest(a)[:8], n))
-                weight = rank[(a & X.U(BUCKETS - 1)).astype(np.int64)].astype(X.U) << X.U(56)
-                for o, salt in enumerate(ORDERS):
-                    place = weight | ((X.mix(a ^ X.U(salt)) if salt else a) >> X.U(8))
-                    first = np.argpartition(place, p - 1)[:p] if p < n else np.arange(n)
-                    posts[o].append((len(docs_) - 1, a[first[np.argsort(place[first])]]))
+                seen.add(key)
+                p = _prefix(n, percent)
+                weight = rank[(a & mask).astype(np.int64)]
+                place = (weight.astype(X.U) << X.U(56)) | (a >> X.U(8))
+                first = np.argpartition(place, p - 1)[:p] if p < n else np.arange(n)
+                first = first[np.argsort(place[first])]
+                at = (np.arange(p) * 256 // p).astype(np.uint8)
+                own = max(OWNERS, 6 * p // 10)  # sets of one size that link share a shingle up to about here
+                pick = np.arange(own - OWNERS, own) % p
+                keys.append(key)
+                sizes.append(n)
+                marks.append((place[first[pick]], at[pick]))
+                held.append((a[first], weight[first], at))
                 size += p
                 if size > FLUSH:
                     yield flush()
                     size = 0
-        if docs_:
+        if held:
             yield flush()
 
-    return docs.select("text").mapInArrow(run, "part int, ord int, keys binary, sizes binary, hashes binary, rows binary, places binary")
-
-
-def _pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Pairs of classes that share a prefix shingle and pass the length and positional filters, for the blocks of one partition."""
-    held: dict[tuple[int, int], list] = {}
-    for b in batches:
-        cols = [b.column(i).to_pylist() for i in range(7)]
-        for part, o, keys, sizes, hashes, rows, places in zip(*cols):
-            k, n, h = np.frombuffer(keys, np.int64), np.frombuffer(sizes, np.uint32), np.frombuffer(hashes, np.uint32)
-            held.setdefault((part, o), []).append((k, n, h, _wide(rows, len(h)), _wide(places, len(h))))
-    names = ["a", "b", "ord"]
-    for (_, o), group in held.items():
-        shift = np.concatenate([[0], np.cumsum([len(g[0]) for g in group])])
-        keys, sizes = np.concatenate([g[0] for g in group]), np.concatenate([g[1] for g in group]).astype(np.int64)
-        keys, first, code = np.unique(keys, return_index=True, return_inverse=True)
-        sizes = sizes[first]
-        h = np.concatenate([g[2] for g in group]).astype(np.int64)
-        d = code[np.concatenate([g[3] + s for g, s in zip(group, shift)])]
-        by_size = np.argsort(np.argsort(sizes, kind="stable"), kind="stable")  # place of each class by size
-        both, once = np.unique((h << 32) | by_size[d], return_index=True)
-        rest = np.concatenate([g[4] for g in group])[once]
-        back = np.argsort(by_size)
-        tok, cls = both >> 32, back[both & 0xFFFFFFFF]
-        n = sizes[cls]
-        rest = n - rest  # members from this place on
-        live, step, found, size = np.arange(len(tok) - 1), 1, [], 0
-        while len(live):
-            live = live[live + step < len(tok)]
-            ok = (tok[live] == tok[live + step]) & (100 * n[live] >= percent * n[live + step])
-            live = live[ok]  # further steps only leave the group or grow the other set
-            # positional filter: true of the first shared shingle of every pair that links
-            near = live[(100 + percent) * np.minimum(rest[live], rest[live + step]) >= percent * (n[live] + n[live + step])]
-            if len(near):
-                found.append((np.minimum(cls[near], cls[near + step]) << 32) | np.maximum(cls[near], cls[near + step]))
-                size += len(near)
-            step += 1
-            if size > FLUSH:
-                found, size = [np.unique(np.concatenate(found))], 0
-                if len(found[0]) > FLUSH:
-                    yield _named(found.pop(), keys, o, names)
-        if found:
-            yield _named(np.unique(np.concatenate(found)), keys, o, names)
-
-
-def _named(pairs: np.ndarray, keys: np.ndarray, o: int, names: list[str]) -> pa.RecordBatch:
+    return docs.select("text").mapInArrow(run, POSTINGS)
+
+
+class _Part:
+    """Postings of one partition, sorted by shingle and then by the size of the class."""
+
+    def __init__(self, blocks: list[tuple], percent: int) -> None:
+        read = lambda i, t: np.concatenate([np.frombuffer(b[i], t) for b in blocks])
+        keys, counts = read(0, np.int64), read(4, np.uint32).astype(np.int64)
+        self.keys, first, code = np.unique(keys, return_index=True, return_inverse=True)
+        sizes = read(1, np.uint32).astype(np.int64)[first]
+        self.marks = read(2, X.U).reshape(-1, OWNERS)[first]
+        self.mark_rest = _rest(sizes[:, None], read(3, np.uint8).reshape(-1, OWNERS)[first], percent)
+        once = np.zeros(len(keys), bool)
+        once[first] = True  # equal sets have equal postings: those of one copy are enough
+        keep = np.repeat(once, counts)
+        token = ((read(6, np.uint8).astype(np.int64) << 32) | read(5, np.uint32))[keep]
+        cls, places = np.repeat(code, counts)[keep], read(7, np.uint8)[keep]
+        # a shingle that one class alone has cannot make a pair
+        by = np.argsort(token, kind="stable")
+        new = np.diff(token[by], prepend=-1) != 0
+        many = ~(new & np.append(new[1:], True))
+        by = by[many]
+        group = np.cumsum(new)[many]
+        by, group = (x[np.lexsort((sizes[cls[by]], group))] for x in (by, group))
+        self.token, self.group, self.cls = token[by], group, cls[by]
+        self.n = sizes[self.cls]
+        self.rest = _rest(self.n, places[by], percent)
+
+    def until(self, percent: int) -> np.ndarray:
+        """For each posting, the end of those behind it that have the same shingle and pass the length filter."""
+        return np.searchsorted((self.group << 32) | self.n, (self.group << 32) | (100 * self.n // percent), "right")
+
+
+def _rest(n: np.ndarray, place: np.ndarray, percent: int) -> np.ndarray:
+    """Members from a place of the prefix on, or a few more."""
+    return n - place.astype(np.int64) * _prefix(n, percent) // 256
+
+
+def _passing(x, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:  # noqa: ANN001
+    """Class pairs of the posting pairs (i, j) that pass the positional filter and are owned here, each once."""
+    least = percent * (x.n[i] + x.n[j])
+    ok = ((100 + percent) * np.minimum(x.rest[i], x.rest[j]) >= least) & (x.cls[i] != x.cls[j])
+    i, j, least = i[ok], j[ok], least[ok]
+    a, b, later = x.cls[i], x.cls[j], np.zeros(len(i), bool)
+    for p in range(OWNERS):
+        for q in range(OWNERS):  # a shared mark that passes and comes later in the order has the pair
+            e = x.marks[a, p]
+            same = (e == x.marks[b, q]) & ((e >> X.U(24)).astype(np.int64) > x.token[i])
+            later |= same & ((100 + percent) * np.minimum(x.mark_rest[a, p], x.mark_rest[b, q]) >= least)
+    a, b = a[~later], b[~later]
+    return np.unique((np.minimum(a, b) << 32) | np.maximum(a, b))
+
+
+def _steps(count: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Runs of rows with about ``FLUSH`` pairs in all."""
+    total = np.concatenate([[0], np.cumsum(count)])
+    i = 0
+    while i < len(count):
+        j = max(i + 1, int(np.searchsorted(total, total[i] + FLUSH, "right")) - 1)
+        yield i, j
+        i = j
+
+
+PAIRS = "a long, b long, token long, left binary, right binary"
+
+
+def _found(keys: np.ndarray, pairs: np.ndarray) -> pa.RecordBatch:
     a, b = keys[pairs >> 32], keys[pairs & 0xFFFFFFFF]
-    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(np.full(len(a), 1 << o, np.int32))], names=names)
+    none = pa.nulls(len(a))
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), none.cast(pa.int64()), none.cast(pa.binary()), none.cast(pa.binary())], names=["a", "b", "token", "left", "right"])
 
 
-def candidates(docs: DataFrame, rank: Broadcast, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """(a, b): keys (the first 8 bytes of the digests) of class pairs that pass the filters of every order."""
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def _pairs(batches: Iterator[pa.RecordBatch], percent: int, hot: int) -> Iterator[pa.RecordBatch]:
+    """Pairs of classes that pass the filters of the first order, and block pairs of hot shingles, of each partition."""
+    held: dict[int, list] = {}
+    for b in batches:
+        cols = [b.column(i).to_pylist() for i in range(9)]
+        for part, *block in zip(*cols):
+            held.setdefault(part, []).append(block)
+    while held:
+        x = _Part(held.popitem()[1], percent)
+        if not len(x.token):
+            continue
+        start = np.flatnonzero(np.diff(x.group, prepend=-1))
+        size = np.diff(np.append(start, len(x.group)))
+        long = size > hot
+        for s, n in zip(start[long], size[long]):
+            yield from _hot_blocks(x, int(s), int(s + n), percent, hot)
+        end = x.until(percent)
+        count = end - np.arange(len(end)) - 1
+        count[np.repeat(long, size)] = 0
+        kept: list[np.ndarray] = []
+        for i, j in _steps(count):
+            left = np.repeat(np.arange(i, j), count[i:j])
+            right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(count[i:j]) - count[i:j], count[i:j])
+            kept.append(_passing(x, left, right, percent))
+            if sum(map(len, kept)) > 4 * FLUSH:
+                kept = [np.unique(np.concatenate(kept))]
+                if len(kept[0]) > 2 * FLUSH:
+                    yield _found(x.keys, kept.pop())
+        if kept:
+            yield _found(x.keys, np.unique(np.concatenate(kept)))
+
+
+class _Side:
+    """Postings of one hot shingle in one block or two."""
+
+    def __init__(self, token: int, data: list[bytes]) -> None:
+        rows = np.concatenate([np.frombuffer(d, np.int64).reshape(-1, 3 + 2 * OWNERS) for d in data])
+        self.keys, self.n, self.rest, self.marks, self.mark_rest = rows[:, 0], rows[:, 1], rows[:, 2], rows[:, 3 : 3 + OWNERS].astype(X.U), rows[:, 3 + OWNERS :]
+        self.cls, self.token = np.arange(len(rows)), np.full(len(rows), token)
+
+
+def _hot_blocks(x: _Part, s: int, e: int, percent: int, hot: int) -> Iterator[pa.RecordBatch]:
+    cls = x.cls[s:e]
+    rows = np.column_stack([x.keys[cls], x.n[s:e], x.rest[s:e], x.marks[cls].astype(np.int64), x.mark_rest[cls]])
+    for k in range(0, e - s, hot):
+        for m in range(k, e - s, hot):
+            if 100 * rows[min(k + hot, e - s) - 1, 1] < percent * rows[m, 1]:
+                break  # blocks are sorted by size: no pair passes the length filter from here on
+            none = pa.nulls(1).cast(pa.int64())
+            sides = [rows[k : k + hot].tobytes()], [rows[m : m + hot].tobytes() if m > k else None]
+            yield pa.RecordBatch.from_arrays([none, none, pa.array([int(x.token[s])]), *[pa.array(c, pa.binary()) for c in sides]], names=["a", "b", "token", "left", "right"])
+
+
+def _hot_pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for token, left, right in zip(*[b.column(c).to_pylist() for c in ("token", "left", "right")]):
+            x = _Side(token, [left] if right is None else [left, right])
+            half = len(left) // (8 * (3 + 2 * OWNERS))
+            for i in range(half):
+                j = np.arange(i + 1 if right is None else half, len(x.n))
+                lo, hi = np.minimum(x.n[i], x.n[j]), np.maximum(x.n[i], x.n[j])
+                j = j[100 * lo >= percent * hi]
+                got = _passing(x, np.full(len(j), i), j, percent)
+                if len(got):
+                    yield _found(x.keys, got)
+
+
+def candidates(docs: DataFrame, rank: Broadcast, parts: int, width: int = WIDTH, percent: int = PERCENT, hot: int = HOT) -> DataFrame:
+    """(a, b): keys (the first 8 bytes of the digests) of class pairs that pass the filters of the first order."""
     posts = prefix_postings(docs, rank, parts, width, percent)
-    pairs = posts.repartition(parts, "part").mapInArrow(lambda x: _pairs(x, percent), "a long, b long, ord int")
-    return pairs.groupBy("a", "b").agg(F.bit_or("ord").alias("passed")).where(F.col("passed") == (1 << len(ORDERS)) - 1).select("a", "b")
-
-
-def likely(pairs: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(a, b, n_a, n_b): the candidates by representative, without those that their bitmaps rule out."""
-    end = lambda x: classes.select(F.col("key").alias(x), F.col("rep").alias(f"r_{x}"), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            ok = [bitmap_passes(x, y, n, m, percent) for x, y, n, m in zip(b["bits_a"], b["bits_b"], b["n_a"], b["n_b"])]
-            yield b.loc[ok, ["r_a", "r_b", "n_a", "n_b"]].rename(columns={"r_a": "a", "r_b": "b"})
-
-    both = pairs.join(end("a"), "a").join(end("b"), "b")
-    return both.select("r_a", "r_b", "n_a", "n_b", "bits_a", "bits_b").mapInPandas(run, "a long, b long, n_a long, n_b long")
-
-
-def _verify(batches: Iterator[pd.DataFrame], percent: int) -> Iterator[pd.DataFrame]:
-    """Stream the rows of a block (texts' sets first, then pairs) and keep the pairs that link."""
-    key, sets, out = None, {}, []
+    found = cut(posts.repartition(parts, "part").mapInArrow(lambda x: _pairs(x, percent, hot), PAIRS))
+    release(docs)
+    split = found.where("token IS NOT NULL").repartition(parts, F.xxhash64("token", "left", "right")).mapInArrow(lambda x: _hot_pairs(x, percent), PAIRS)
+    return found.where("token IS NULL").unionByName(split).select("a", "b").distinct()
+
+
+class _Sets:
+    """The sets of a block: shingles as codes in ascending order of their hashes."""
+
+    def __init__(self, nodes: list[int], data: list[bytes]) -> None:
+        order = np.argsort(np.array(nodes, np.int64), kind="stable")
+        self.nodes = np.array(nodes, np.int64)[order]
+        sets = [np.frombuffer(data[i], X.U) for i in order]
+        self.n = np.array([len(s) for s in sets], np.int64)
+        self.at = np.concatenate([[0], np.cumsum(self.n)])
+        u, code = np.unique(np.concatenate(sets), return_inverse=True)
+        self.code, self.flag = code.astype(np.int32), np.zeros(len(u), bool)
+
+    def shared(self, x: int, ys: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """Shingles that the parts [lo, hi) of x and of each of ys have in common; lo and hi by set, first for x."""
+        own = self.code[self.at[x] + lo[0] : self.at[x] + hi[0]]
+        size = hi[1:] - lo[1:]
+        before = np.cumsum(size) - size
+        idx = np.repeat(self.at[ys] + lo[1:] - before, size) + np.arange(int(size.sum()))
+        self.flag[own] = True
+        got = np.add.reduceat(self.flag[self.code[idx]].astype(np.int64), before)  # no part is empty
+        self.flag[own] = False
+        return got
+
+    def links(self, x: int, ys: np.ndarray, percent: int) -> np.ndarray:
+        """Those of ``ys`` that link with ``x``: the filters of the second and third order, then the whole sets."""
+        for order in ("ascending", "descending", "whole"):
+            if not len(ys):
+                break
+            n = self.n[np.append(x, ys)]
+            p, zero = _prefix(n, percent), np.zeros(len(n), np.int64)
+            need = -(-percent * (n[0] + n[1:]) // (100 + percent))
+            if order == "whole":
+                return ys[self.shared(x, ys, zero, n) >= need]
+            behind = np.maximum(n[0] - p[0], n[1:] - p[1:])
+            ys = ys[self.shared(x, ys, *((zero, p) if order == "ascending" else (n - p, n))) + behind >= need]
+        return ys
+
+
+def _verify(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Stream the rows of the blocks (sets first, then pairs by x) and keep the pairs that link."""
+    block, nodes, data, sets = None, [], [], None
     for b in batches:
-        for comp, i, j, kind, x, y, data in zip(b["comp"], b["i"], b["j"], b["kind"], b["x"], b["y"], b["data"]):
-            if (comp, i, j) != key:
-                key, sets = (comp, i, j), {}
-            if kind == 0:
-                sets[x] = np.frombuffer(data, np.uint64)
+        comp, i, j, kind, x, y = (np.asarray(b.column(c)) for c in ("comp", "i", "j", "kind", "x", "y"))
+        edge = np.flatnonzero((np.diff(comp, prepend=comp[:1] - 1) != 0) | (np.diff(i, prepend=i[:1]) != 0) | (np.diff(j, prepend=j[:1]) != 0) | (np.diff(kind, prepend=kind[:1]) != 0))
+        out: list[tuple[np.ndarray, np.ndarray]] = []
+        for s, e in zip(edge, np.append(edge[1:], b.num_rows)):
+            if (comp[s], i[s], j[s]) != block:
+                block, nodes, data, sets = (comp[s], i[s], j[s]), [], [], None
+            if kind[s] == 0:
+                nodes += x[s:e].tolist()
+                data += b.column("data").slice(s, e - s).to_pylist()
                 continue
-            p, q = sets[x], sets[y]
-            if len(p) > len(q):
-                p, q = q, p
-            at = np.searchsorted(q, p)
-            at[at == len(q)] = 0
-            n = int(np.count_nonzero(q[at] == p))
-            if 100 * n >= percent * (len(p) + len(q) - n):
-                out.append((x, y))
+            if sets is None:
+                sets, data = _Sets(nodes, data), []
+            px, py = np.searchsorted(sets.nodes, x[s:e]), np.searchsorted(sets.nodes, y[s:e])
+            begin = np.flatnonzero(np.diff(px, prepend=-1))
+            for s2, e2 in zip(begin, np.append(begin[1:], len(px))):
+                total = np.cumsum(sets.n[py[s2:e2]])
+                k = 0
+                while k < len(total):  # temporaries are bounded
+                    m = max(k + 1, int(np.searchsorted(total, (total[k - 1] if k else 0) + FLUSH)))
+                    got = sets.links(int(px[s2]), py[s2:e2][k:m], percent)
+                    if len(got):
+                        out.append((np.full(len(got), sets.nodes[px[s2]]), sets.nodes[got]))
+                    k = m
         if out:
-            yield pd.DataFrame(out, columns=["a", "b"])
-            out = []
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[0] for o in out])), pa.array(np.concatenate([o[1] for o in out]))], names=["a", "b"])
 
 
 def _slot(ids: np.ndarray) -> np.ndarray:
@@ -326,60 +460,68 @@ def _members(nodes: DataFrame) -> np.ndarray:
     return np.frombuffer(bytes(rows[0]["t"]), np.uint8) if rows else np.zeros(MEMBERS // 8, np.uint8)
 
 
-def verified(docs: DataFrame, pairs: DataFrame, width: int = WIDTH, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
-    """(a, b) of ``pairs`` (with set sizes n_a, n_b) whose whole sets reach the threshold."""
+def verified(docs: DataFrame, pairs: DataFrame, parts: int, width: int = WIDTH, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
+    """(a, b) of ``pairs`` (by doc_id, with set sizes n_a, n_b and keys k_a, k_b) whose whole sets reach the threshold."""
     ship(docs)
-    pairs = cut(pairs)
-    release(docs)
-    comp = components(pairs)
-    ids = pairs.select(F.col("a").alias("node"), F.col("n_a").alias("n")).unionByName(pairs.select(F.col("b").alias("node"), F.col("n_b").alias("n"))).distinct()
-    nodes = ids.join(comp, "node")
+    comp = components(pairs.select("a", "b"))
+    ends = [pairs.select(F.col(x).alias("node"), F.col(f"n_{x}").alias("n"), F.col(f"k_{x}").alias("key")) for x in "ab"]
+    nodes = ends[0].unionByName(ends[1]).distinct().join(comp, "node")
     size = nodes.groupBy("component").agg(F.greatest(F.lit(1), F.ceil(F.sum("n") / F.lit(block))).cast("int").alias("g"))
     nodes = cut(salted_join(nodes, size, ["component"], F.col("node"), "inner").withColumn("cell", F.pmod(F.xxhash64("node"), F.col("g")).cast("int")))
-
+    where = nodes.select("node", "component", "cell")
+    p = pairs.select("a", "b").join(where.withColumnsRenamed({"node": "a", "cell": "ca"}), "a").join(where.select(F.col("node").alias("b"), F.col("cell").alias("cb")), "b")
+    p = cut(p.select(F.col("component").alias("comp"), F.least("ca", "cb").alias("i"), F.greatest("ca", "cb").alias("j"), "a", "b"))
+    # the block pairs in which a set has a candidate
+    met = p.select("comp", "i", "j", F.explode(F.array("a", "b")).alias("node")).distinct()
     member = docs.sparkSession.sparkContext.broadcast(_members(nodes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            b = b.filter(pa.array(_is_member(member.value, np.asarray(b.column("node").fill_null(0)))))
+            b = b.filter(pa.array(_is_member(member.value, np.asarray(b.column("node")))))
             for part in (b.slice(i, 1000) for i in range(0, b.num_rows, 1000)):
-                data = [a.tobytes() for _, a in _sets(part.column("text"), width)]
-                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(data, pa.binary())], names=["node", "data"])
+                sets = [a for _, a in _sets(part.column("text"), width)]
+                keys = [_key(_digest(a)) for a in sets]
+                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(keys, pa.int64()), pa.array([a.tobytes() for a in sets], pa.binary())], names=["node", "key", "data"])
 
-    packed = docs.select(F.col("doc_id").cast("long").alias("node"), "text").mapInArrow(run, "node long, data binary")
-    sets = packed.join(nodes.select("node", "component", "cell", "g").hint("shuffle_hash"), "node")
-    mates = F.explode(F.sequence(F.lit(0), F.col("g") - 1))
-    left = sets.withColumn("o", mates).select(F.col("component").alias("comp"), F.least("cell", "o").alias("i"), F.greatest("cell", "o").alias("j"), F.lit(0).alias("kind"), F.col("node").alias("x"), F.lit(0).cast("long").alias("y"), "data")
-    where = nodes.select("node", "component", "cell")
-    p = pairs.select("a", "b").join(where.withColumnsRenamed({"node": "a", "cell": "ca"}), "a").join(where.select(F.col("node").alias("b"), F.col("cell").alias("cb")), "b")
-    right = p.select(F.col("component").alias("comp"), F.least("ca", "cb").alias("i"), F.greatest("ca", "cb").alias("j"), F.lit(1).alias("kind"), F.col("a").alias("x"), F.col("b").alias("y"), F.lit(None).cast("binary").alias("data"))
-    rows = left.unionByName(right).repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j", "kind")
-    return rows.mapInPandas(lambda x: _verify(x, percent), "a long, b long")
+    packed = docs.select(F.col("doc_id").cast("long").alias("node"), "text").where("node IS NOT NULL").mapInArrow(run, "node long, key long, data binary")
+    own = met.join(nodes.select("node", "key"), "node")
+    left = packed.join(own.hint("shuffle_hash"), ["node", "key"]).select("comp", "i", "j", F.lit(0).alias("kind"), F.col("node").alias("x"), F.lit(0).cast("long").alias("y"), "data")
+    right = p.select("comp", "i", "j", F.lit(1).alias("kind"), F.col("a").alias("x"), F.col("b").alias("y"), F.lit(None).cast("binary").alias("data"))
+    rows = left.unionByName(right).repartition(parts, "comp", "i", "j").sortWithinPartitions("comp", "i", "j", "kind", "x")
+    return rows.mapInArrow(lambda x: _verify(x, percent), "a long, b long")
 
 
 def similar(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """Per document: doc_id, n_shingles, n_similar, component_id."""
-    scan = cut(shingle_sets(docs, width))
-    sets = scan.where("chunk IS NULL").select("doc_id", "n", "digest", "key", "bits").dropDuplicates(["doc_id"])
-    rank = docs.sparkSession.sparkContext.broadcast(rarity(scan.where("chunk IS NOT NULL").select("chunk", "counts")))
-    classes = cut(sets.where("n > 0").groupBy("digest", "key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.max("n").alias("n"), F.max("bits").alias("bits")))
-    release(docs)
-    pairs = likely(candidates(docs, rank, width, percent), classes, percent)
-    links = cut(verified(docs, pairs, width, percent))
+    spark = docs.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = min(MOST_BUCKETS, max(LEAST_BUCKETS, 1 << math.ceil(math.log2(size / PER_BUCKET + 1))))
+    scan = cut(shingle_sets(docs, buckets, width))
+    docs_ = scan.where("chunk IS NULL")
+    sets = docs_.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(F.struct("digest", "n", "key")).alias("s")).select("doc_id", "s.digest", "s.n", "s.key")
+    rank = spark.sparkContext.broadcast(rarity(scan.where("chunk IS NOT NULL").select("chunk", "counts"), buckets))
+    classes = cut(sets.where("n > 0").groupBy("digest", "key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.max("n").alias("n")))
+    end = lambda x: classes.select(F.col("key").alias(f"k_{x}"), F.col("rep").alias(x), F.col("n").alias(f"n_{x}"))
+    found = candidates(docs, rank, parts, width, percent).withColumnsRenamed({"a": "k_a", "b": "k_b"})
+    pairs = cut(found.join(end("a"), "k_a").join(end("b"), "k_b"))
     rank.destroy()  # all that needed it is in checkpoints
     release(docs)
+    links = cut(verified(docs, pairs, parts, width, percent))
+    release(docs)
     ends = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     copies = classes.select(F.col("rep").alias("b"), "copies")
     linked = salted_join(ends, copies, ["b"], F.col("a"), "inner").groupBy("a").agg(F.sum("copies").alias("others"))
     comp = components(links)
     by_class = classes.join(linked, F.col("rep") == F.col("a"), "left").join(comp, F.col("rep") == F.col("node"), "left")
     by_class = by_class.select("digest", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("similar"), F.coalesce("component", "rep").alias("component"))
-    out = salted_join(sets.drop("bits", "key"), by_class, ["digest"], F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("similar", F.lit(0)).cast("long").alias("n_similar"), F.coalesce("component", "doc_id").alias("component_id"))
+    out = salted_join(sets.drop("key"), by_class, ["digest"], F.col("doc_id"))
+    known = out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("similar", F.lit(0)).cast("long").alias("n_similar"), F.coalesce("component", "doc_id").alias("component_id"))
+    return known.unionByName(docs_.where("doc_id IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.lit(0).cast("long").alias("n_similar"), F.col("doc_id").alias("component_id")))
 
 
 def keep_one(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """``docs`` with one document of each group: the one with the smallest doc_id."""
-    out = similar(docs, width, percent)
-    gone = out.where("component_id <> doc_id").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone.hint("shuffle_hash"), F.col("doc_id") == F.col("_gone"), "left_anti")
+    other = f"gone_{uuid.uuid4().hex}"
+    gone = similar(docs, width, percent).where("component_id <> doc_id").select(F.col("doc_id").alias(other))
+    return docs.join(gone.hint("shuffle_hash"), F.col("doc_id") == F.col(other), "left_anti")
