@@ -8,12 +8,13 @@ order. The first order finds pairs: its prefixes are posted to partitions by shi
 partition keeps the pairs that pass the length and positional filters. The other two are
 intersected with it where the sets of a candidate group meet, before verification: a pair
 stays when the shingles that both prefixes share, and all that lies behind the prefixes, could
-still reach the threshold. What is left is verified on the whole sets.
+still reach the threshold. Between the two, a parity bitmap of each set bounds the overlap from above, so that
+chance candidates neither move whole sets nor join groups. What is left is verified on the whole sets.
 An order is a function of the shingle alone, so coarse counts cost candidates, never links.
 
 Near copies share most of their prefix, so most partitions meet the same pair. Each posted
-class carries ``OWNERS`` marks, shingles of its prefix with their places; a pair is left to the last
-mark in the order that both have and that passes the filters, and only pairs without one are emitted
+class carries ``OWNERS`` marks, shingles of its prefix with their places; a pair is left to the first
+mark, in an order of their own, that both have and that passes the filters, and only pairs without one are emitted
 by several partitions.
 
 What moves: prefix postings of one order as packed blocks (not rows), narrow pair and node
@@ -59,7 +60,7 @@ LEAST_BUCKETS, MOST_BUCKETS, PER_BUCKET, CHUNKS = 1 << 22, 1 << 26, 1 << 13, 16
 BLOCK = 1 << 21
 FLUSH = 1 << 19
 MEMBERS = 1 << 22
-OWNERS, HOT = 2, 1 << 12
+OWNERS, HOT = 1, 1 << 12
 
 
 def _sets(col: pa.Array, width: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -84,13 +85,32 @@ def _key(digest: bytes) -> int:
     return int.from_bytes(digest[:8], "little", signed=True)
 
 
+def _bitmap(a: np.ndarray) -> bytes:
+    """Parities of the shingles by hash position, on at least twice as many bits as shingles."""
+    size = 1 << max(6, int(2 * len(a) - 1).bit_length())
+    n = np.bincount((a >> X.U(40)).astype(np.int64) & (size - 1), minlength=size)
+    return np.packbits((n & 1).astype(np.uint8)).tobytes()
+
+
+def _differing(xs: list[bytes], ys: list[bytes]) -> np.ndarray:
+    """Differing bits of pairs of bitmaps, the longer ones folded to the length of the shorter: each is a shingle that one set alone has."""
+    size = np.array([(len(x), len(y)) for x, y in zip(xs, ys)])
+    out = np.zeros(len(size), np.int64)
+    for lens in np.unique(size, axis=0):
+        at = np.flatnonzero((size == lens).all(axis=1))
+        least = int(lens.min())
+        u, v = (np.bitwise_xor.reduce(np.frombuffer(b"".join(s[k] for k in at), np.uint8).reshape(len(at), -1, least), axis=1) for s in (xs, ys))
+        out[at] = np.bitwise_count(u ^ v).sum(axis=1)
+    return out
+
+
 def shingle_sets(docs: DataFrame, buckets: int = LEAST_BUCKETS, width: int = WIDTH) -> DataFrame:
-    """Per document (doc_id, n, digest of the set, key: its first 8 bytes), and per task the hashed shingle counts in chunks (chunk, counts)."""
+    """Per document (doc_id, n, digest of the set, key: its first 8 bytes, bitmap), and per task the hashed shingle counts in chunks (chunk, counts)."""
     ship(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, held, size = np.zeros(buckets, np.uint16), [], 0
-        names = ["doc_id", "n", "digest", "key", "chunk", "counts"]
+        names = ["doc_id", "n", "digest", "key", "bits", "chunk", "counts"]
 
         def add() -> None:
             at, n = np.unique((np.concatenate(held) & X.U(buckets - 1)).astype(np.uint32), return_counts=True)
@@ -99,10 +119,11 @@ def shingle_sets(docs: DataFrame, buckets: int = LEAST_BUCKETS, width: int = WID
 
         seen = False
         for b in batches:
-            n, digest = np.zeros(b.num_rows, np.int64), [b""] * b.num_rows
+            n, digest, bits = np.zeros(b.num_rows, np.int64), [b""] * b.num_rows, [b""] * b.num_rows
             for r, a in _sets(b.column("text"), width):
                 n[r] = len(a)
-                digest[r] = _digest(a) if len(a) else b""
+                if len(a):
+                    digest[r], bits[r] = _digest(a), _bitmap(a)
                 held.append(a)
                 size += len(a)
                 if size > FLUSH:
@@ -110,16 +131,16 @@ def shingle_sets(docs: DataFrame, buckets: int = LEAST_BUCKETS, width: int = WID
                     size = 0
             none = pa.nulls(b.num_rows)
             seen = seen or b.num_rows > 0
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n), pa.array(digest, pa.binary()), pa.array([_key(x) for x in digest], pa.int64()), none.cast(pa.int32()), none.cast(pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n), pa.array(digest, pa.binary()), pa.array([_key(x) for x in digest], pa.int64()), pa.array(bits, pa.binary()), none.cast(pa.int32()), none.cast(pa.binary())], names=names)
         if held:
             add()
         if seen:
             part = buckets // CHUNKS
             packed = [zlib.compress(counts[k * part : (k + 1) * part].tobytes(), 1) for k in range(CHUNKS)]
             none = pa.nulls(CHUNKS)
-            yield pa.RecordBatch.from_arrays([none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.binary()), none.cast(pa.int64()), pa.array(range(CHUNKS), pa.int32()), pa.array(packed, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.binary()), none.cast(pa.int64()), none.cast(pa.binary()), pa.array(range(CHUNKS), pa.int32()), pa.array(packed, pa.binary())], names=names)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, digest binary, key long, chunk int, counts binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, digest binary, key long, bits binary, chunk int, counts binary")
 
 
 def _fold(batches: Iterator[pd.DataFrame], summed: bool) -> Iterator[pd.DataFrame]:
@@ -150,6 +171,11 @@ def _prefix(n: np.ndarray | int, percent: int):  # noqa: ANN202
     return n - (-(-percent * n // 100)) + 1
 
 
+def _turn(place: np.ndarray) -> np.ndarray:
+    """The order in which marks take charge of a pair: by another permutation of the shingles."""
+    return X.mix(place >> X.U(24))
+
+
 POSTINGS = "part int, keys binary, sizes binary, marks binary, marked binary, counts binary, hashes binary, weights binary, places binary"
 
 
@@ -199,8 +225,8 @@ def prefix_postings(docs: DataFrame, shared: Broadcast, parts: int, width: int =
                 first = np.argpartition(place, p - 1)[:p] if p < n else np.arange(n)
                 first = first[np.argsort(place[first])]
                 at = (np.arange(p) * 256 // p).astype(np.uint8)
-                own = max(OWNERS, 6 * p // 10)  # sets of one size that link share a shingle up to about here
-                pick = np.arange(own - OWNERS, own) % p
+                core = place[first[: max(OWNERS, 6 * p // 10)]]  # sets of one size that link share a shingle up to about here
+                pick = np.argsort(_turn(core), kind="stable")[np.arange(OWNERS) % len(core)]
                 keys.append(key)
                 sizes.append(n)
                 marks.append((place[first[pick]], at[pick]))
@@ -240,6 +266,7 @@ class _Part:
         self.token, self.group, self.cls = token[by], group, cls[by]
         self.n = sizes[self.cls]
         self.rest = _rest(self.n, places[by], percent)
+        self.turn = X.mix(self.token.astype(X.U))
 
     def until(self, percent: int) -> np.ndarray:
         """For each posting, the end of those behind it that have the same shingle and pass the length filter."""
@@ -256,13 +283,13 @@ def _passing(x, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:  # no
     least = percent * (x.n[i] + x.n[j])
     ok = ((100 + percent) * np.minimum(x.rest[i], x.rest[j]) >= least) & (x.cls[i] != x.cls[j])
     i, j, least = i[ok], j[ok], least[ok]
-    a, b, later = x.cls[i], x.cls[j], np.zeros(len(i), bool)
+    a, b, taken = x.cls[i], x.cls[j], np.zeros(len(i), bool)
     for p in range(OWNERS):
-        for q in range(OWNERS):  # a shared mark that passes and comes later in the order has the pair
+        for q in range(OWNERS):  # a shared mark that passes and has an earlier turn takes the pair
             e = x.marks[a, p]
-            same = (e == x.marks[b, q]) & ((e >> X.U(24)).astype(np.int64) > x.token[i])
-            later |= same & ((100 + percent) * np.minimum(x.mark_rest[a, p], x.mark_rest[b, q]) >= least)
-    a, b = a[~later], b[~later]
+            same = (e == x.marks[b, q]) & (_turn(e) < x.turn[i])
+            taken |= same & ((100 + percent) * np.minimum(x.mark_rest[a, p], x.mark_rest[b, q]) >= least)
+    a, b = a[~taken], b[~taken]
     return np.unique((np.minimum(a, b) << 32) | np.maximum(a, b))
 
 
@@ -323,7 +350,7 @@ class _Side:
     def __init__(self, token: int, data: list[bytes]) -> None:
         rows = np.concatenate([np.frombuffer(d, np.int64).reshape(-1, 3 + 2 * OWNERS) for d in data])
         self.keys, self.n, self.rest, self.marks, self.mark_rest = rows[:, 0], rows[:, 1], rows[:, 2], rows[:, 3 : 3 + OWNERS].astype(X.U), rows[:, 3 + OWNERS :]
-        self.cls, self.token = np.arange(len(rows)), np.full(len(rows), token)
+        self.cls, self.turn = np.arange(len(rows)), np.full(len(rows), X.mix(np.array([token], X.U))[0])
 
 
 def _hot_blocks(x: _Part, s: int, e: int, percent: int, hot: int) -> Iterator[pa.RecordBatch]:
@@ -361,6 +388,22 @@ def candidates(docs: DataFrame, rank: Broadcast, parts: int, width: int = WIDTH,
     return found.where("token IS NULL").unionByName(split).select("a", "b").distinct()
 
 
+def likely(pairs: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The candidates (a, b, n_a, n_b, k_a, k_b), by representative, without those that their bitmaps rule out."""
+    end = lambda x: classes.select(F.col("key").alias(x), F.col("rep").alias(f"r_{x}"), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"))
+    names = ["a", "b", "n_a", "n_b", "k_a", "k_b"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (x.slice(i, 5000) for x in batches for i in range(0, x.num_rows, 5000)):
+            n, m = np.asarray(b.column("n_a")), np.asarray(b.column("n_b"))
+            most = (n + m - _differing(b.column("bits_a").to_pylist(), b.column("bits_b").to_pylist())) // 2  # members in common
+            b = b.filter(pa.array((100 + percent) * most >= percent * (n + m)))
+            yield pa.RecordBatch.from_arrays([b.column(c) for c in ("r_a", "r_b", "n_a", "n_b", "a", "b")], names=names)
+
+    both = pairs.join(end("a"), "a").join(end("b"), "b")
+    return both.select("r_a", "r_b", "n_a", "n_b", "a", "b", "bits_a", "bits_b").mapInArrow(run, ", ".join(f"{c} long" for c in names))
+
+
 class _Sets:
     """The sets of a block: shingles as codes in ascending order of their hashes."""
 
@@ -499,12 +542,10 @@ def similar(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> Data
     buckets = min(MOST_BUCKETS, max(LEAST_BUCKETS, 1 << math.ceil(math.log2(size / PER_BUCKET + 1))))
     scan = cut(shingle_sets(docs, buckets, width))
     docs_ = scan.where("chunk IS NULL")
-    sets = docs_.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(F.struct("digest", "n", "key")).alias("s")).select("doc_id", "s.digest", "s.n", "s.key")
+    sets = docs_.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(F.struct("digest", "n", "key", "bits")).alias("s")).select("doc_id", "s.digest", "s.n", "s.key", "s.bits")
     rank = spark.sparkContext.broadcast(rarity(scan.where("chunk IS NOT NULL").select("chunk", "counts"), buckets))
-    classes = cut(sets.where("n > 0").groupBy("digest", "key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.max("n").alias("n")))
-    end = lambda x: classes.select(F.col("key").alias(f"k_{x}"), F.col("rep").alias(x), F.col("n").alias(f"n_{x}"))
-    found = candidates(docs, rank, parts, width, percent).withColumnsRenamed({"a": "k_a", "b": "k_b"})
-    pairs = cut(found.join(end("a"), "k_a").join(end("b"), "k_b"))
+    classes = cut(sets.where("n > 0").groupBy("digest", "key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.max("n").alias("n"), F.max("bits").alias("bits")))
+    pairs = cut(likely(candidates(docs, rank, parts, width, percent), classes, percent))
     rank.destroy()  # all that needed it is in checkpoints
     release(docs)
     links = cut(verified(docs, pairs, parts, width, percent))
@@ -515,7 +556,7 @@ def similar(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> Data
     comp = components(links)
     by_class = classes.join(linked, F.col("rep") == F.col("a"), "left").join(comp, F.col("rep") == F.col("node"), "left")
     by_class = by_class.select("digest", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("similar"), F.coalesce("component", "rep").alias("component"))
-    out = salted_join(sets.drop("key"), by_class, ["digest"], F.col("doc_id"))
+    out = salted_join(sets.select("doc_id", "n", "digest"), by_class, ["digest"], F.col("doc_id"))
     known = out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("similar", F.lit(0)).cast("long").alias("n_similar"), F.coalesce("component", "doc_id").alias("component_id"))
     return known.unionByName(docs_.where("doc_id IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.lit(0).cast("long").alias("n_similar"), F.col("doc_id").alias("component_id")))
 
