@@ -66,22 +66,20 @@ def test_ngram_join_against_brute_force(spark, seed):
     assert got == brute(rows)
 
 
-def pairs_of(docs):
-    sets = ngram_join.shingle_sets(docs).where("chunk IS NULL")
-    cls = sets.groupBy("digest", "key").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"))
-    end = lambda x: cls.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("key").alias(f"k_{x}"))
-    return cls, end("a").join(end("b")).where("a < b")
-
-
 def test_ngram_join_with_groups_over_the_block_limit(spark):
     rnd = random.Random(5)
     b = [f"w{i}" for i in range(60)]
     rows = [(i, " ".join(rnd.choice(["x", "y"]) if rnd.random() < 0.08 else w for w in b)) for i in range(60)]
-    cls, pairs = pairs_of(spark.createDataFrame(rows, "doc_id long, text string"))
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = ngram_join.shingle_sets(d).where("chunk IS NULL")
+    cls = sets.groupBy("digest", "key").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("bits").alias("bits"))
+    pairs = cls.select(F.col("key").alias("a")).join(cls.select(F.col("key").alias("b"))).where("a < b").withColumn("cell", F.pmod("b", F.lit(3)))
     want = {(i, j) for i, s in rows for j, t in rows if i < j and 100 * len(shingles(s) & shingles(t)) >= 60 * len(shingles(s) | shingles(t))}
-    reps = {r.rep for r in cls.collect()}
-    got = {(r.a, r.b) for r in ngram_join.verified(spark.createDataFrame(rows, "doc_id long, text string"), pairs, 4, block=200).collect()}
-    assert got == {(i, j) for i, j in want if i in reps and j in reps}
+    reps = {r.key: r.rep for r in cls.collect()}
+    want = {(i, j) for i, j in want if {i, j} <= set(reps.values())}
+    for given in (pairs, ngram_join.likely(pairs, cls, 4)):
+        got = {tuple(sorted((reps[r.a], reps[r.b]))) for r in ngram_join.verified(d, given, cls, 4, block=200).collect()}
+        assert got == want
 
 
 @pytest.mark.parametrize("hot", [3, 7, 1000])
@@ -181,6 +179,40 @@ def test_toxicity_learns_words_stems_and_disguises(spark):
     assert kept == {i for i in out if out[i].score < 0.5 or i in kept}
 
 
+def test_toxicity_of_long_and_repeated_texts(spark):
+    import time
+
+    m = toxicity.Model({"gruntle": 5.0, "snark*": 4.0}, slope=1.0, offset=-2.0)
+    began = time.perf_counter()
+    for x in ("1", "!", "a", "a1", "1 ", "!!a ", "g", "gruntle", "é"):
+        toxicity.fold(x * (1_000_000 // len(x)))
+    assert time.perf_counter() - began < 5.0
+    assert toxicity.fold("h3ll0 2024 a1! 1a 3" + "!" * 9) == "hell0 2024 a1! ia 3" + "!" * 9
+    texts = ["1" * 100_000, "!" * 100_000, "a " * 50_000, None, "", "gruntle " * 20_000, "x" * 100_000 + " gruntle"]
+    rows = [(i % 7, texts[i % 7]) for i in range(14)]
+    out = toxicity.score(spark.createDataFrame(rows, "doc_id long, text string").withColumn("predicted", F.lit(1)), m).collect()
+    by = defaultdict(set)
+    for r in out:
+        by[r.doc_id].add(r.score)
+    assert len(out) == 14 and all(len(v) == 1 and v == {m.score(texts[i])} for i, v in by.items())
+    assert m.score(texts[5]) > 0.5 > m.score(texts[0]) == m.score(None)
+
+
+def test_toxicity_learns_exceptions_of_every_word(spark):
+    """Pairs with clean documents only are exceptions whatever the alphabet says, for word beginnings too."""
+    rows, labels = [], []
+    for i in range(400):
+        rows.append((i, f"p{i % 40}x zzgruntler q{i % 37}y" if i % 2 else f"walk{i % 30} garden house"))
+        labels.append((i, i % 2))
+    for k in range(8):
+        rows.append((1000 + k, f"old{'abcdefgh'[k]} zzgruntler gate"))
+        labels.append((1000 + k, 0))
+    d, y = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    m = toxicity.train(d, y)
+    assert {f"old{c} zzgruntler" for c in "abcdefgh"} <= m.exceptions and "zzgru*" in m.weights
+    assert m.raw("olda zzgruntler") == 0 < m.raw("some zzgruntler")
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p><p>no";</script></head><body class="nav-open"><nav><ul><li><a href="/a">Home</a></li><li>Plain</li></ul></nav>
 <div class="cookie-notice">We use cookies on this site.</div><article><h1>Head &amp; line</h1><p><b>First   para &lt;x&gt;<br>more<p>Second <a href="/x">link</a> here.</p><aside>Side words</aside><form><label>Name</label><input></form>
 <p>One.</p></article><section id="comments"><p>Nice article, thank you all very much indeed for it.</p></section><!-- <p>gone</p> --><footer>&copy; x</footer></body></html>"""

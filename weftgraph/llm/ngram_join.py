@@ -5,24 +5,26 @@ only classes are compared. Shingles have places in three global orders: rare fir
 count over the whole corpus), by ascending hash, and by descending hash. Two sets with
 Jaccard ``T`` or more share a shingle among the first ``n - ceil(T n) + 1`` of both under every
 order. The first order finds pairs: its prefixes are posted to partitions by shingle, and a
-partition keeps the pairs that pass the length and positional filters. The other two are
+partition keeps the pairs that pass the length filter, and the positional filter or, of larger sets, have so many prefix
+shingles in common there as one partition must see of a pair that links. The other two are
 intersected with it where the sets of a candidate group meet, before verification: a pair
 stays when the shingles that both prefixes share, and all that lies behind the prefixes, could
 still reach the threshold. Between the two, a parity bitmap of each set bounds the overlap from above, so that
 chance candidates neither move whole sets nor join groups. What is left is verified on the whole sets.
 An order is a function of the shingle alone, so coarse counts cost candidates, never links.
 
-Near copies share most of their prefix, so most partitions meet the same pair. Each posted
-class carries ``OWNERS`` marks, shingles of its prefix with their places; a pair is left to the first
-mark, in an order of their own, that both have and that passes the filters, and only pairs without one are emitted
-by several partitions.
-
-What moves: prefix postings of one order as packed blocks (not rows), narrow pair and node
-tables, and the packed sets of documents that have a candidate. Candidate groups (connected
-components, each partition's pairs contracted to a forest first) are verified in blocks; a group with
-more than ``BLOCK`` shingles is cut into cells, and a set goes only to the block pairs in which it has a
-candidate, so no task holds an unbounded group. The posting list of a shingle with more than ``HOT``
-classes is cut into blocks too, and its block pairs are dealt to all tasks. Nothing of corpus size is
+Near copies share most of their prefix, so most partitions meet the same pair. Each posted class
+carries a mark, one shingle from the later half of its prefix chosen by yet another permutation. Two classes
+with the same mark are emitted by the partition of that mark alone, whatever the other filters say; other pairs
+by every partition in which they pass. There are as many partitions as hold ``POSTED`` postings each: the fewer, the
+more of a pair each of them sees.
+
+What moves: prefix postings of one order as packed blocks (not rows), narrow pair tables, and bitmaps and sets
+of the documents that have a candidate. A class that is the larger of a pair by its key takes the least partner as its
+leader; in a group of near copies nearly all have one leader. A pair is judged in the cell of its larger end's leader,
+and a bitmap or set goes to a cell once, however many pairs it has there. A cell with more than
+``BLOCK`` shingles is cut into block pairs, so no task holds an unbounded group. The posting list of a shingle with
+more than ``HOT`` classes is cut into blocks too, and its block pairs are dealt to all tasks. Nothing of corpus size is
 broadcast: the counts are between 2**22 and ``MOST_BUCKETS`` bytes, by the bytes of text, and the membership
 table of candidates is ``MEMBERS`` bits. Coarser counts and a fuller table cost candidates and traffic, never links.
 
@@ -60,7 +62,7 @@ LEAST_BUCKETS, MOST_BUCKETS, PER_BUCKET, CHUNKS = 1 << 22, 1 << 26, 1 << 13, 16
 BLOCK = 1 << 21
 FLUSH = 1 << 19
 MEMBERS = 1 << 22
-OWNERS, HOT = 1, 1 << 12
+HOT, POSTED = 1 << 12, 1_500_000
 
 
 def _sets(col: pa.Array, width: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -171,18 +173,13 @@ def _prefix(n: np.ndarray | int, percent: int):  # noqa: ANN202
     return n - (-(-percent * n // 100)) + 1
 
 
-def _turn(place: np.ndarray) -> np.ndarray:
-    """The order in which marks take charge of a pair: by another permutation of the shingles."""
-    return X.mix(place >> X.U(24))
-
-
-POSTINGS = "part int, keys binary, sizes binary, marks binary, marked binary, counts binary, hashes binary, weights binary, places binary"
+POSTINGS = "part int, keys binary, sizes binary, marks binary, counts binary, hashes binary, weights binary, places binary"
 
 
 def prefix_postings(docs: DataFrame, shared: Broadcast, parts: int, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """Packed blocks of prefix shingles in the rare-first order.
 
-    A block has a table of classes (key, size, marks and their places, number of postings) and, class by
+    A block has a table of classes (key, size, mark, number of postings) and, class by
     class, the upper half of each hash, its weight, and its place in 256ths of the prefix, rounded down.
     """
     ship(docs)
@@ -195,18 +192,18 @@ def prefix_postings(docs: DataFrame, shared: Broadcast, parts: int, width: int =
 
         def flush() -> pa.RecordBatch:
             k, n = np.array(keys, np.int64), np.array(sizes, np.uint32)
-            mark, at_mark = np.array([m for m, _ in marks], X.U), np.array([m for _, m in marks], np.uint8)
+            mark = np.array(marks, X.U)
             h, w, at = (np.concatenate([x[c] for x in held]) for c in range(3))
             d = np.repeat(np.arange(len(held), dtype=np.uint32), [len(x[0]) for x in held])
             part = (h % X.U(parts)).astype(np.int32)
             by = np.argsort(part, kind="stable")
             h, w, at, d, part = (h[by] >> X.U(32)).astype(np.uint32), w[by], at[by], d[by], part[by]
             edge = np.searchsorted(part, np.arange(parts + 1))
-            cols: list[list] = [[] for _ in range(9)]
+            cols: list[list] = [[] for _ in range(8)]
             for p in np.flatnonzero(np.diff(edge)).tolist():
                 here = slice(edge[p], edge[p + 1])
                 use, count = np.unique(d[here], return_counts=True)
-                for c, v in zip(cols, (p, *(x.tobytes() for x in (k[use], n[use], mark[use], at_mark[use], count.astype(np.uint32), h[here], w[here], at[here])))):
+                for c, v in zip(cols, (p, *(x.tobytes() for x in (k[use], n[use], mark[use], count.astype(np.uint32), h[here], w[here], at[here])))):
                     c.append(v)
             for x in (keys, sizes, marks, held, seen):
                 x.clear()
@@ -225,11 +222,10 @@ def prefix_postings(docs: DataFrame, shared: Broadcast, parts: int, width: int =
                 first = np.argpartition(place, p - 1)[:p] if p < n else np.arange(n)
                 first = first[np.argsort(place[first])]
                 at = (np.arange(p) * 256 // p).astype(np.uint8)
-                core = place[first[: max(OWNERS, 6 * p // 10)]]  # sets of one size that link share a shingle up to about here
-                pick = np.argsort(_turn(core), kind="stable")[np.arange(OWNERS) % len(core)]
+                late = place[first[p // 2 :]]  # what one document alone has comes first
                 keys.append(key)
                 sizes.append(n)
-                marks.append((place[first[pick]], at[pick]))
+                marks.append(late[np.argmin(X.mix(late))])
                 held.append((a[first], weight[first], at))
                 size += p
                 if size > FLUSH:
@@ -246,16 +242,15 @@ class _Part:
 
     def __init__(self, blocks: list[tuple], percent: int) -> None:
         read = lambda i, t: np.concatenate([np.frombuffer(b[i], t) for b in blocks])
-        keys, counts = read(0, np.int64), read(4, np.uint32).astype(np.int64)
+        keys, counts = read(0, np.int64), read(3, np.uint32).astype(np.int64)
         self.keys, first, code = np.unique(keys, return_index=True, return_inverse=True)
-        sizes = read(1, np.uint32).astype(np.int64)[first]
-        self.marks = read(2, X.U).reshape(-1, OWNERS)[first]
-        self.mark_rest = _rest(sizes[:, None], read(3, np.uint8).reshape(-1, OWNERS)[first], percent)
+        self.sizes = sizes = read(1, np.uint32).astype(np.int64)[first]
+        self.marks = read(2, X.U)[first]
         once = np.zeros(len(keys), bool)
         once[first] = True  # equal sets have equal postings: those of one copy are enough
         keep = np.repeat(once, counts)
-        token = ((read(6, np.uint8).astype(np.int64) << 32) | read(5, np.uint32))[keep]
-        cls, places = np.repeat(code, counts)[keep], read(7, np.uint8)[keep]
+        token = ((read(5, np.uint8).astype(np.int64) << 32) | read(4, np.uint32))[keep]
+        cls, places = np.repeat(code, counts)[keep], read(6, np.uint8)[keep]
         # a shingle that one class alone has cannot make a pair
         by = np.argsort(token, kind="stable")
         new = np.diff(token[by], prepend=-1) != 0
@@ -263,34 +258,39 @@ class _Part:
         by = by[many]
         group = np.cumsum(new)[many]
         by, group = (x[np.lexsort((sizes[cls[by]], group))] for x in (by, group))
-        self.token, self.group, self.cls = token[by], group, cls[by]
+        self.token, self.group, self.cls = token[by], group, cls[by].astype(np.int32)
         self.n = sizes[self.cls]
-        self.rest = _rest(self.n, places[by], percent)
-        self.turn = X.mix(self.token.astype(X.U))
+        self.rest = self.n - places[by].astype(np.int64) * _prefix(self.n, percent) // 256  # members from this place on, or a few more
 
     def until(self, percent: int) -> np.ndarray:
         """For each posting, the end of those behind it that have the same shingle and pass the length filter."""
         return np.searchsorted((self.group << 32) | self.n, (self.group << 32) | (100 * self.n // percent), "right")
 
 
-def _rest(n: np.ndarray, place: np.ndarray, percent: int) -> np.ndarray:
-    """Members from a place of the prefix on, or a few more."""
-    return n - place.astype(np.int64) * _prefix(n, percent) // 256
+def _least_shared(n: np.ndarray, m: np.ndarray, parts: int, percent: int) -> np.ndarray:
+    """Prefix shingles that sets of these sizes that link share in one of ``parts`` partitions at least.
+
+    All that lies behind the prefixes may be shared, and the rest of the overlap is not in every partition below its mean.
+    """
+    behind = np.maximum(n - _prefix(n, percent), m - _prefix(m, percent))
+    return -(-np.maximum(1, -(-percent * (n + m) // (100 + percent)) - behind) // parts)
 
 
-def _passing(x, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:  # noqa: ANN001
-    """Class pairs of the posting pairs (i, j) that pass the positional filter and are owned here, each once."""
-    least = percent * (x.n[i] + x.n[j])
-    ok = ((100 + percent) * np.minimum(x.rest[i], x.rest[j]) >= least) & (x.cls[i] != x.cls[j])
-    i, j, least = i[ok], j[ok], least[ok]
-    a, b, taken = x.cls[i], x.cls[j], np.zeros(len(i), bool)
-    for p in range(OWNERS):
-        for q in range(OWNERS):  # a shared mark that passes and has an earlier turn takes the pair
-            e = x.marks[a, p]
-            same = (e == x.marks[b, q]) & (_turn(e) < x.turn[i])
-            taken |= same & ((100 + percent) * np.minimum(x.mark_rest[a, p], x.mark_rest[b, q]) >= least)
-    a, b = a[~taken], b[~taken]
-    return np.unique((np.minimum(a, b) << 32) | np.maximum(a, b))
+def _passing(x, i: np.ndarray, j: np.ndarray, parts: int, percent: int) -> tuple[np.ndarray, np.ndarray]:  # noqa: ANN001
+    """Of the posting pairs (i, j): class pairs to emit at once, by their mark, and those to count, one for each shared shingle."""
+    a, b = x.cls[i].astype(np.int64), x.cls[j].astype(np.int64)
+    pair, mark = (np.minimum(a, b) << 32) | np.maximum(a, b), x.marks[a]
+    same, other = mark == x.marks[b], a != b
+    near = (100 + percent) * np.minimum(x.rest[i], x.rest[j]) >= percent * (x.n[i] + x.n[j])  # the positional filter
+    near |= _least_shared(x.n[i], x.n[j], parts, percent) > 1  # it knows the first shared shingle; these are counted whole
+    return pair[same & other & ((mark >> X.U(24)).astype(np.int64) == x.token[i])], pair[~same & other & near]
+
+
+def _sum(pairs: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    by = np.argsort(pairs, kind="stable")
+    pairs = pairs[by]
+    start = np.flatnonzero(np.diff(pairs, prepend=-1))
+    return pairs[start], np.add.reduceat(counts[by], start) if len(start) else counts[:0]
 
 
 def _steps(count: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -312,11 +312,11 @@ def _found(keys: np.ndarray, pairs: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), none.cast(pa.int64()), none.cast(pa.binary()), none.cast(pa.binary())], names=["a", "b", "token", "left", "right"])
 
 
-def _pairs(batches: Iterator[pa.RecordBatch], percent: int, hot: int) -> Iterator[pa.RecordBatch]:
+def _pairs(batches: Iterator[pa.RecordBatch], parts: int, percent: int, hot: int) -> Iterator[pa.RecordBatch]:
     """Pairs of classes that pass the filters of the first order, and block pairs of hot shingles, of each partition."""
     held: dict[int, list] = {}
     for b in batches:
-        cols = [b.column(i).to_pylist() for i in range(9)]
+        cols = [b.column(i).to_pylist() for i in range(8)]
         for part, *block in zip(*cols):
             held.setdefault(part, []).append(block)
     while held:
@@ -331,31 +331,37 @@ def _pairs(batches: Iterator[pa.RecordBatch], percent: int, hot: int) -> Iterato
         end = x.until(percent)
         count = end - np.arange(len(end)) - 1
         count[np.repeat(long, size)] = 0
-        kept: list[np.ndarray] = []
+        sure, some, size = [], (np.zeros(0, np.int64), np.zeros(0, np.int64)), 0
         for i, j in _steps(count):
             left = np.repeat(np.arange(i, j), count[i:j])
             right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(count[i:j]) - count[i:j], count[i:j])
-            kept.append(_passing(x, left, right, percent))
-            if sum(map(len, kept)) > 4 * FLUSH:
-                kept = [np.unique(np.concatenate(kept))]
-                if len(kept[0]) > 2 * FLUSH:
-                    yield _found(x.keys, kept.pop())
-        if kept:
-            yield _found(x.keys, np.unique(np.concatenate(kept)))
+            by_mark, others = _passing(x, left, right, parts, percent)
+            sure.append(by_mark)
+            some = _sum(np.concatenate([some[0], others]), np.concatenate([some[1], np.ones(len(others), np.int64)]))
+            size += len(by_mark)
+            if size > FLUSH:
+                yield _found(x.keys, np.concatenate(sure))
+                sure, size = [], 0
+            if len(some[0]) > 8 * FLUSH:  # too many to wait for their counts
+                yield _found(x.keys, some[0])
+                some = some[0][:0], some[1][:0]
+        n, m = x.sizes[some[0] >> 32], x.sizes[some[0] & 0xFFFFFFFF]
+        sure.append(some[0][some[1] >= _least_shared(n, m, parts, percent)])
+        yield _found(x.keys, np.concatenate(sure))
 
 
 class _Side:
     """Postings of one hot shingle in one block or two."""
 
     def __init__(self, token: int, data: list[bytes]) -> None:
-        rows = np.concatenate([np.frombuffer(d, np.int64).reshape(-1, 3 + 2 * OWNERS) for d in data])
-        self.keys, self.n, self.rest, self.marks, self.mark_rest = rows[:, 0], rows[:, 1], rows[:, 2], rows[:, 3 : 3 + OWNERS].astype(X.U), rows[:, 3 + OWNERS :]
-        self.cls, self.turn = np.arange(len(rows)), np.full(len(rows), X.mix(np.array([token], X.U))[0])
+        rows = np.concatenate([np.frombuffer(d, np.int64).reshape(-1, 4) for d in data])
+        self.keys, self.n, self.rest, self.marks = rows[:, 0], rows[:, 1], rows[:, 2], rows[:, 3].astype(X.U)
+        self.cls, self.token = np.arange(len(rows)), np.full(len(rows), token)
 
 
 def _hot_blocks(x: _Part, s: int, e: int, percent: int, hot: int) -> Iterator[pa.RecordBatch]:
     cls = x.cls[s:e]
-    rows = np.column_stack([x.keys[cls], x.n[s:e], x.rest[s:e], x.marks[cls].astype(np.int64), x.mark_rest[cls]])
+    rows = np.column_stack([x.keys[cls], x.n[s:e], x.rest[s:e], x.marks[cls].astype(np.int64)])
     for k in range(0, e - s, hot):
         for m in range(k, e - s, hot):
             if 100 * rows[min(k + hot, e - s) - 1, 1] < percent * rows[m, 1]:
@@ -365,43 +371,72 @@ def _hot_blocks(x: _Part, s: int, e: int, percent: int, hot: int) -> Iterator[pa
             yield pa.RecordBatch.from_arrays([none, none, pa.array([int(x.token[s])]), *[pa.array(c, pa.binary()) for c in sides]], names=["a", "b", "token", "left", "right"])
 
 
-def _hot_pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+def _hot_pairs(batches: Iterator[pa.RecordBatch], parts: int, percent: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for token, left, right in zip(*[b.column(c).to_pylist() for c in ("token", "left", "right")]):
             x = _Side(token, [left] if right is None else [left, right])
-            half = len(left) // (8 * (3 + 2 * OWNERS))
+            half = len(left) // 32
             for i in range(half):
                 j = np.arange(i + 1 if right is None else half, len(x.n))
                 lo, hi = np.minimum(x.n[i], x.n[j]), np.maximum(x.n[i], x.n[j])
                 j = j[100 * lo >= percent * hi]
-                got = _passing(x, np.full(len(j), i), j, percent)
+                got = np.concatenate(_passing(x, np.full(len(j), i), j, parts, percent))
                 if len(got):
                     yield _found(x.keys, got)
 
 
 def candidates(docs: DataFrame, rank: Broadcast, parts: int, width: int = WIDTH, percent: int = PERCENT, hot: int = HOT) -> DataFrame:
-    """(a, b): keys (the first 8 bytes of the digests) of class pairs that pass the filters of the first order."""
+    """(a, b, cell): keys (the first 8 bytes of the digests) of class pairs that pass the filters of the first order, and the leader of b."""
     posts = prefix_postings(docs, rank, parts, width, percent)
-    found = cut(posts.repartition(parts, "part").mapInArrow(lambda x: _pairs(x, percent, hot), PAIRS))
+    found = cut(posts.repartition(parts, "part").mapInArrow(lambda x: _pairs(x, parts, percent, hot), PAIRS))
     release(docs)
-    split = found.where("token IS NOT NULL").repartition(parts, F.xxhash64("token", "left", "right")).mapInArrow(lambda x: _hot_pairs(x, percent), PAIRS)
-    return found.where("token IS NULL").unionByName(split).select("a", "b").distinct()
+    split = found.where("token IS NOT NULL").repartition(parts, F.xxhash64("token", "left", "right")).mapInArrow(lambda x: _hot_pairs(x, parts, percent), PAIRS)
+    pairs = found.where("token IS NULL").unionByName(split).select("a", "b").repartition(parts, "b").groupBy("b", "a").agg(F.lit(1).alias("one"))
+    # a class with very many partners is one group of narrow rows: its least partner combines as they stream by
+    return pairs.select("a", "b").join(pairs.groupBy("b").agg(F.min("a").alias("cell")), "b")
 
 
-def likely(pairs: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The candidates (a, b, n_a, n_b, k_a, k_b), by representative, without those that their bitmaps rule out."""
-    end = lambda x: classes.select(F.col("key").alias(x), F.col("rep").alias(f"r_{x}"), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"))
-    names = ["a", "b", "n_a", "n_b", "k_a", "k_b"]
+def _cells(pairs: DataFrame) -> DataFrame:
+    """(cell, key): the cells in which a class has a pair."""
+    return pairs.select("cell", F.explode(F.array("a", "b")).alias("key")).distinct()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in (x.slice(i, 5000) for x in batches for i in range(0, x.num_rows, 5000)):
-            n, m = np.asarray(b.column("n_a")), np.asarray(b.column("n_b"))
-            most = (n + m - _differing(b.column("bits_a").to_pylist(), b.column("bits_b").to_pylist())) // 2  # members in common
-            b = b.filter(pa.array((100 + percent) * most >= percent * (n + m)))
-            yield pa.RecordBatch.from_arrays([b.column(c) for c in ("r_a", "r_b", "n_a", "n_b", "a", "b")], names=names)
 
-    both = pairs.join(end("a"), "a").join(end("b"), "b")
-    return both.select("r_a", "r_b", "n_a", "n_b", "a", "b", "bits_a", "bits_b").mapInArrow(run, ", ".join(f"{c} long" for c in names))
+BITS = "cell long, kind int, a long, b long, n long, bits binary"
+
+
+def _judge(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Stream the rows of the cells (bitmaps first, then pairs) and keep the pairs whose bitmaps allow a link."""
+    now, keys, sizes, bits, order = None, [], [], [], None
+    for b in batches:
+        cell, kind, x, y, n = (np.asarray(b.column(c)) for c in ("cell", "kind", "a", "b", "n"))
+        edge = np.flatnonzero((np.diff(cell, prepend=cell[:1] - 1) != 0) | (np.diff(kind, prepend=kind[:1]) != 0))
+        for s, e in zip(edge, np.append(edge[1:], b.num_rows)):
+            if cell[s] != now:
+                now, keys, sizes, bits, order = cell[s], [], [], [], None
+            if kind[s] == 0:
+                keys.append(x[s:e])
+                sizes.append(n[s:e])
+                bits += b.column("bits").slice(s, e - s).to_pylist()
+                continue
+            if order is None:
+                k, m = np.concatenate(keys), np.concatenate(sizes)
+                order = np.argsort(k, kind="stable")
+                k, m = k[order], m[order]
+            for f in range(s, e, 20_000):
+                i, j = (np.searchsorted(k, z[f : min(f + 20_000, e)]) for z in (x, y))
+                most = (m[i] + m[j] - _differing([bits[q] for q in order[i]], [bits[q] for q in order[j]])) // 2  # members in common
+                ok = (100 + percent) * most >= percent * (m[i] + m[j])
+                i, j = i[ok], j[ok]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), now)), pa.array(k[i]), pa.array(k[j])], names=["cell", "a", "b"])
+
+
+def likely(pairs: DataFrame, classes: DataFrame, parts: int, percent: int = PERCENT) -> DataFrame:
+    """The candidates (cell, a, b) without those that the bitmaps of their sets rule out."""
+    own = classes.select("key", "n", "bits").dropDuplicates(["key"])
+    left = _cells(pairs).join(own, "key").select("cell", F.lit(0).alias("kind"), F.col("key").alias("a"), F.lit(0).cast("long").alias("b"), "n", "bits")
+    right = pairs.select("cell", F.lit(1).alias("kind"), "a", "b", F.lit(0).cast("long").alias("n"), F.lit(None).cast("binary").alias("bits"))
+    rows = left.unionByName(right).repartition(parts, "cell").sortWithinPartitions("cell", "kind")
+    return rows.mapInArrow(lambda x: _judge(x, percent), "cell long, a long, b long")
 
 
 class _Sets:
@@ -446,12 +481,12 @@ def _verify(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
     """Stream the rows of the blocks (sets first, then pairs by x) and keep the pairs that link."""
     block, nodes, data, sets = None, [], [], None
     for b in batches:
-        comp, i, j, kind, x, y = (np.asarray(b.column(c)) for c in ("comp", "i", "j", "kind", "x", "y"))
-        edge = np.flatnonzero((np.diff(comp, prepend=comp[:1] - 1) != 0) | (np.diff(i, prepend=i[:1]) != 0) | (np.diff(j, prepend=j[:1]) != 0) | (np.diff(kind, prepend=kind[:1]) != 0))
+        cell, i, j, kind, x, y = (np.asarray(b.column(c)) for c in ("cell", "i", "j", "kind", "x", "y"))
+        edge = np.flatnonzero((np.diff(cell, prepend=cell[:1] - 1) != 0) | (np.diff(i, prepend=i[:1]) != 0) | (np.diff(j, prepend=j[:1]) != 0) | (np.diff(kind, prepend=kind[:1]) != 0))
         out: list[tuple[np.ndarray, np.ndarray]] = []
         for s, e in zip(edge, np.append(edge[1:], b.num_rows)):
-            if (comp[s], i[s], j[s]) != block:
-                block, nodes, data, sets = (comp[s], i[s], j[s]), [], [], None
+            if (cell[s], i[s], j[s]) != block:
+                block, nodes, data, sets = (cell[s], i[s], j[s]), [], [], None
             if kind[s] == 0:
                 nodes += x[s:e].tolist()
                 data += b.column("data").slice(s, e - s).to_pylist()
@@ -503,20 +538,16 @@ def _members(nodes: DataFrame) -> np.ndarray:
     return np.frombuffer(bytes(rows[0]["t"]), np.uint8) if rows else np.zeros(MEMBERS // 8, np.uint8)
 
 
-def verified(docs: DataFrame, pairs: DataFrame, parts: int, width: int = WIDTH, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
-    """(a, b) of ``pairs`` (by doc_id, with set sizes n_a, n_b and keys k_a, k_b) whose whole sets reach the threshold."""
+def verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, parts: int, width: int = WIDTH, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
+    """(a, b), by key, of ``pairs`` (cell, a, b) whose whole sets reach the threshold."""
     ship(docs)
-    comp = components(pairs.select("a", "b"))
-    ends = [pairs.select(F.col(x).alias("node"), F.col(f"n_{x}").alias("n"), F.col(f"k_{x}").alias("key")) for x in "ab"]
-    nodes = ends[0].unionByName(ends[1]).distinct().join(comp, "node")
-    size = nodes.groupBy("component").agg(F.greatest(F.lit(1), F.ceil(F.sum("n") / F.lit(block))).cast("int").alias("g"))
-    nodes = cut(salted_join(nodes, size, ["component"], F.col("node"), "inner").withColumn("cell", F.pmod(F.xxhash64("node"), F.col("g")).cast("int")))
-    where = nodes.select("node", "component", "cell")
-    p = pairs.select("a", "b").join(where.withColumnsRenamed({"node": "a", "cell": "ca"}), "a").join(where.select(F.col("node").alias("b"), F.col("cell").alias("cb")), "b")
-    p = cut(p.select(F.col("component").alias("comp"), F.least("ca", "cb").alias("i"), F.greatest("ca", "cb").alias("j"), "a", "b"))
-    # the block pairs in which a set has a candidate
-    met = p.select("comp", "i", "j", F.explode(F.array("a", "b")).alias("node")).distinct()
-    member = docs.sparkSession.sparkContext.broadcast(_members(nodes))
+    nodes = cut(_cells(pairs).join(classes.select("key", "rep", "n"), "key"))  # a class of each digest, should two share a key
+    size = nodes.groupBy("cell").agg(F.greatest(F.lit(1), F.ceil(F.sum("n") / F.lit(block))).cast("int").alias("g"))
+    side = lambda x, g: F.pmod(F.xxhash64(x), F.col(g)).cast("int")
+    p = salted_join(pairs, size, ["cell"], F.col("a"), "inner").select("cell", side("a", "g").alias("u"), side("b", "g").alias("v"), "a", "b")
+    p = cut(p.select("cell", F.least("u", "v").alias("i"), F.greatest("u", "v").alias("j"), "a", "b"))
+    met = p.select("cell", "i", "j", F.explode(F.array("a", "b")).alias("key")).distinct()  # the block pairs in which a set has a candidate
+    member = docs.sparkSession.sparkContext.broadcast(_members(nodes.select(F.col("rep").alias("node"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -524,13 +555,13 @@ def verified(docs: DataFrame, pairs: DataFrame, parts: int, width: int = WIDTH,
             for part in (b.slice(i, 1000) for i in range(0, b.num_rows, 1000)):
                 sets = [a for _, a in _sets(part.column("text"), width)]
                 keys = [_key(_digest(a)) for a in sets]
-                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(keys, pa.int64()), pa.array([a.tobytes() for a in sets], pa.binary())], names=["node", "key", "data"])
+                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(keys, pa.int64()), pa.array([a.tobytes() for a in sets], pa.binary())], names=["rep", "key", "data"])
 
-    packed = docs.select(F.col("doc_id").cast("long").alias("node"), "text").where("node IS NOT NULL").mapInArrow(run, "node long, key long, data binary")
-    own = met.join(nodes.select("node", "key"), "node")
-    left = packed.join(own.hint("shuffle_hash"), ["node", "key"]).select("comp", "i", "j", F.lit(0).alias("kind"), F.col("node").alias("x"), F.lit(0).cast("long").alias("y"), "data")
-    right = p.select("comp", "i", "j", F.lit(1).alias("kind"), F.col("a").alias("x"), F.col("b").alias("y"), F.lit(None).cast("binary").alias("data"))
-    rows = left.unionByName(right).repartition(parts, "comp", "i", "j").sortWithinPartitions("comp", "i", "j", "kind", "x")
+    packed = docs.select(F.col("doc_id").cast("long").alias("node"), "text").where("node IS NOT NULL").mapInArrow(run, "rep long, key long, data binary")
+    own = met.join(nodes.select("key", "rep").distinct(), "key")
+    left = packed.join(own.hint("shuffle_hash"), ["rep", "key"]).select("cell", "i", "j", F.lit(0).alias("kind"), F.col("key").alias("x"), F.lit(0).cast("long").alias("y"), "data")
+    right = p.select("cell", "i", "j", F.lit(1).alias("kind"), F.col("a").alias("x"), F.col("b").alias("y"), F.lit(None).cast("binary").alias("data"))
+    rows = left.unionByName(right).repartition(parts, "cell", "i", "j").sortWithinPartitions("cell", "i", "j", "kind", "x")
     return rows.mapInArrow(lambda x: _verify(x, percent), "a long, b long")
 
 
@@ -545,17 +576,21 @@ def similar(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> Data
     sets = docs_.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(F.struct("digest", "n", "key", "bits")).alias("s")).select("doc_id", "s.digest", "s.n", "s.key", "s.bits")
     rank = spark.sparkContext.broadcast(rarity(scan.where("chunk IS NOT NULL").select("chunk", "counts"), buckets))
     classes = cut(sets.where("n > 0").groupBy("digest", "key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.max("n").alias("n"), F.max("bits").alias("bits")))
-    pairs = cut(likely(candidates(docs, rank, parts, width, percent), classes, percent))
+    members = docs_.agg(F.sum("n")).first()[0] or 0
+    posted = min(parts, max(spark.sparkContext.defaultParallelism, members * (100 - percent) // 100 // POSTED))
+    pairs = cut(likely(cut(candidates(docs, rank, posted, width, percent)), classes, parts, percent))
     rank.destroy()  # all that needed it is in checkpoints
     release(docs)
-    links = cut(verified(docs, pairs, parts, width, percent))
+    links = cut(verified(docs, pairs, classes, parts, width, percent))
     release(docs)
+    # members of the classes that a class links with: one each, and the further copies of those that have any
     ends = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    copies = classes.select(F.col("rep").alias("b"), "copies")
-    linked = salted_join(ends, copies, ["b"], F.col("a"), "inner").groupBy("a").agg(F.sum("copies").alias("others"))
-    comp = components(links)
-    by_class = classes.join(linked, F.col("rep") == F.col("a"), "left").join(comp, F.col("rep") == F.col("node"), "left")
-    by_class = by_class.select("digest", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("similar"), F.coalesce("component", "rep").alias("component"))
+    further = classes.where("copies > 1").select(F.col("key").alias("b"), (F.col("copies") - 1).alias("more"))
+    linked = ends.groupBy("a").agg(F.count("*").alias("others")).unionByName(salted_join(ends, further, ["b"], F.col("a"), "inner").groupBy("a").agg(F.sum("more").alias("others"))).groupBy("a").agg(F.sum("others").alias("others"))
+    comp = components(links).join(classes.select(F.col("key").alias("node"), "rep"), "node")
+    comp = comp.join(comp.groupBy("component").agg(F.min("rep").alias("first")), "component").select("node", "first")
+    by_class = classes.join(linked, F.col("key") == F.col("a"), "left").join(comp, F.col("key") == F.col("node"), "left").where("copies > 1 OR first IS NOT NULL")  # others are alone
+    by_class = by_class.select("digest", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("similar"), F.coalesce("first", "rep").alias("component"))
     out = salted_join(sets.select("doc_id", "n", "digest"), by_class, ["digest"], F.col("doc_id"))
     known = out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("similar", F.lit(0)).cast("long").alias("n_similar"), F.coalesce("component", "doc_id").alias("component_id"))
     return known.unionByName(docs_.where("doc_id IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.lit(0).cast("long").alias("n_similar"), F.col("doc_id").alias("component_id")))
