@@ -72,6 +72,31 @@ def test_quality_thresholds_adapt_to_the_group(spark):
     assert all(kept[i] for i in range(120)) and not kept[200] and all(kept[300 + i] for i in range(120))
 
 
+def test_quality_fences_differ_by_group_and_follow_its_quantiles(spark):
+    """Fences come from the data alone: they differ between groups, and match quantiles taken by sorting."""
+    rnd = random.Random(12)
+    prose = lambda k: " ".join("x" * max(1, int(rnd.gauss(k, 1))) + rnd.choice(["", "", "", ","]) for _ in range(rnd.randint(40, 90)))
+    data = [(i, prose(4 + (i % 3) * 2), "en", f"s{i % 3}") for i in range(600)] + [(1000 + i, " | ".join(["x" * 12] * 3 + [f"y{i}{j}" for j in range(20)]), "en", "s0") for i in range(5)]
+    rows = quality_rules._shares(quality_rules.signals(docs(spark, data))).where("NOT base_failed").cache()
+    got = {r.source: r for r in quality_rules.thresholds(rows, prior=0).collect()}
+    assert len({(round(r.lo_word_len, 6), round(r.hi_word_len, 6)) for r in got.values()}) == 3
+    for r in got.values():
+        own = sorted(x.word_len for x in rows.where(F.col("source") == r.source).collect())
+        q1, q3 = own[len(own) // 4], own[3 * len(own) // 4]
+        assert abs((r.hi_word_len + r.lo_word_len) - (q1 + q3)) < 0.1 and r.hi_word_len - q3 >= 4.5 * (q3 - q1)
+    kept = {r.doc_id: r.kept for r in quality_rules.judge(docs(spark, data)).collect()}
+    assert sum(kept[i] for i in range(600)) > 590 and not any(kept[1000 + i] for i in range(5))
+
+
+def test_quality_of_a_source_that_is_mostly_copies(spark):
+    rnd = random.Random(13)
+    prose = lambda: " ".join("".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(2, 8))) for _ in range(60)) + "."
+    one = prose()
+    data = [(i, prose(), "en", f"s{i % 4}") for i in range(200)] + [(1000 + i, one, "en", "hot") for i in range(300)] + [(2000 + i, prose(), "en", "hot") for i in range(20)]
+    kept = {r.doc_id: r.kept for r in quality_rules.judge(docs(spark, data)).collect()}
+    assert all(kept[1000 + i] for i in range(300)) and sum(kept[2000 + i] for i in range(20)) >= 19
+
+
 def test_license_base_and_templates(spark):
     data = [(1, "x\nLicensed under the Apache License, Version 2.0.\ny"), (2, "CC-BY and all rights reserved, ALL RIGHTS RESERVED"), (3, None), (4, "the apache license"), (5, "GNU General Public License v3"), (6, "éall rights reserved"), (7, "the GNU\nGeneral Public License, version 3"), (8, "Licensed under Apache License, Version 2.0 (the)")]
     d = spark.createDataFrame(data, "doc_id long, text string").withColumn("w", F.lit(1))

@@ -6,12 +6,14 @@ documents by their id. A line that a third of all documents hold is one group of
 rows that combines before the shuffle, and the join with the drop list is salted.
 
 Edge cases: null or empty text is one empty line; rows that share a doc_id count as one
-document; a row with a null doc_id is never counted and keeps its lines; extra columns
-pass through; an empty table gives an empty result.
+document; a row with a null doc_id is never counted and keeps its lines; very long texts are
+worked on whole; extra columns pass through, but those named like a result of ``dedup_lines``, which it replaces; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,15 +43,25 @@ def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int =
     return gone.groupBy("doc_id").agg(F.collect_set("k").alias("drop"))
 
 
+def _kept(docs: DataFrame, min_chars: int, min_docs: int) -> tuple[DataFrame, Column, Column, Column]:
+    """``docs`` with helper columns of fresh names, and the kept text, number of lines, and number dropped."""
+    own, drop, all_, kept = (f"{x}_{uuid.uuid4().hex}" for x in ("id", "drop", "all", "kept"))
+    drops = repeated_lines(docs.select("doc_id", "text"), min_chars, min_docs).select(F.col("doc_id").alias(own), F.col("drop").alias(drop))
+    joined = docs.join(drops.hint("shuffle_hash"), F.col("doc_id") == F.col(own), "left")
+    stay = F.filter(_lines(F.col("text")), lambda x: (F.char_length(x) < min_chars) | ~F.array_contains(F.col(drop), _digest(_key(x))))
+    split = joined.withColumn(all_, F.size(_lines(F.col("text"))).cast("long")).withColumn(kept, F.when(F.col(drop).isNotNull(), stay))
+    text = F.when(F.col(kept).isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(kept, "\n"))
+    return split, text, F.col(all_), F.when(F.col(kept).isNull(), F.lit(0)).otherwise(F.col(all_) - F.size(kept)).cast("long")
+
+
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """``docs`` with ``kept_text``, ``n_lines`` (before) and ``n_dropped``; other columns as they were."""
-    drops = repeated_lines(docs.select("doc_id", "text"), min_chars, min_docs).select(F.col("doc_id").alias("_id"), F.col("drop").alias("_drop"))
-    joined = docs.join(drops.hint("shuffle_hash"), F.col("doc_id") == F.col("_id"), "left").drop("_id")
-    kept = F.filter(_lines(F.col("text")), lambda x: (F.char_length(x) < min_chars) | ~F.array_contains(F.col("_drop"), _digest(_key(x))))
-    split = joined.withColumn("_all", F.size(_lines(F.col("text"))).cast("long")).withColumn("_kept", F.when(F.col("_drop").isNotNull(), kept))
-    return split.select(
-        *docs.columns,
-        F.when(F.col("_kept").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join("_kept", "\n")).alias("kept_text"),
-        F.col("_all").alias("n_lines"),
-        F.when(F.col("_kept").isNull(), F.lit(0)).otherwise(F.col("_all") - F.size("_kept")).cast("long").alias("n_dropped"),
-    )
+    df, text, lines, dropped = _kept(docs, min_chars, min_docs)
+    results = {"kept_text": text, "n_lines": lines, "n_dropped": dropped}
+    return df.select(*[F.col(f"`{c}`") for c in docs.columns if c not in results], *[v.alias(k) for k, v in results.items()])
+
+
+def dedup_texts(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
+    """``docs`` with the kept text as ``text``; all other columns, whatever their names, as they were."""
+    df, text, *_ = _kept(docs, min_chars, min_docs)
+    return df.select(*[text.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns])

@@ -5,42 +5,51 @@ validated; failing matches are dropped without a retry. The regular expressions
 possessive rewritings of the stated ones: the same matches, no backtracking, and no
 recursion in the regex engine on long runs.
 
-The base spans are the seeds of a bootstrap. Every identifier-like token (digits inside)
-and every seed is an instance; the words around an occurrence are its lexical patterns.
-Scores move over the pattern-instance graph for ``ROUNDS`` rounds: a pattern scores the mean
-of its distinct instances' scores for a kind, an instance the best score of its patterns
-that have ``MIN_SUPPORT`` distinct instances or more. Instances that end at ``ACCEPT`` or
-more become further spans of that kind; base spans always stay.
-
-Native DataFrame operators throughout. The graph holds distinct (pattern, instance) edges
-aggregated before the shuffle; joins on patterns, which follow Zipf's law, are salted.
+The base spans are the seeds of a bootstrap. Further instances are whatever has the outer form of an
+identifier: words joined by @, and runs of digit groups joined by dots, spaces, hyphens or parentheses,
+of any length. The words around an occurrence are its lexical patterns: the word before, the two
+before, the two after, and the word on either side. Scores move over the pattern-instance graph for
+``ROUNDS`` rounds. A pattern's confidence in a kind is the score its known instances have in that kind, over the
+score they have in all kinds, plus one: instances of which nothing is known say nothing, and a pattern
+needs several seeds before it is believed. An instance scores the highest confidence of its patterns, and
+from ``ACCEPT`` on it is known in the next round. Known instances that are not seeds become further
+spans of that kind (email for those with @, else ip, card or phone); base spans always stay, and no
+further span overlaps one.
+
+Native DataFrame operators throughout. Work on a text grows in proportion to its length and its
+matches (running sums and maxima go by blocks of ``STEP``). The graph holds distinct (pattern, instance)
+edges aggregated before the shuffle; joins on patterns, which follow Zipf's law, are salted.
 
 Edge cases: null text is empty and has no spans; repeated rows get the same spans; an empty
-table gives an empty result; extra columns are ignored; offsets are code points.
+table gives an empty result; extra columns are ignored; offsets are code points; a neighbour that doesn't end
+within ``CONTEXT`` code points stands as one mark, whatever it is, and so does the next instance of its form.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WS, ascii_lower, cut, salted_join
+from .common import WS_RUN, ascii_lower, cut, salted_join
 
 KINDS = ("email", "ip", "card", "phone")
 _L, _D = "[A-Za-z0-9._%+-]", "[A-Za-z0-9-]"
+_LU, _DU = r"[\p{L}\p{N}._%+-]", r"[\p{L}\p{N}-]"
 PATTERNS = {
     "email": rf"(?:\G|(?<!{_L})){_L}++@{_D}++(?:\.{_D}++)++",
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[ -]?[0-9]){13,}+",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
-HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": "[0-9][ -]?[0-9][ -]?[0-9]", "phone": r"\+[0-9]"}
-TOKEN = r"(?<![^ \t-\r])(?=[^ \t-\r0-9]*+[0-9])[^ \t-\r]++"
+#: Instances of open kind: what is joined by @, and runs of digit groups.
+FORMS = {"at": rf"(?:\G|(?<!{_LU})){_LU}++@{_DU}++(?:\.{_DU}++)*+", "number": r"\+?\(?[0-9]++(?:[ ().-]{1,3}+[0-9]++)*+"}
+HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": "[0-9][ -]?[0-9][ -]?[0-9]", "phone": r"\+[0-9]", "at": "@", "number": "[0-9]"}
 _PART = "0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9][0-9]|[0-9]?)"
-ROUNDS, MIN_SUPPORT, ACCEPT = 3, 5, 0.9
-MIN_DIGITS, MAX_TOKEN, CONTEXT = 5, 64, 48
+ROUNDS, ACCEPT, CONTEXT, STEP = 3, 0.8, 128, 256
+FOUND = "array<struct<s:int,k:int,e:int,m:string,l:string,r:string>>"
 
 
 def _valid(kind: str, m: Column) -> Column:
@@ -61,72 +70,94 @@ def _valid(kind: str, m: Column) -> Column:
     return F.lit(True)
 
 
-def _located(df: DataFrame, named: dict[str, tuple[Column, str, str]]) -> DataFrame:
-    """Add array columns of (start, end, text) of all matches: name -> (condition, pattern, name)."""
-    df = df.withColumns({f"m_{k}": F.when(on, F.regexp_extract_all("text", F.lit(p), F.lit(0))) for k, (on, p, _) in named.items()})
-    df = df.withColumns({f"g_{k}": F.when(F.size(f"m_{k}") > 0, F.transform(F.split("text", p, -1), F.char_length)) for k, (_, p, _) in named.items()})
-    df = df.withColumns({f"l_{k}": F.when(F.size(f"m_{k}") > 0, F.transform(f"m_{k}", F.char_length)) for k in named})
-    add = lambda t, x: t + x
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is computed once, wherever the optimiser moves the expression."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _before(values: Column, zero: int, fold: Callable[[Column, Column], Column]) -> Column:
+    """For each place of an array of integers, the fold of all values before it, in blocks of ``STEP``."""
+    span = lambda n: F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1)
+    block = lambda i: F.floor(i / STEP).cast("int")
+    sums = lambda v: F.transform(span(F.ceil(F.size(v) / STEP).cast("int")), lambda b: F.aggregate(F.slice(v, b * STEP + 1, F.lit(STEP)), F.lit(zero), fold))
+    starts = lambda s: F.transform(s, lambda _, b: F.aggregate(F.slice(s, F.lit(1), b), F.lit(zero), fold))
+    each = lambda v, at: F.transform(v, lambda _, i: F.aggregate(F.slice(v, block(i) * STEP + 1, i % STEP), F.get(at, block(i)), fold))
+    return _let(values, lambda v: _let(sums(v), lambda s: _let(starts(s), lambda at: each(v, at))))
 
-    def place(k: str) -> Column:
-        start = lambda i: F.aggregate(F.slice(f"g_{k}", F.lit(1), i + 1), F.lit(0), add) + F.aggregate(F.slice(f"l_{k}", F.lit(1), i), F.lit(0), add)
-        return F.transform(f"m_{k}", lambda m, i: F.struct(start(i).alias("s"), m.alias("m")))
 
-    none = F.array().cast("array<struct<s:int,m:string>>")
-    df = df.withColumns({f"p_{k}": F.when(F.size(f"m_{k}") > 0, place(k)).otherwise(none) for k in named})
-    return df.drop(*[f"{a}_{k}" for k in named for a in "mgl"])
+def _located(pattern: str, kind: int) -> Column:
+    """All matches in ``text``: (start, kind, end, match, what stands before, what stands after)."""
+    sized = lambda xs: F.transform(xs, lambda x: F.char_length(x))
 
+    def at(m: Column, gaps: Column) -> Column:
+        steps = F.transform(m, lambda _, i: F.char_length(F.get(gaps, i)) + F.when(i > 0, F.char_length(F.get(m, F.greatest(i - 1, F.lit(0))))).otherwise(0))
+        return _let(steps, lambda d: _let(_before(d, 0, lambda t, x: t + x), lambda b: F.transform(m, lambda x, i: row(m, gaps, x, i, F.get(b, i) + F.get(d, i)))))
 
-def _checked(i: int, kind: str) -> Column:
-    ok = F.filter(f"p_{kind}", lambda x: _valid(kind, x["m"]))
-    return F.transform(ok, lambda x: F.struct(x["s"].alias("s"), F.lit(i).alias("k"), (x["s"] + F.char_length(x["m"])).alias("e"), x["m"].alias("m")))
+    def row(m: Column, gaps: Column, x: Column, i: Column, start: Column) -> Column:
+        near = lambda g: F.char_length(g) <= CONTEXT
+        left, right = F.get(gaps, i), F.get(gaps, i + 1)
+        before = F.when(~near(left), F.concat(F.lit("… "), F.regexp_replace(F.right(left, F.lit(CONTEXT)), r"^[^ \t-\r]*+", ""))).otherwise(F.concat(F.when(i > 0, "# ").otherwise(""), left))
+        after = F.when(~near(right), F.concat(F.regexp_replace(F.left(right, F.lit(CONTEXT)), r"(?<![^ \t-\r])[^ \t-\r]*+$", ""), F.lit(" …"))).otherwise(F.concat(right, F.when(i < F.size(m) - 1, " #").otherwise("")))
+        return F.struct(start.cast("int").alias("s"), F.lit(kind).alias("k"), (start + F.char_length(x)).cast("int").alias("e"), x.alias("m"), before.alias("l"), after.alias("r"))
+
+    found = _let(F.regexp_extract_all("text", F.lit(pattern), F.lit(0)), lambda m: F.when(F.size(m) > 0, _let(F.split("text", pattern, -1), lambda g: at(m, g))))
+    return F.coalesce(found, F.array().cast(FOUND))
 
 
 def base_spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, _row, base, tokens): validated base spans and identifier-like tokens."""
-    text = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("_row", F.xxhash64("doc_id", "text"))
-    found = _located(text, {k: (F.rlike("text", F.lit(HINTS[k])), PATTERNS[k], k) for k in KINDS} | {"token": (F.rlike("text", F.lit("[0-9]")), TOKEN, "token")})
-    good = [_checked(i, k) for i, k in enumerate(KINDS)]
-    likely = F.filter("p_token", lambda x: (F.length(F.regexp_replace(x["m"], "[^0-9]+", "")) >= MIN_DIGITS) & (F.char_length(x["m"]) <= MAX_TOKEN))
-    tokens = F.transform(likely, lambda x: F.struct(x["s"].alias("s"), F.lit(-1).alias("k"), (x["s"] + F.char_length(x["m"])).alias("e"), x["m"].alias("m")))
-    both = found.select("doc_id", "text", "_row", F.array_sort(F.concat(*good)).alias("base"), tokens.alias("tokens"))
-    return both.withColumn("tokens", F.filter("tokens", lambda t: ~F.exists("base", lambda b: (b["s"] < t["e"]) & (t["s"] < b["e"]))))
+    """(doc_id, base, open): validated base spans, and instances of open kind (-1 with @, -2 numbers) that overlap none."""
+    text = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    none = F.array().cast(FOUND)
+    every = {**PATTERNS, **FORMS}
+    found = text.select("doc_id", *[F.when(F.rlike("text", F.lit(HINTS[n])), _located(p, i if i < len(KINDS) else len(KINDS) - 1 - i)).otherwise(none).alias(n) for i, (n, p) in enumerate(every.items())])
+    base = F.array_sort(F.concat(*[F.filter(k, lambda x, k=k: _valid(k, x["m"])) for k in KINDS]))
+    both = found.select("doc_id", base.alias("base"), F.concat(*FORMS).alias("open"))
+
+    def free(xs: Column) -> Column:
+        reach = _before(F.transform(xs, lambda x: F.when(x["k"] >= 0, x["e"]).otherwise(0)), 0, F.greatest)
+        back = F.reverse(xs)
+        ahead = F.reverse(_before(F.transform(back, lambda x: F.when(x["k"] >= 0, x["s"]).otherwise(2**31 - 1)), 2**31 - 1, F.least))
+        return _let(reach, lambda r: _let(ahead, lambda a: F.filter(F.transform(xs, lambda x, i: F.when((x["k"] < 0) & (F.get(r, i) <= x["s"]) & (F.get(a, i) >= x["e"]), x)), lambda x: x.isNotNull())))
+
+    # base spans come before open instances of the same start, so that both see one another
+    ordered = F.array_sort(F.concat("base", "open"), lambda x, y: F.when(x["s"] != y["s"], x["s"] - y["s"]).otherwise(y["k"] - x["k"]))
+    return both.select("doc_id", "base", F.when(F.size("open") == 0, none).when(F.size("base") == 0, F.col("open")).otherwise(_let(ordered, free)).alias("open"))
 
 
 def _occurrences(rows: DataFrame) -> DataFrame:
-    """One row an instance and row: its span, kind (-1: open) and its patterns."""
-    o = rows.select("_row", "text", F.explode(F.concat("base", "tokens")).alias("o"))
-    left = ascii_lower(F.substr(F.col("text"), F.greatest(F.col("o.s") + 1 - CONTEXT, F.lit(1)), F.least(F.col("o.s"), F.lit(CONTEXT))))
-    right = ascii_lower(F.substr(F.col("text"), F.col("o.e") + 1, F.lit(CONTEXT)))
-    tidy = lambda c: F.filter(F.split(c, r"[ \t-\r]+"), lambda x: x != "")
-    a = o.select("_row", "o", tidy(F.btrim(left, F.lit(WS))).alias("l"), tidy(F.btrim(right, F.lit(WS))).alias("r"))
+    """One row an instance and row: its span, kind (negative: open) and its patterns."""
+    o = rows.select("_row", F.explode(F.concat("base", "open")).alias("o"))
+    tidy = lambda c: F.filter(F.split(ascii_lower(F.col(c)), WS_RUN), lambda x: x != "")
+    a = o.select("_row", "o.s", "o.e", "o.k", F.col("o.m").alias("inst"), tidy("o.l").alias("l"), tidy("o.r").alias("r"))
     near = lambda xs, i: F.coalesce(F.try_element_at(xs, F.lit(i)), F.lit(""))
-    l1, l2, r1 = near("l", -1), near("l", -2), near("r", 1)
-    return a.select("_row", F.col("o.s").alias("s"), F.col("o.e").alias("e"), F.col("o.k").alias("k"), F.col("o.m").alias("inst"), F.array(F.concat(l2, F.lit(" "), l1, F.lit(" _")), F.concat(l1, F.lit(" _ "), r1)).alias("pats"))
+    l1, l2, r1, r2 = near("l", -1), near("l", -2), near("r", 1), near("r", 2)
+    written_ = [F.concat_ws(" ", *x) for x in ((l1, F.lit("_")), (l2, l1, F.lit("_")), (l1, F.lit("_"), r1), (F.lit("_"), r1, r2))]
+    return a.select("_row", "s", "e", "k", "inst", F.array(*written_).alias("pats"))
 
 
-def discover(rows: DataFrame) -> DataFrame:
+def discover(rows: DataFrame, rounds: int = ROUNDS, accept: float = ACCEPT) -> DataFrame:
     """(_row, more): spans that the bootstrap finds beyond the base ones."""
     occ = cut(_occurrences(rows))
-    edges = cut(occ.select("inst", F.explode("pats").alias("pat")).groupBy("pat", "inst").agg(F.count("*").alias("n")))
-    seeds = occ.where("k >= 0").select("inst", F.col("k").alias("kind")).distinct()
-    scores = seeds.withColumn("score", F.lit(1.0))
-    sizes = edges.groupBy("pat").agg(F.count("*").alias("size")).where(F.col("size") >= MIN_SUPPORT)
-    kept = cut(salted_join(edges, sizes, ["pat"], F.col("inst"), "inner"))  # patterns with too few instances never speak
-    for _ in range(ROUNDS):
-        mine = salted_join(kept, scores, ["inst"], F.col("pat"), "inner").groupBy("pat", "kind").agg((F.sum("score") / F.max("size")).alias("conf"))
-        spread = salted_join(kept, mine, ["pat"], F.col("inst"), "inner").groupBy("inst", "kind").agg(F.max("conf").alias("score"))
-        scores = cut(spread.unionByName(seeds.withColumn("score", F.lit(1.0))).groupBy("inst", "kind").agg(F.max("score").alias("score")))
-    best = scores.where(F.col("score") >= ACCEPT).groupBy("inst").agg(F.max_by("kind", F.struct("score", -F.col("kind"))).alias("kind"))
+    edges = cut(occ.select("inst", F.explode("pats").alias("pat"), F.col("k")).groupBy("pat", "inst").agg(F.max("k").alias("k")))  # a seed anywhere is a seed
+    seeds = occ.where("k >= 0").select("inst", F.col("k").alias("kind"), F.lit(1.0).alias("score")).distinct()
+    fits = F.when(F.col("k") == -1, F.col("kind") == 0).otherwise((F.col("k") == -2) & (F.col("kind") > 0))
+    known = seeds
+    for _ in range(rounds):
+        by_kind = salted_join(edges, known, ["inst"], F.col("pat"), "inner").groupBy("pat", "kind").agg(F.sum("score").alias("mine"))
+        total = by_kind.groupBy("pat").agg(F.sum("mine").alias("all"))
+        sure = by_kind.join(total, "pat").select("pat", "kind", (F.col("mine") / (F.col("all") + 1)).alias("conf")).where(F.col("conf") >= accept)
+        reached = salted_join(edges.where("k < 0"), sure, ["pat"], F.col("inst"), "inner").where(fits).groupBy("inst").agg(F.max(F.struct("conf", -F.col("kind"))).alias("b"))
+        more = reached.select("inst", (-F.col("b")[1]).cast("int").alias("kind"), F.col("b.conf").alias("score"))
+        known = cut(seeds.unionByName(more))
+    best = known.join(seeds.select("inst").distinct(), "inst", "left_anti").select("inst", "kind")
     new = salted_join(occ.where("k < 0"), best, ["inst"], F.col("_row"), "inner")
     return new.groupBy("_row").agg(F.collect_set(F.struct("s", F.col("kind").alias("k"), "e")).alias("more"))
 
 
 def extract(docs: DataFrame) -> DataFrame:
     """(doc_id, base, spans): arrays of (s, k, e), k an index into ``KINDS``."""
-    rows = base_spans(docs)
-    some = cut(rows.select("doc_id", "_row", "base", "tokens", F.when(F.size("base") + F.size("tokens") > 0, F.col("text")).alias("text")))
-    more = discover(some.where("text IS NOT NULL"))
+    some = cut(base_spans(docs).withColumn("_row", F.monotonically_increasing_id()))  # the numbers are kept with the rows
+    more = discover(some)
     slim = some.select("doc_id", "_row", F.transform("base", lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"))).alias("base"))
     out = slim.join(more, "_row", "left")
     return out.select("doc_id", "base", F.array_sort(F.when(F.col("more").isNull(), F.col("base")).otherwise(F.concat("base", "more"))).alias("spans"))

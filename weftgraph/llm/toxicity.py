@@ -11,10 +11,12 @@ of weights is normalised by the square root of the length and passed through a l
 curve fitted on the same rows.
 
 Labels only enter training, through at most ``SAMPLE`` labelled rows (those with the
-smallest hashes); scoring reads nothing but the text. Scoring shuffles nothing; the model it
-broadcasts has at most ``LEXICON`` words and ``EXCEPTIONS`` pairs.
+smallest hashes); scoring reads nothing but the text. Scoring shuffles nothing. The lexicon and the
+learned exceptions are whole: what bounds the model that is broadcast is the sample alone (an entry needs
+``MIN_PAIRS`` distinct toxic pairs of it, an exception is a pair of it). Folding and matching take time in
+proportion to the text, runs of one character included.
 
-Edge cases: null or empty texts score like any text without hits; without usable labels the
+Edge cases: null or empty texts score like any text without hits; very long texts are scored whole; without usable labels the
 lexicon is empty and all scores are 0; labels that contradict each other for a doc_id count
 as toxic if any says so; repeated rows score alike; extra columns pass through ``keep_clean``.
 """
@@ -23,7 +25,6 @@ from __future__ import annotations
 
 import math
 import re
-from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, ship
 
-SAMPLE, LEXICON, EXCEPTIONS = 20_000, 1_000, 1_000
+SAMPLE = 20_000
 MIN_PAIRS, MIN_ODDS, MIN_CLEAN = 8, math.log(8), 5
 STEM = (5, 7)  # lengths of the word beginnings that may be entries
 PHRASES = ("trash can", "trash cans", "trash bin", "class clown", "clown fish", "pond scum", "stupid mistake of mine")
@@ -44,18 +45,24 @@ PHRASES = ("trash can", "trash cans", "trash bin", "class clown", "clown fish",
 _LOOKALIKE = dict(zip("аеорсухіјѕԁһӏνοαερτυικηωβ", "aeopcyxijsdhlvoaeptuiknwb")) | dict(zip("０１２３４５６７８９", "0123456789"))
 _FOLD = str.maketrans(_LOOKALIKE | {c: None for c in "​‌‍⁠﻿­"})
 _SIGNS = str.maketrans("013457@$!", "oieastasi")
-_SIGNED = re.compile(r"[a-z013457@$!]*[013457@$!][a-z013457@$!]*[a-z]")
+_SIGNED = re.compile(r"(?<![a-z013457@$!])[a-z]*+[013457@$!][a-z013457@$!]*+")  # a run with a sign; it can only begin where a run begins
 _FULLWIDTH = {0xFF21 + i: chr(97 + i) for i in range(26)} | {0xFF41 + i: chr(97 + i) for i in range(26)}
 _FOLD.update(_FULLWIDTH)
 _WORD = re.compile(r"[^\W\d_]+")
 
 
+def _letters(m: re.Match) -> str:
+    """A run with signs: those before its last letter are letters."""
+    end = len(m[0].rstrip("013457@$!"))
+    return m[0][:end].translate(_SIGNS) + m[0][end:]
+
+
 def fold(text: str) -> str:
     """Lower case, look-alikes to Latin letters, and digits or signs inside words to letters."""
     t = text.lower()
     if not t.isascii():
         t = t.translate(_FOLD)
-    return _SIGNED.sub(lambda m: m[0].translate(_SIGNS), t) if any(c in t for c in "013457@$!") else t
+    return _SIGNED.sub(_letters, t) if any(c in t for c in "013457@$!") else t
 
 
 @dataclass
@@ -132,23 +139,21 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     flag = lambda v: F.count_if(F.col("toxic") == v)
     pairs = cut(pairs)
     stems = F.transform(F.sequence(F.lit(STEM[0]), F.least(F.lit(STEM[1]), F.length("word"))), lambda k: F.concat(F.substr("word", F.lit(1), k), F.lit("*")))
-    entries = pairs.select("toxic", F.explode(F.concat(F.array("word"), F.when(F.length("word") >= STEM[0], stems).otherwise(F.array().cast("array<string>")))).alias("word"))
-    words = entries.groupBy("word").agg(flag(1).alias("t"), flag(0).alias("c"))
+    forms = F.concat(F.array("word"), F.when(F.length("word") >= STEM[0], stems).otherwise(F.array().cast("array<string>")))
+    words = pairs.select("toxic", F.explode(forms).alias("entry")).groupBy("entry").agg(flag(1).alias("t"), flag(0).alias("c"))
     n_t, n_c = pairs.agg(flag(1), flag(0)).first()
     if not n_t or not n_c:
         return Model()
     odds = F.log((F.col("t") + 0.5) / float(n_t)) - F.log((F.col("c") + 0.5) / float(n_c))
-    best = words.where(f"t >= {MIN_PAIRS}").withColumn("w", odds).where(F.col("w") >= MIN_ODDS).orderBy(F.desc(F.col("t") * F.col("w")), "word").limit(LEXICON).collect()
-    model = Model({r["word"]: float(r["w"]) for r in best})
-    if not best:
+    chosen = cut(words.where(f"t >= {MIN_PAIRS}").select("entry", odds.alias("w")).where(F.col("w") >= MIN_ODDS))
+    model = Model({r["entry"]: float(r["w"]) for r in chosen.collect()})  # bounded by the sample
+    if not model.weights:
         return model
-    mine = pairs.where(F.col("word").isin([r["word"] for r in best])).groupBy("before", "word").agg(F.max("toxic").alias("bad"))
-    # a pair is one row a label: the learned exceptions are pairs of a lexicon word that clean documents have and toxic ones never
-    learned = mine.where("bad = 0 AND before <> ''").orderBy("word", "before").limit(EXCEPTIONS).collect()
-    by = defaultdict(list)
-    for r in learned:
-        by[r["word"]].append(r["before"])
-    model.exceptions = frozenset(PHRASES) | {f"{b} {w}" for w, bs in by.items() if len(bs) >= MIN_CLEAN for b in bs}
+    # the learned exceptions are pairs of a word that the lexicon meets which clean documents have and toxic ones never
+    met = pairs.select("before", "word", "toxic", F.explode(forms).alias("entry")).join(F.broadcast(chosen), "entry", "left_semi")
+    clean = met.groupBy("before", "word").agg(F.max("toxic").alias("bad")).where("bad = 0 AND before <> ''")
+    learned = clean.groupBy("word").agg(F.collect_list("before").alias("by")).where(F.size("by") >= MIN_CLEAN)
+    model.exceptions = frozenset(PHRASES) | {f"{x} {r['word']}" for r in learned.collect() for x in r["by"]}
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
