@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftgraph.llm import license_scan, line_dedup, pii, quality_rules
+from weftgraph.llm.common import cut
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -77,7 +78,7 @@ def test_quality_fences_differ_by_group_and_follow_its_quantiles(spark):
     rnd = random.Random(12)
     prose = lambda k: " ".join("x" * max(1, int(rnd.gauss(k, 1))) + rnd.choice(["", "", "", ","]) for _ in range(rnd.randint(40, 90)))
     data = [(i, prose(4 + (i % 3) * 2), "en", f"s{i % 3}") for i in range(600)] + [(1000 + i, " | ".join(["x" * 12] * 3 + [f"y{i}{j}" for j in range(20)]), "en", "s0") for i in range(5)]
-    rows = quality_rules._shares(quality_rules.signals(docs(spark, data))).where("NOT base_failed").cache()
+    rows = cut(quality_rules._shares(quality_rules.signals(docs(spark, data)))).where("NOT base_failed")
     got = {r.source: r for r in quality_rules.thresholds(rows, prior=0).collect()}
     assert len({(round(r.lo_word_len, 6), round(r.hi_word_len, 6)) for r in got.values()}) == 3
     for r in got.values():
@@ -109,14 +110,27 @@ def test_license_base_and_templates(spark):
 
 
 def test_license_join_is_exact(spark):
+    """Every block that reaches the threshold is met; labels leave out templates that a better one explains."""
     rnd = random.Random(3)
     vocab = [f"v{i}" for i in range(12)]
     temps = {f"t{k}": " ".join(rnd.sample(vocab, 5 + k)) for k in range(4)}
     data = [(i, "\n".join(" ".join(rnd.choice(vocab) for _ in range(rnd.randint(0, 14))) for _ in range(3))) for i in range(80)]
-    got = {x.doc_id: x.labels for x in license_scan.scan(spark.createDataFrame(data, "doc_id long, text string"), temps, 0.75).collect()}
-    for i, t in data:
-        want = {k for k, v in temps.items() if any(len(set(v.split()) & set(b.split())) / len(v.split()) >= 0.75 for b in t.split("\n"))}
-        assert set(filter(None, got[i].split(","))) == want
+    d = spark.createDataFrame(data, "doc_id long, text string").withColumns({c: F.lit(1) for c in ("_row", "w", "label", "blocks")})
+    held = {(i, n, k): set(v.split()) & set(b.split()) for i, t in data for n, b in enumerate(t.split("\n")) for k, v in temps.items() if len(set(v.split()) & set(b.split())) >= 0.75 * len(set(v.split()))}
+    size = {k: len(v.split()) for k, v in temps.items()}
+    found = {(r.doc_id, r.line, r.label): (r.overlap, r.containment) for r in license_scan.matches(d, temps, 0.75).collect()}
+    assert found == {x: (len(w), len(w) / size[x[2]]) for x, w in held.items()} and len(found) > 40
+    rank = lambda x: (len(held[x]) / size[x[2]], size[x[2]], tuple(-ord(c) for c in x[2]))
+    own = [x for x in held if not any(y[:2] == x[:2] and y != x and held[x] <= held[y] and rank(y) > rank(x) for y in held)]
+    got = {x.doc_id: set(filter(None, x.labels.split(","))) for x in license_scan.scan(d, temps, 0.75).collect()}
+    assert got == {i: {k for j, _, k in own if j == i} for i, _ in data}
+
+
+def test_license_names_one_creative_commons_template(spark):
+    data = [(1, "Licensed under CC BY 4.0."), (2, "x\nLicensed under CC BY-SA 4.0"), (3, "Licensed under CC BY-NC 4.0"), (4, "Copyright 2020, all rights reserved. Released under the MIT License")]
+    got = {r.doc_id: r.labels for r in license_scan.scan(spark.createDataFrame(data, "doc_id long, text string"), wrapped=True).collect()}
+    assert got == {1: "cc-by,cc-by-4.0", 2: "cc-by,cc-by-sa-4.0", 3: "cc-by,cc-by-nc-4.0", 4: "copyright,mit-short,reserved"}
+    assert {r.labels for r in license_scan.scan(spark.createDataFrame(data, "doc_id long, text string"), {}).collect()} == {"cc-by", "reserved"}
 
 
 def test_license_of_wrapped_templates(spark, tmp_path):
@@ -172,6 +186,31 @@ def test_pii_bootstrap_finds_identifiers_in_learned_contexts(spark):
     assert rows[60][1][a:b] == "0555-812-9911"
 
 
+def test_pii_bootstrap_recall_of_unseen_identifiers(spark):
+    """Identifiers that no base pattern takes, of each kind, in contexts that seeds of the kind have; and none elsewhere."""
+    say = {"email": "write to {} for details", "ip": "from host {} port open", "card": "charged card {} on file", "phone": "call us: {} any time"}
+    seed = {"email": "user{0}@site{0}.org", "ip": "10.0.{0}.7", "card": "4111 1111 1111 1111", "phone": "+49 30 1234{0:03d}5"}
+    unseen = {"email": ["jane.doe@intranet", "j@host", "bob" * 30 + "@corp"], "ip": ["300.1.2.3", "10.1.2", "1.2"], "card": ["4111 1111 1111 1112", "1234 5678", "99-88-77"], "phone": ["0555 812 9911", "(030) 12 34", "12-34"]}
+    luhn = lambda i: next(x for x in range(4111111111110000 + 20 * i, 4111111111110000 + 20 * i + 20) if sum((2 * int(c) - 9 * (int(c) > 4)) if j % 2 else int(c) for j, c in enumerate(reversed(str(x)))) % 10 == 0)
+    texts_ = [say[k].format(luhn(i) if k == "card" else seed[k].format(i)) for k in say for i in range(12)]
+    planted = [(k, x, say[k].format(x)) for k in say for x in unseen[k]]
+    other = [f"the order {70000 + i} was sent, see {w}@x" for i, w in enumerate("abcdefgh")]
+    rows = list(enumerate([*texts_, *(t for *_, t in planted), *other]))
+    out = {r.doc_id: r.s for r in pii.extract(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", pii.written(F.col("spans")).alias("s")).collect()}
+    hit = {k: 0 for k in say}
+    for n, (k, x, t) in enumerate(planted):
+        hit[k] += f"{k}:{t.index(x)}:{t.index(x) + len(x)}" in out[len(texts_) + n].split(",")
+    assert hit == {k: len(v) for k, v in unseen.items()}
+    assert all(out[len(texts_) + len(planted) + n] == "" for n in range(len(other)))
+
+
+def test_pii_running_folds(spark):
+    for n in (0, 1, 255, 256, 257, 1000):
+        xs = [(7 * i) % 11 for i in range(n)]
+        r = spark.createDataFrame([(xs,)], "x array<int>").select(pii._before(F.col("x"), 0, lambda a, b: a + b).alias("s"), pii._before(F.col("x"), 0, F.greatest).alias("m")).first()
+        assert r.s == [sum(xs[:i]) for i in range(n)] and r.m == [max([0, *xs[:i]]) for i in range(n)]
+
+
 @pytest.mark.parametrize("f", [lambda d: line_dedup.dedup_lines(d), lambda d: quality_rules.judge(d), lambda d: license_scan.scan(d), lambda d: pii.extract(d)])
 def test_empty_tables(spark, f):
     assert f(docs(spark, [])).count() == 0

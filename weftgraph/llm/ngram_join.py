@@ -62,7 +62,7 @@ LEAST_BUCKETS, MOST_BUCKETS, PER_BUCKET, CHUNKS = 1 << 22, 1 << 26, 1 << 13, 16
 BLOCK = 1 << 21
 FLUSH = 1 << 19
 MEMBERS = 1 << 22
-HOT, POSTED = 1 << 12, 1_500_000
+HOT, POSTED = 1 << 12, 2_400_000
 
 
 def _sets(col: pa.Array, width: int) -> Iterator[tuple[int, np.ndarray]]:
