@@ -1,8 +1,13 @@
-"""A corpus pipeline: toxicity filter, line dedup, near-duplicate removal, decontamination, packing."""
+"""A corpus pipeline: toxicity filter, line dedup, near-duplicate removal, decontamination, packing.
+
+Each stage takes all that its predecessor kept; all but the last return the columns of their input, extra ones included,
+whatever their names. Edge cases are those of the operators: null and empty texts pass all filters (line
+dedup makes null texts empty); documents with a null doc_id are kept by every filter; rows that repeat a doc_id with one text are
+one document; very long texts are worked on whole; empty tables give empty results at every stage.
+"""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,9 +24,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the lines that other documents keep; ``n_chars`` follows the text."""
-    out = line_dedup.dedup_lines(docs).withColumn("text", F.col("kept_text"))
-    return out.withColumn("n_chars", F.char_length("text").cast("long")).select(docs.columns)
+    """Texts without the lines that other documents keep; ``n_chars``, where there is one, follows the text."""
+    out = line_dedup.dedup_texts(docs)
+    return out.withColumn("n_chars", F.char_length("text").cast("long")).select(*[F.col(f"`{c}`") for c in docs.columns]) if "n_chars" in docs.columns else out
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,11 +48,21 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each result is written as Parquet to the shared folder and read again."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="weft-")
+    """All stages over ``documents``; each result is written as Parquet to the shared folder and read again.
+
+    A stage's input is removed once its result is written; the last result stays, as it is what is returned.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
     folder = f"{base.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for k, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
-        docs = spark.read.parquet(f"{folder}/{k}-{name}")
+        path = f"{folder}/{k}-{name}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+        if before:
+            old = spark._jvm.org.apache.hadoop.fs.Path(before)
+            old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+        before = path
     return docs
