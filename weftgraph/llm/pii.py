@@ -110,7 +110,8 @@ def base_spans(docs: DataFrame) -> DataFrame:
     none = F.array().cast(FOUND)
     every = {**PATTERNS, **FORMS}
     found = text.select("doc_id", *[F.when(F.rlike("text", F.lit(HINTS[n])), _located(p, i if i < len(KINDS) else len(KINDS) - 1 - i)).otherwise(none).alias(n) for i, (n, p) in enumerate(every.items())])
-    base = F.array_sort(F.concat(*[F.filter(k, lambda x, k=k: _valid(k, x["m"])) for k in KINDS]))
+    checked = lambda k: F.filter(k, lambda x: _valid(k, x["m"]))
+    base = F.array_sort(F.concat(*[checked(k) for k in KINDS]))
     both = found.select("doc_id", base.alias("base"), F.concat(*FORMS).alias("open"))
 
     def free(xs: Column) -> Column:
