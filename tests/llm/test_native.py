@@ -207,7 +207,7 @@ def test_pii_bootstrap_recall_of_unseen_identifiers(spark):
 def test_pii_running_folds(spark):
     for n in (0, 1, 255, 256, 257, 1000):
         xs = [(7 * i) % 11 for i in range(n)]
-        r = spark.createDataFrame([(xs,)], "x array<int>").select(pii._before(F.col("x"), 0, lambda a, b: a + b).alias("s"), pii._before(F.col("x"), 0, F.greatest).alias("m")).first()
+        r = spark.createDataFrame([(xs,)], "x array<int>").select(pii._before(F.col("x"), 0, lambda a, b: a + b).alias("s"), pii._before(F.col("x"), 0, lambda a, b: F.greatest(a, b)).alias("m")).first()
         assert r.s == [sum(xs[:i]) for i in range(n)] and r.m == [max([0, *xs[:i]]) for i in range(n)]
 
 

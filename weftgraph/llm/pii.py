@@ -115,9 +115,9 @@ def base_spans(docs: DataFrame) -> DataFrame:
     both = found.select("doc_id", base.alias("base"), F.concat(*FORMS).alias("open"))
 
     def free(xs: Column) -> Column:
-        reach = _before(F.transform(xs, lambda x: F.when(x["k"] >= 0, x["e"]).otherwise(0)), 0, F.greatest)
+        reach = _before(F.transform(xs, lambda x: F.when(x["k"] >= 0, x["e"]).otherwise(0)), 0, lambda t, x: F.greatest(t, x))
         back = F.reverse(xs)
-        ahead = F.reverse(_before(F.transform(back, lambda x: F.when(x["k"] >= 0, x["s"]).otherwise(2**31 - 1)), 2**31 - 1, F.least))
+        ahead = F.reverse(_before(F.transform(back, lambda x: F.when(x["k"] >= 0, x["s"]).otherwise(2**31 - 1)), 2**31 - 1, lambda t, x: F.least(t, x)))
         return _let(reach, lambda r: _let(ahead, lambda a: F.filter(F.transform(xs, lambda x, i: F.when((x["k"] < 0) & (F.get(r, i) <= x["s"]) & (F.get(a, i) >= x["e"]), x)), lambda x: x.isNotNull())))
 
     # base spans come before open instances of the same start, so that both see one another
@@ -147,8 +147,8 @@ def discover(rows: DataFrame, rounds: int = ROUNDS, accept: float = ACCEPT) -> D
         by_kind = salted_join(edges, known, ["inst"], F.col("pat"), "inner").groupBy("pat", "kind").agg(F.sum("score").alias("mine"))
         total = by_kind.groupBy("pat").agg(F.sum("mine").alias("all"))
         sure = by_kind.join(total, "pat").select("pat", "kind", (F.col("mine") / (F.col("all") + 1)).alias("conf")).where(F.col("conf") >= accept)
-        reached = salted_join(edges.where("k < 0"), sure, ["pat"], F.col("inst"), "inner").where(fits).groupBy("inst").agg(F.max(F.struct("conf", -F.col("kind"))).alias("b"))
-        more = reached.select("inst", (-F.col("b")[1]).cast("int").alias("kind"), F.col("b.conf").alias("score"))
+        reached = salted_join(edges.where("k < 0"), sure, ["pat"], F.col("inst"), "inner").where(fits).groupBy("inst").agg(F.max(F.struct("conf", (-F.col("kind")).alias("less"))).alias("b"))
+        more = reached.select("inst", (-F.col("b.less")).cast("int").alias("kind"), F.col("b.conf").alias("score"))
         known = cut(seeds.unionByName(more))
     best = known.join(seeds.select("inst").distinct(), "inst", "left_anti").select("inst", "kind")
     new = salted_join(occ.where("k < 0"), best, ["inst"], F.col("_row"), "inner")
