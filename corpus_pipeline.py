@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.llm import decontam, line_dedup, ngram_join, packing, toxicity
-from weftgraph.llm.common import table
+from weftgraph.llm.common import shared_folder, table
 from weftgraph.llm.queries_python import TOKENIZER
 
 
@@ -52,10 +52,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     A stage's input is removed once its result is written; the last result stays, as it is what is returned.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
-    folder = f"{base.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     docs, before = table(spark, sf_dir, "documents"), None
     for k, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{k}-{name}"
