@@ -228,6 +228,30 @@ def test_html_extraction(spark):
     assert all(html_extract.classify(x) == y for x, y in html_extract.LABELLED)
 
 
+def test_html_tree_reads_the_neighbours():
+    def used(t):
+        return {t[0]} | used(t[2]) | used(t[3]) if isinstance(t, tuple) else set()
+
+    assert used(html_extract.tree()) & {2, 3, 4, 5}
+    short = lambda before, after: html_extract.classify((4, 0.0, *before, *after, 0, 0, 0))
+    assert short((50, 0.0), (40, 0.0)) == 1 and short((2, 1.0), (3, 1.0)) == short((50, 0.0), (2, 1.0)) == 0
+
+
+def test_html_of_labelled_pages():
+    """Whole pages with and without an article: (html, main text)."""
+    long = lambda k: " ".join(f"{k}word{i}" for i in range(40))
+    menu = '<div><a href="/a">Home</a></div><div><a href="/b">About</a></div>'
+    pages = [
+        (f'<body class="layout has-sidebar"><div class="layout has-sidebar"><article><p>Short one.</p><p>{long("a")}</p></article></div></body>', f"Short one.\n{long('a')}"),
+        (f'<article><div class="entry-header"><h1>Title here</h1></div><p>{long("a")}</p><div class="post-comments"><p>Great post!</p></div></article>', f"Title here\n{long('a')}"),
+        (f'{menu}<div><p>{long("a")}</p><p>And so.</p><p>{long("b")}</p></div>{menu}<div>All rights kept.</div>{menu}', f"{long('a')}\nAnd so.\n{long('b')}"),
+        (f'{menu}<p>Read this short notice about our new opening hours now</p>{menu}<div id="sidebar"><p>{long("s")}</p></div><p>{long("a")}</p>', long("a")),
+        (f'<div class="content"><div class="ad">Buy {long("x")}</div><p>{long("a")}</p></div><aside>{long("y")}</aside><footer>{long("z")}</footer>', long("a")),
+    ]
+    for html, want in pages:
+        assert html_extract.main_text(html) == want, html[:60]
+
+
 def _best_fit(lengths, capacity):
     free = []
     for x in sorted(lengths, reverse=True):
@@ -291,11 +315,21 @@ def test_chat_round_trip(spark):
         assert said == [x for _, r, x in turns if r == "assistant"]
         for x in mine[1:]:
             assert chat.parse(x.text)[0] == ("system", turns[0][2])
-        assert all(sum(chat.tokens(t) for _, t in chat.parse(x.text)) <= 2 * chat.BUDGET or x.n_turns - x.n_repeated == 1 for x in mine)
+        for x in mine:
+            costs = [chat.tokens(t, r) for r, t in chat.parse(x.text)]
+            assert sum(costs) <= chat.BUDGET or x.n_turns - x.n_repeated == 1 and costs[-1] + costs[0] > chat.BUDGET
     n = {r.conv_id: r.n_turns for r in chat.digests(chat.windows(d)).collect()}
     assert sum(n.values()) == len(rows)
 
 
+def test_chat_ids_next_to_a_null_id_stay_whole(spark):
+    ids = [2**53, 2**53 + 1, None, -1, 2**62 + 1]
+    rows = [(c, t, "assistant", f"{c} {t}") for c in ids for t in range(2)]
+    d = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({"id": F.lit("x"), "n_turns": F.lit(9), "window": F.lit(0)}).coalesce(1)
+    out = {r.conv_id: (r.n_turns, r.loss_chars) for r in chat.digests(chat.windows(d)).collect()}
+    assert out == {c: (2, 2 * len(f"{c} 0")) for c in ids}
+
+
 def test_chat_windows_keep_the_budget(spark):
     import public_tokenizers
     from tokenizers import Tokenizer

@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import ship
 
@@ -150,6 +151,13 @@ def _tail(turns: list[tuple[str, str, int]], most: int) -> list[tuple[str, str,
     return keep[::-1]
 
 
+def _frame(rows: list[tuple], names: list[str]) -> pd.DataFrame:
+    """Rows whose conv_id may be missing; it never passes through a floating-point number."""
+    out = pd.DataFrame([r[1:] for r in rows], columns=names[1:])
+    out.insert(0, names[0], pd.array([pd.NA if r[0] is None else r[0] for r in rows], dtype="Int64"))
+    return out
+
+
 def windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
     """One row a window; the windows of a conversation are consecutive rows of one partition."""
     ship(conversations)
@@ -158,8 +166,8 @@ def windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTO
         conv, rows, size = None, [], 0
         names = [c.split()[0] for c in WINDOWS.split(", ")]
         for b in batches:
-            for c, missing, role, text in zip(b["conv_id"], b["conv_id"].isna(), b["role"], b["text"]):
-                c = None if missing else int(c)
+            for c, role, text in zip(b["id"], b["role"], b["text"]):
+                c = None if c is None else int(c)
                 if conv is None or conv.id != c:
                     if conv is not None:
                         rows.append(conv.flush())
@@ -168,15 +176,16 @@ def windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTO
                     rows.append(row)
                     size += len(row[2])
                 if len(rows) >= 1000 or size > 8_000_000:
-                    yield pd.DataFrame(rows, columns=names).astype({"conv_id": "Int64"})
+                    yield _frame(rows, names)
                     rows, size = [], 0
         if conv is not None:
             rows.append(conv.flush())
         if rows:
-            yield pd.DataFrame(rows, columns=names).astype({"conv_id": "Int64"})
+            yield _frame(rows, names)
 
     sorted_ = conversations.select("conv_id", "turn", "role", "text").repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return sorted_.mapInPandas(run, WINDOWS)
+    # as a string, or one missing id would turn all of a batch into floating-point numbers
+    return sorted_.select(F.col("conv_id").cast("long").cast("string").alias("id"), "role", "text").mapInPandas(run, WINDOWS)
 
 
 def digests(formatted: DataFrame) -> DataFrame:
@@ -189,8 +198,8 @@ def digests(formatted: DataFrame) -> DataFrame:
         names = [c.split()[0] for c in schema.split(", ")]
         done = lambda s: (s[0], s[1], s[2].hexdigest(), s[3], s[4].hexdigest(), s[5])
         for b in batches:
-            for c, missing, text, skip, mask in zip(b["conv_id"], b["conv_id"].isna(), b["text"], b["n_repeated"], b["mask"]):
-                c = None if missing else int(c)
+            for c, text, skip, mask in zip(b["id"], b["text"], b["n_repeated"], b["mask"]):
+                c = None if c is None else int(c)
                 if now is None or now[0] != c:
                     if now is not None:
                         out.append(done(now))
@@ -204,9 +213,9 @@ def digests(formatted: DataFrame) -> DataFrame:
                     now[4].update(target.encode())
                 now[5] += len(text)
             if out:
-                yield pd.DataFrame(out, columns=names).astype({"conv_id": "Int64"})
+                yield _frame(out, names)
                 out = []
         if now is not None:
-            yield pd.DataFrame([done(now)], columns=names).astype({"conv_id": "Int64"})
+            yield _frame([done(now)], names)
 
-    return formatted.mapInPandas(run, schema)
+    return formatted.select(F.col("conv_id").cast("string").alias("id"), "text", "n_repeated", "mask").mapInPandas(run, schema)

@@ -32,6 +32,8 @@ VOID = {"br", "hr", "img", "input", "meta", "link", "area", "base", "col", "embe
 INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "br"}
 CLOSES_P = {"p", "div", "ul", "ol", "li", "h1", "h2", "h3", "h4", "h5", "h6", "article", "section", "table", "blockquote", "pre", "footer", "header", "nav", "aside", "form", "main", "hr", "dl", "figure"}
 _NAMED = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|notice|popup|modal|overlay|newsletter|subscribe|comments?|replies|disqus|respond|sidebar|menu|nav\w*|breadcrumbs?|footer|header|masthead|related|recommend\w*|share|sharing|social|widget|toolbar|login|signup|search)(?:$|[\s_-])", re.I)
+#: Class words that speak of a page's layout or of an article's own head, not of what the element is.
+_LAYOUT = re.compile(r"(?:^|\s)(?:(?:has|with|no|without)-[\w-]+|(?:entry|post|article|content|story)-header)(?=$|\s)", re.I)
 _ATTR = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _SPACE = re.compile(r"\s+")
 
@@ -48,6 +50,14 @@ LABELLED = [
     ((8, 0.0, 1, 1.0, 5, 0.0, 0, 1, 1), 1), ((12, 0.0, 3, 1.0, 40, 0.0, 0, 1, 0), 1), ((6, 0.0, 30, 0.0, 2, 1.0, 0, 1, 0), 1), ((2, 1.0, 2, 1.0, 2, 1.0, 0, 1, 0), 1),
     ((50, 0.3, 2, 1.0, 10, 0.0, 0, 1, 0), 1), ((4, 0.0, 1, 1.0, 1, 1.0, 0, 1, 0), 1), ((90, 0.0, 1, 1.0, 8, 0.0, 0, 1, 0), 1), ((1, 1.0, 0, 0.0, 1, 1.0, 0, 1, 0), 1),
     ((60, 0.0, 4, 1.0, 55, 0.0, 0, 0, 0), 1), ((45, 0.1, 60, 0.0, 3, 1.0, 0, 0, 0), 1), ((30, 0.0, 50, 0.0, 40, 0.0, 0, 0, 0), 1), ((9, 0.0, 5, 1.0, 60, 0.0, 0, 0, 1), 1),
+    # outside an article, short blocks are what their neighbours are
+    ((3, 0.0, 60, 0.0, 40, 0.0, 0, 0, 0), 1), ((5, 0.0, 35, 0.0, 50, 0.0, 0, 0, 0), 1), ((2, 0.0, 25, 0.1, 45, 0.0, 0, 0, 0), 1), ((6, 0.0, 80, 0.0, 30, 0.0, 0, 0, 1), 1),
+    ((4, 0.0, 30, 0.0, 22, 0.0, 0, 0, 0), 1), ((7, 0.0, 45, 0.0, 70, 0.1, 0, 0, 0), 1), ((3, 0.0, 28, 0.0, 33, 0.0, 0, 0, 1), 1), ((1, 0.0, 40, 0.0, 90, 0.0, 0, 0, 0), 1),
+    ((5, 0.0, 60, 0.0, 2, 1.0, 0, 0, 0), 0), ((4, 0.0, 1, 1.0, 50, 0.0, 0, 0, 0), 0), ((3, 0.0, 45, 0.0, 3, 1.0, 0, 0, 0), 0), ((6, 0.0, 2, 1.0, 70, 0.0, 0, 0, 0), 0),
+    # and blocks of middle length between links are notices and teasers
+    ((10, 0.0, 2, 1.0, 2, 1.0, 0, 0, 0), 0), ((14, 0.0, 1, 1.0, 3, 1.0, 0, 0, 0), 0), ((9, 0.0, 3, 1.0, 1, 1.0, 0, 0, 0), 0), ((12, 0.0, 4, 0.9, 2, 1.0, 0, 0, 0), 0), ((11, 0.0, 2, 1.0, 0, 0.0, 0, 0, 0), 0),
+    ((10, 0.0, 60, 0.0, 50, 0.0, 0, 0, 0), 1), ((14, 0.0, 45, 0.0, 3, 1.0, 0, 0, 0), 1), ((9, 0.0, 30, 0.0, 28, 0.0, 0, 0, 0), 1), ((13, 0.0, 2, 1.0, 50, 0.0, 0, 0, 0), 1), ((40, 0.0, 2, 1.0, 3, 1.0, 0, 0, 0), 1),
+    ((40, 0.0, 1, 1.0, 2, 0.0, 0, 0, 0), 1), ((60, 0.0, 2, 1.0, 1, 0.0, 0, 0, 0), 1), ((28, 0.0, 1, 1.0, 0, 0.0, 0, 0, 0), 1), ((35, 0.0, 3, 1.0, 1, 0.0, 0, 0, 0), 1),
     ((12, 0.0, 50, 0.0, 45, 0.0, 0, 0, 0), 1), ((25, 0.2, 25, 0.1, 30, 0.0, 0, 0, 0), 1), ((90, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0), 1), ((8, 0.0, 40, 0.0, 35, 0.1, 0, 0, 1), 1),
 ]
 
@@ -197,7 +207,7 @@ def blocks(s: str) -> list[tuple[str, int, int, bool, bool, bool]]:
             if x in VOID or attrs.endswith("/"):
                 continue
             stack.append((x, skip, boiler, article))
-            named = any(_NAMED.search(next(filter(None, m.groups()), "")) for m in _ATTR.finditer(attrs)) if attrs and x not in ("html", "body", "article", "main") else False
+            named = any(_NAMED.search(_LAYOUT.sub(" ", next(filter(None, m.groups()), ""))) for m in _ATTR.finditer(attrs)) if attrs and x not in ("html", "body", "article", "main") else False
             skip = skip or x in SKIP
             boiler = boiler or x in BOILER_TAGS or named
             article = article or x in MAIN_TAGS
