@@ -9,7 +9,7 @@ from ..model import HRT
 
 
 def ranks(scored: DataFrame, truth: DataFrame, known: DataFrame | None, task: list[str], allowed: DataFrame | None = None) -> DataFrame:
-    """Rank of each true candidate: one more than the candidates that score strictly higher.
+    """Rank of each true candidate: one more than the candidates that score strictly higher; null where it was not scored.
 
     ``known`` (task, candidate) filters other true answers out; ``allowed`` (r, candidate)
     constrains candidates by type.
@@ -23,13 +23,14 @@ def ranks(scored: DataFrame, truth: DataFrame, known: DataFrame | None, task: li
     if known is not None:
         others = others.join(known.select(*task, "candidate").distinct(), [*task, "candidate"], "left_anti")
     n = others.groupBy(*task, "answer").agg(F.count("*").alias("_n"))
-    return mine.join(n, [*task, "answer"], "left").select(*task, "answer", (F.coalesce("_n", F.lit(0)) + 1).cast("long").alias("rank"))
+    ranked = mine.join(n, [*task, "answer"], "left").select(*task, "answer", (F.coalesce("_n", F.lit(0)) + 1).cast("long").alias("rank"))
+    return gold.join(ranked, [*task, "answer"], "left")
 
 
 def summary(r: DataFrame, ks: tuple[int, ...] = (1, 3, 10), by: list[str] | None = None) -> DataFrame:
-    """Mean rank, mean reciprocal rank and hits at k."""
-    aggs = [F.count("*").alias("n"), F.round(F.avg("rank"), 6).alias("mr"), F.round(F.avg(1 / F.col("rank")), 6).alias("mrr")]
-    aggs += [F.round(F.avg((F.col("rank") <= k).cast("double")), 6).alias(f"hits_{k}") for k in ks]
+    """Mean rank of what is ranked; mean reciprocal rank and hits at k of all rows, those without a rank as misses."""
+    aggs = [F.count("*").alias("n"), F.round(F.avg("rank"), 6).alias("mr"), F.round(F.avg(F.coalesce(1 / F.col("rank"), F.lit(0.0))), 6).alias("mrr")]
+    aggs += [F.round(F.avg(F.coalesce(F.col("rank") <= k, F.lit(False)).cast("double")), 6).alias(f"hits_{k}") for k in ks]
     return r.groupBy(*(by or [])).agg(*aggs)
 
 

@@ -40,7 +40,8 @@ MODELS = {
     "rotate": (lambda h, r, t: kge.rotate(h, F.slice(r, 1, 8), t), f"-{_sum('sqrt((h[i]*cos(r[i])-h[i+8]*sin(r[i])-t[i])*(h[i]*cos(r[i])-h[i+8]*sin(r[i])-t[i])+(h[i]*sin(r[i])+h[i+8]*cos(r[i])-t[i+8])*(h[i]*sin(r[i])+h[i+8]*cos(r[i])-t[i+8]))', 8)}"),
     # the normal is the relation vector itself; its own length is left as it is
     "transh": (lambda h, r, t: kge.transh(h, r, t, r), f"-{_sum('abs(h[i]-' + _sum('h[j]*r[j]').replace('FOR i', 'FOR j') + '*r[i]+r[i]-t[i]+' + _sum('t[j]*r[j]').replace('FOR i', 'FOR j') + '*r[i])')}"),
-    "transd": (lambda h, r, t: kge.transd(h, r, t, t, r, h), f"-{_sum('abs(h[i]-t[i]+r[i])')}"),
+    # each entity is its own transfer vector, and so is the relation
+    "transd": (lambda h, r, t: kge.transd(h, r, t, h, r, t), f"-{_sum('abs(h[i]+' + _sum('h[j]*h[j]').replace('FOR i', 'FOR j') + '*r[i]+r[i]-t[i]-' + _sum('t[j]*t[j]').replace('FOR i', 'FOR j') + '*r[i])')}"),
     # 4 by 4 matrices from the relation vector
     "transr": (lambda h, r, t: kge.transr(F.slice(h, 1, 4), F.slice(r, 1, 4), F.slice(t, 1, 4), r), "-" + _sum("abs(" + "+".join(f"r[4*i-4+{j}]*h[{j}]" for j in range(1, 5)) + "+r[i]-(" + "+".join(f"r[4*i-4+{j}]*t[{j}]" for j in range(1, 5)) + "))", 4)),
     "rescal": (lambda h, r, t: kge.rescal(F.slice(h, 1, 4), r, F.slice(t, 1, 4)), _sum("h[i]*(" + "+".join(f"r[4*i-4+{j}]*t[{j}]" for j in range(1, 5)) + ")", 4)),
@@ -59,10 +60,7 @@ def _model(name):
 
 for _n, (_, _x) in MODELS.items():
     QUERIES[f"kge_{_n}"] = _model(_n)
-    if _n != "transd":
-        SQL[f"kge_{_n}"] = f"{_T} SELECT head, rel, tail, round({_x}, 5) AS score FROM j"
-# transfer vectors swapped: h + (h.t) r against t + (t.h) r, which cancel
-SQL["kge_transd"] = f"{_T} SELECT head, rel, tail, round(-{_sum('abs(h[i]+r[i]-t[i])')}, 5) AS score FROM j"
+    SQL[f"kge_{_n}"] = f"{_T} SELECT head, rel, tail, round({_x}, 5) AS score FROM j"
 
 
 def kge_topk(s, d):

@@ -135,7 +135,7 @@ def _sql_violations(name: str, v: str) -> str:
         "functional": f"{new} AND x.h IN (SELECT h FROM {v} WHERE r = '{k}' GROUP BY h HAVING count(*) > 1)",
         "functional_sub": f"SELECT x.h, x.r, x.t FROM {v} x WHERE x.is_new AND x.r = '{o}' AND EXISTS (SELECT 1 FROM {v} WHERE r = '{k}') AND (x.h IN (SELECT h FROM {v} WHERE r = '{o}' GROUP BY h HAVING count(*) > 1) OR EXISTS (SELECT 1 FROM {v} y WHERE y.r = '{k}' AND y.h = x.h AND y.t <> x.t))",
         "functional_inverse": f"SELECT x.h, x.r, x.t FROM {v} x WHERE x.is_new AND x.r = '{o}' AND EXISTS (SELECT 1 FROM {v} WHERE r = '{k}') AND (x.t IN (SELECT t FROM {v} WHERE r = '{o}' GROUP BY t HAVING count(*) > 1) OR EXISTS (SELECT 1 FROM {v} y WHERE y.r = '{k}' AND y.h = x.t AND y.t <> x.h))",
-        "irreflexive": f"SELECT x.h, x.r, x.t FROM {v} x WHERE x.r = '{k}' AND x.h = x.t", "asymmetric": f"{new} AND EXISTS (SELECT 1 FROM {v} y WHERE y.r = x.r AND y.h = x.t AND y.t = x.h)",
+        "irreflexive": f"SELECT x.h, x.r, x.t FROM {v} x WHERE x.r = '{k}' AND x.h = x.t", "asymmetric": f"{new} AND (x.h, x.t) IN (SELECT (y.t, y.h) FROM {v} y WHERE y.r = '{k}')",
     }[name]
 
 
@@ -394,9 +394,17 @@ def _small(s, d):
     return triples(s, d).where("r IN ('placedBy', 'locatedIn', 'partOf')").select(*HRT)
 
 
-@query("rule_acyclic1", f"{W}, {_SMALL}, ed AS (SELECT r, 1 AS d, h AS x, t AS y FROM sm UNION ALL SELECT r, 0, t, h FROM sm), n AS (SELECT r, d, y, count(*) AS c FROM ed GROUP BY r, d, y HAVING count(*) >= 5) SELECT k.r AS head, k.t AS const, ed.r AS body, ed.d, ed.y AS key, any_value(n.c) AS predicted, count(*) AS correct, round(count(*) / any_value(n.c), 6) AS confidence FROM ed JOIN n ON n.r = ed.r AND n.d = ed.d AND n.y = ed.y JOIN sm k ON k.h = ed.x WHERE NOT (k.r = ed.r AND ed.d = 1) GROUP BY 1, 2, 3, 4, 5 HAVING count(*) >= 2 AND count(*) / any_value(n.c) >= 0.0001")
+_ORDERS = _SMALL.replace("'locatedIn', 'partOf'", "'shippedBy'").replace("sm AS (", "sm AS MATERIALIZED (")
+
+
+def _orders(s, d):
+    """The relations of an order with other things than parts; heads that have several tails."""
+    return triples(s, d).where("r IN ('placedBy', 'shippedBy')").select(*HRT)
+
+
+@query("rule_acyclic1", f"{W}, {_ORDERS}, ed AS (SELECT r, 1 AS d, h AS x, t AS y FROM sm UNION ALL SELECT r, 0, t, h FROM sm), n AS (SELECT r, d, y, count(*) AS c FROM ed GROUP BY r, d, y HAVING count(*) >= 5) SELECT k.r AS head, k.t AS const, ed.r AS body, ed.d, ed.y AS key, any_value(n.c) AS predicted, count(*) AS correct, round(count(*) / any_value(n.c), 6) AS confidence FROM ed JOIN n ON n.r = ed.r AND n.d = ed.d AND n.y = ed.y JOIN sm k ON k.h = ed.x WHERE NOT (k.r = ed.r AND ed.d = 1) GROUP BY 1, 2, 3, 4, 5 HAVING count(*) >= 2 AND count(*) / any_value(n.c) >= 0.0001")
 def _(s, d):
-    return rules.mine_acyclic1(_small(s, d)).withColumn("confidence", F.round("confidence", 6))
+    return rules.mine_acyclic1(_orders(s, d)).withColumn("confidence", F.round("confidence", 6))
 
 
 @query("rule_acyclic2", f"{W}, {_SMALL}, ed AS (SELECT DISTINCT r, d, x FROM (SELECT r, 1 AS d, h AS x, t AS y FROM sm UNION ALL SELECT r, 0, t, h FROM sm) WHERE x <> y), n AS (SELECT r, d, count(*) AS c FROM ed GROUP BY r, d) SELECT k.r AS head, k.t AS const, ed.r AS body, ed.d, any_value(n.c) AS predicted, count(*) AS correct, round(count(*) / any_value(n.c), 6) AS confidence FROM ed JOIN n ON n.r = ed.r AND n.d = ed.d JOIN sm k ON k.h = ed.x GROUP BY 1, 2, 3, 4 HAVING count(*) >= 2 AND count(*) / any_value(n.c) >= 0.0001")
@@ -460,15 +468,16 @@ def _(s, d):
     return ranking.extend(one(1), one(2), ["h", "r"], 2.0).withColumn("score", F.round("score", 6))
 
 
-@query("bgp_negative_rule", "SELECT x.h, x.r, x.t FROM kg x WHERE x.r = 'shippedBy' AND EXISTS (SELECT 1 FROM kg a JOIN kg b ON b.h = a.t AND b.r = 'locatedIn' JOIN kg c ON c.r = 'locatedIn' AND c.t = b.t WHERE a.r = 'placedBy' AND a.h = x.h AND c.h = x.t)")
+@query("bgp_negative_rule", f"{W}, km AS MATERIALIZED (SELECT h, r, t FROM kg WHERE r IN ('placedBy', 'locatedIn', 'shippedBy')) SELECT DISTINCT x.h, x.r, x.t FROM km x JOIN km a ON a.r = 'placedBy' AND a.h = x.h JOIN km b ON b.r = 'locatedIn' AND b.h = a.t JOIN km c ON c.r = 'locatedIn' AND c.h = x.t AND c.t = b.t WHERE x.r = 'shippedBy'")
 def _(s, d):
     t = triples(s, d).select(*HRT)
     return rules.violates(t, t, "shippedBy", [("?subject", "placedBy", "?c"), ("?c", "locatedIn", "?n"), ("?object", "locatedIn", "?n")])
 
 
-@query("bgp_match", "SELECT a.h AS o, a.t AS c, b.t AS n FROM kg a JOIN kg b ON b.h = a.t AND b.r = 'locatedIn' JOIN kg p ON p.h = b.t AND p.r = 'partOf' AND p.t = 'r1' WHERE a.r = 'placedBy' AND a.h < a.t")
+@query("bgp_match", f"{W}, km AS MATERIALIZED (SELECT h, r, t FROM kg WHERE r IN ('shippedBy', 'locatedIn')) SELECT a.h AS o, a.t AS s, b.t AS u, x.t AS n FROM km a JOIN km b ON b.h = a.h AND b.r = 'shippedBy' AND a.t < b.t JOIN km x ON x.r = 'locatedIn' AND x.h = a.t JOIN km y ON y.r = 'locatedIn' AND y.h = b.t AND y.t = x.t WHERE a.r = 'shippedBy'")
 def _(s, d):
-    return rules.match(triples(s, d), [("?o", "placedBy", "?c"), ("?c", "locatedIn", "?n"), ("?n", "partOf", "r1")], ["o < c"])
+    pattern = [("?o", "shippedBy", "?s"), ("?o", "shippedBy", "?u"), ("?s", "locatedIn", "?n"), ("?u", "locatedIn", "?n")]
+    return rules.match(triples(s, d), pattern, ["s < u"]).select("o", "s", "u", "n")
 
 
 @query("rule_negated_body", "SELECT DISTINCT h AS ent FROM kg WHERE r = 'placedBy' AND h NOT IN (SELECT h FROM kg WHERE r = 'shippedBy' AND t = 's1') AND h IN (SELECT h FROM kg WHERE r = 'contains')")
@@ -478,7 +487,7 @@ def _(s, d):
     return rules.where_body(t, rules.where_body(t, rows, "ent", "shippedBy", "s1", negated=True), "ent", "contains")
 
 
-@query("path_exists_2", f"{W}, pr AS (SELECT 'c' || c_custkey AS h, 's' || s_suppkey AS t FROM customer JOIN supplier ON s_suppkey = c_custkey), ed AS (SELECT h AS x, t AS y FROM kg UNION SELECT t, h FROM kg) SELECT h, t FROM pr WHERE EXISTS (SELECT 1 FROM ed a JOIN ed b ON a.y = b.x WHERE a.x = pr.h AND b.y = pr.t)")
+@query("path_exists_2", f"{W}, pr AS (SELECT 'c' || c_custkey AS h, 's' || s_suppkey AS t FROM customer JOIN supplier ON s_suppkey = c_custkey), ed AS MATERIALIZED (SELECT h AS x, t AS y FROM kg UNION SELECT t, h FROM kg) SELECT DISTINCT pr.h, pr.t FROM pr JOIN ed a ON a.x = pr.h JOIN ed b ON b.x = a.y AND b.y = pr.t")
 def _(s, d):
     c = read(s, d, "customer").join(read(s, d, "supplier"), F.col("c_custkey") == F.col("s_suppkey"))
     p = c.select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("h"), F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("t"))
@@ -503,9 +512,9 @@ def _(s, d):
     return rules.functionality(triples(s, d))
 
 
-@query("negative_pairs", f"{W}, {_SMALL}, ato AS (SELECT r, t, count(*) AS n FROM sm GROUP BY r, t HAVING count(*) >= 10) SELECT a.r AS r1, a.t AS c1, a.n AS n1, b.r AS r2, b.t AS c2, b.n AS n2 FROM ato a JOIN ato b ON a.r < b.r WHERE (SELECT count(DISTINCT x.h) FROM sm x JOIN ato q ON q.r = x.r AND q.t = x.t JOIN sm y ON y.h = x.h JOIN ato w ON w.r = y.r AND w.t = y.t WHERE x.r = a.r AND y.r = b.r) >= 10 AND NOT EXISTS (SELECT 1 FROM sm x JOIN sm y ON x.h = y.h WHERE x.r = a.r AND x.t = a.t AND y.r = b.r AND y.t = b.t)")
+@query("negative_pairs", f"{W}, {_ORDERS}, ato AS MATERIALIZED (SELECT r, t, count(*) AS n FROM sm GROUP BY r, t HAVING count(*) >= 10), big AS MATERIALIZED (SELECT sm.* FROM sm JOIN ato q ON q.r = sm.r AND q.t = sm.t), meet AS (SELECT x.r AS r1, y.r AS r2 FROM big x JOIN big y ON x.h = y.h AND x.r < y.r GROUP BY 1, 2 HAVING count(DISTINCT x.h) >= 10), both_ AS (SELECT DISTINCT x.r AS r1, x.t AS c1, y.r AS r2, y.t AS c2 FROM big x JOIN big y ON x.h = y.h AND x.r < y.r) SELECT a.r AS r1, a.t AS c1, a.n AS n1, b.r AS r2, b.t AS c2, b.n AS n2 FROM ato a JOIN ato b ON a.r < b.r JOIN meet m ON m.r1 = a.r AND m.r2 = b.r LEFT JOIN both_ z ON z.r1 = a.r AND z.c1 = a.t AND z.r2 = b.r AND z.c2 = b.t WHERE z.r1 IS NULL")
 def _(s, d):
-    return rules.negative_pairs(_small(s, d))
+    return rules.negative_pairs(_orders(s, d))
 
 
 @query("negative_pairs_whole")
@@ -587,10 +596,10 @@ def _ranked(s, d):
     return sc, tr
 
 
-_RK = _RANKED + ", rk AS (SELECT g.h, g.r, g.candidate AS answer, 1 + (SELECT count(*) FROM sc o WHERE o.h = g.h AND o.r = g.r AND o.candidate <> g.candidate AND o.score > m.score AND NOT EXISTS (SELECT 1 FROM tr k WHERE k.h = o.h AND k.r = o.r AND k.candidate = o.candidate)) AS rank FROM (SELECT DISTINCT * FROM tr) g JOIN sc m ON m.h = g.h AND m.r = g.r AND m.candidate = g.candidate)"
+_RK = _RANKED + ", rk AS (SELECT g.h, g.r, g.candidate AS answer, 1 + (SELECT count(*) FROM sc o WHERE o.h = g.h AND o.r = g.r AND o.candidate <> g.candidate AND o.score > m.score AND NOT EXISTS (SELECT 1 FROM tr k WHERE k.h = o.h AND k.r = o.r AND k.candidate = o.candidate)) + CASE WHEN m.score IS NULL THEN NULL ELSE 0 END AS rank FROM (SELECT DISTINCT * FROM tr) g LEFT JOIN sc m ON m.h = g.h AND m.r = g.r AND m.candidate = g.candidate)"
 
 
-@query("mrr_filtered", f"{_RK} SELECT count(*) AS n, round(avg(rank), 6) AS mr, round(avg(1.0 / rank), 6) AS mrr, round(avg(CASE WHEN rank <= 1 THEN 1.0 ELSE 0 END), 6) AS hits_1, round(avg(CASE WHEN rank <= 3 THEN 1.0 ELSE 0 END), 6) AS hits_3, round(avg(CASE WHEN rank <= 10 THEN 1.0 ELSE 0 END), 6) AS hits_10 FROM rk")
+@query("mrr_filtered", f"{_RK} SELECT count(*) AS n, round(avg(rank), 6) AS mr, round(avg(coalesce(1.0 / rank, 0)), 6) AS mrr, round(avg(CASE WHEN rank <= 1 THEN 1.0 ELSE 0 END), 6) AS hits_1, round(avg(CASE WHEN rank <= 3 THEN 1.0 ELSE 0 END), 6) AS hits_3, round(avg(CASE WHEN rank <= 10 THEN 1.0 ELSE 0 END), 6) AS hits_10 FROM rk")
 def _(s, d):
     sc, tr = _ranked(s, d)
     return metrics.summary(metrics.ranks(sc, tr, tr, ["h", "r"]))
