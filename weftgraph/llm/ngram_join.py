@@ -59,8 +59,8 @@ from .graph import components
 WIDTH, PERCENT = 2, 60
 #: Bytes of the count table: one for ``PER_BUCKET`` bytes of text, within these limits.
 LEAST_BUCKETS, MOST_BUCKETS, PER_BUCKET, CHUNKS = 1 << 22, 1 << 26, 1 << 13, 16
-BLOCK = 1 << 21
-FLUSH = 1 << 19
+BLOCK = 1 << 20
+FLUSH = 1 << 18
 MEMBERS = 1 << 22
 HOT, POSTED = 1 << 12, 2_400_000
 

@@ -119,7 +119,7 @@ def shingle_hashes(h: np.ndarray, first: np.ndarray, width: int) -> tuple[np.nda
     return out, starts
 
 
-def blocks(col: pa.Array, size: int = 4 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def blocks(col: pa.Array, size: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Runs of rows of about ``size`` bytes: first row, end row, bytes, offsets."""
     buf, offs = raw(col)
     i, n = 0, len(offs) - 1
