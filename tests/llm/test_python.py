@@ -200,9 +200,10 @@ def test_toxicity_of_long_and_repeated_texts(spark):
 
 def test_toxicity_learns_exceptions_of_every_word(spark):
     """Pairs with clean documents only are exceptions whatever the alphabet says, for word beginnings too."""
+    w = lambda i: "".join(chr(97 + i // 26**k % 26) for k in range(3))
     rows, labels = [], []
     for i in range(400):
-        rows.append((i, f"p{i % 40}x zzgruntler q{i % 37}y" if i % 2 else f"walk{i % 30} garden house"))
+        rows.append((i, f"{w(i)}p zzgruntler q{w(i)}" if i % 2 else f"{w(i)}k {w(7 * i)}m {w(11 * i)}n"))
         labels.append((i, i % 2))
     for k in range(8):
         rows.append((1000 + k, f"old{'abcdefgh'[k]} zzgruntler gate"))
@@ -378,3 +379,28 @@ def test_pipeline_stages(spark, tmp_path):
     assert 30 in seen["ngram_join"] and 31 not in seen["ngram_join"] and 20 in seen["ngram_join"] and 20 not in seen["decontamination"]
     assert set(seen["packing"]) == set(seen["decontamination"]) >= {40, 41}
     assert P.run(spark, str(tmp_path)).count() >= len(seen["packing"])
+
+
+def test_filters_keep_clashing_columns_null_ids_and_empty_tables(spark, tmp_path):
+    import corpus_pipeline as P
+
+    spark.createDataFrame([(1, "one two three four five six seven eight")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    line = "a line that is long enough to be counted by all of them"
+    rows = [(None, line), (None, None)] + [(i, f"{line}\nown text {i} " + " ".join(f"w{i}x{j}" for j in range(30))) for i in range(6)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    extra = {c: F.lit("x") for c in ("_drop", "_gone", "_id", "_kept", "_all", "kept_text", "n_lines", "component_id", "k", "n")}
+    d = d.withColumns(extra)
+    for _, stage in P.STAGES[:4]:
+        out = stage(spark, d, str(tmp_path))
+        assert out.columns == d.columns and sum(r["doc_id"] is None for r in out.select("doc_id").collect()) == 2
+        assert stage(spark, d.limit(0), str(tmp_path)).count() == 0
+    got = {r["doc_id"]: r["text"] for r in P.drop_repeated_lines(spark, d, str(tmp_path)).select("doc_id", "text").collect()}
+    assert line in got[5] and all(line not in got[i] for i in range(5))
+
+
+def test_decontamination_keeps_ids_of_any_type(spark):
+    items = [("q1", "one two three four five six seven"), (None, "aa bb cc dd ee ff gg"), ("", "x")]
+    d = spark.createDataFrame([("d1", "so one two three four five six seven it is"), (None, "AA bb cc dd ee ff gg"), ("d3", "nothing")], "doc_id string, text string")
+    got = {(r.doc_id, r.item_id) for r in decontam.matches(d, spark.createDataFrame(items, "item_id string, text string")).collect()}
+    assert got == {("d1", "q1"), (None, None)}
