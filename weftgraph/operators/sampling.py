@@ -52,17 +52,18 @@ def weighted_negatives(pool: DataFrame, k: int, seed: int = 0) -> DataFrame:
 
 
 def dev_split(t: DataFrame, percent: int = 10, seed: int = 0) -> DataFrame:
-    """``t`` with ``dev``: about ``percent`` of each relation, at least one row where it has two.
+    """``t`` with ``dev``: about ``percent`` of each relation, and of one with two rows or more the row with the least draw.
 
     A row is only held out if its relation and both entities stay in the training part.
-    Per-relation ranks are taken in hash buckets, so that a hot relation is not one task.
+    A relation's least draw is combined before the shuffle, so that a hot relation is not one task.
     """
     a = t.select(*HRT).distinct().withColumn("_d", draw(seed, *HRT))
-    dev = a.where(F.col("_d") < percent / 100.0)
-    train = a.where(F.col("_d") >= percent / 100.0)
+    least = a.groupBy("r").agg(F.min("_d").alias("_least"), F.count("*").alias("_rows"))
+    a = a.join(least, "r").withColumn("_out", (F.col("_d") < percent / 100.0) | ((F.col("_rows") > 1) & (F.col("_d") == F.col("_least")) & F.lit(percent > 0)))
+    dev, train = a.where("_out").select(*HRT), a.where("NOT _out").select(*HRT)
     ents = train.select(F.col("h").alias("e")).unionByName(train.select(F.col("t").alias("e"))).distinct()
     safe = dev.join(ents.withColumnRenamed("e", "h"), "h", "left_semi").join(ents.withColumnRenamed("e", "t"), "t", "left_semi").join(train.select("r").distinct(), "r", "left_semi")
-    return a.drop("_d").join(safe.select(*HRT, F.lit(True).alias("dev")), HRT, "left").withColumn("dev", F.coalesce("dev", F.lit(False)))
+    return a.select(*HRT).join(safe.select(*HRT, F.lit(True).alias("dev")), HRT, "left").withColumn("dev", F.coalesce("dev", F.lit(False)))
 
 
 def dev_split_by(t: DataFrame, key: Column) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..model import HRT
+from ..plans.checkpoints import cut
 
 
 def difference(a: DataFrame, b: DataFrame, on: list[str] = HRT) -> DataFrame:
@@ -64,7 +65,7 @@ def dictionary(values: DataFrame, column: str, first: int = 0) -> DataFrame:
     holds the whole dictionary.
     """
     v = values.select(column).where(F.col(column).isNotNull()).distinct().sort(column)
-    placed = v.withColumn("_p", F.spark_partition_id())
+    placed = cut(v.withColumn("_p", F.spark_partition_id()))  # a second run of the sort could draw other bounds
     placed = placed.withColumn("_n", F.row_number().over(Window.partitionBy("_p").orderBy(column)))
     before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
     starts = placed.groupBy("_p").agg(F.max("_n").alias("c")).select("_p", (F.coalesce(F.sum("c").over(before), F.lit(0))).alias("_b"))
