@@ -18,9 +18,6 @@ from .checkpoints import cut
 ORDER = ["neg_domain", "neg_range", "domain_domain", "domain_range", "range_domain", "range_range", "functional", "functional_sub", "functional_inverse", "irreflexive", "asymmetric"]
 
 
-REWRITE = 3
-
-
 def _step(name: str, valid: DataFrame, g: Graph) -> DataFrame:
     f, pattern = getattr(P, name), g.patterns[name]
     return f(valid, pattern, g.types) if name in ("neg_domain", "neg_range") else f(valid, pattern)
@@ -29,10 +26,9 @@ def _step(name: str, valid: DataFrame, g: Graph) -> DataFrame:
 def scan_relations(g: Graph, strict: bool = True) -> DataFrame:
     """All triples with is_new, is_valid and the pattern that first rejected them (null: valid).
 
-    The strict order tests a pattern against the triples that earlier ones left. What a step rejects is kept
-    in a checkpoint and anti-joined lazily; the surviving triples are only rewritten after every ``REWRITE`` steps
-    that rejected any, as plans would grow without end. ``strict=False`` evaluates every pattern against all triples in
-    one plan, without checkpoints; it rejects at least what the strict order rejects.
+    The strict order tests a pattern against the triples that earlier ones left, which are checkpointed after each
+    step that rejects any. ``strict=False`` evaluates every pattern against all triples in one plan, without
+    checkpoints; it rejects at least what the strict order rejects, and is not always faster.
     """
     rows = g.flagged().dropDuplicates(HRT)
     names = [n for n in ORDER if n in g.patterns]
@@ -46,7 +42,7 @@ def scan_relations(g: Graph, strict: bool = True) -> DataFrame:
         first = hits.groupBy(*HRT).agg(F.min("_i").alias("_i"))
         label = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("_i") + 1)
         return rows.join(first, HRT, "left").select(*HRT, "is_new", F.col("_i").isNull().alias("is_valid"), F.when(F.col("_i").isNotNull(), label).alias("pattern"))
-    valid, out, lazy = cut(rows), [], 0
+    valid, out = cut(rows), []
     fused: list[list[str]] = []
     for n in names:
         pair = fused and (fused[-1][-1], n) in (("neg_domain", "neg_range"), ("irreflexive", "asymmetric"))
@@ -57,9 +53,7 @@ def scan_relations(g: Graph, strict: bool = True) -> DataFrame:
         bad = cut(both.groupBy(*HRT).agg(F.min_by("pattern", "_i").alias("pattern")))
         out.append(bad)
         if not bad.isEmpty():
-            valid, lazy = valid.join(bad, HRT, "left_anti"), lazy + 1
-            if lazy == REWRITE:
-                valid, lazy = cut(valid), 0
+            valid = cut(valid.join(bad, HRT, "left_anti"))
     rejected = None
     for b in out:
         rejected = b if rejected is None else rejected.unionByName(b)
