@@ -115,6 +115,18 @@ def test_keep_one_and_components(spark):
     assert all(c[i] == 0 for i in range(41)) and {c[90], c[95], c[100]} == {90}
 
 
+def test_ngram_join_plans_stay_small_for_the_driver(spark, monkeypatch):
+    """The driver holds the shuffles of one plan and the metrics of its tasks at once: no plan has many."""
+    exchanges, cut = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange "), ngram_join.cut
+    seen = []
+    for m in (ngram_join, graph):
+        monkeypatch.setattr(m, "cut", lambda df: seen.append(exchanges(df)) or cut(df))
+    rows = [(i, f"a b c d e f {i // 3} g h {i % 2}") for i in range(30)]
+    kept = ngram_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert max(seen) <= 8 and exchanges(kept) <= 3
+    assert {r.doc_id for r in kept.collect()} == {i for i, (_, _, c) in brute(rows).items() if i == c}
+
+
 def test_empty_tables(spark):
     d = spark.createDataFrame([], "doc_id long, text string")
     b = spark.createDataFrame([], "item_id long, text string")

@@ -69,7 +69,9 @@ def components(edges: DataFrame) -> DataFrame:
     e = cut(forest(edges).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     before = None
     while True:
-        e = cut(_stars(_stars(e, False), True))
+        e = cut(_stars(e, False))
+        release(e)
+        e = cut(_stars(e, True))
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003)).first())
         release(e)
         if now == before:

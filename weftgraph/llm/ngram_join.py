@@ -578,7 +578,9 @@ def similar(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> Data
     classes = cut(sets.where("n > 0").groupBy("digest", "key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.max("n").alias("n"), F.max("bits").alias("bits")))
     members = docs_.agg(F.sum("n")).first()[0] or 0
     posted = min(parts, max(spark.sparkContext.defaultParallelism, members * (100 - percent) // 100 // POSTED))
-    pairs = cut(likely(cut(candidates(docs, rank, posted, width, percent)), classes, parts, percent))
+    found = cut(candidates(docs, rank, posted, width, percent))
+    release(docs)
+    pairs = cut(likely(found, classes, parts, percent))
     rank.destroy()  # all that needed it is in checkpoints
     release(docs)
     links = cut(verified(docs, pairs, classes, parts, width, percent))
@@ -586,11 +588,15 @@ def similar(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> Data
     # members of the classes that a class links with: one each, and the further copies of those that have any
     ends = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     further = classes.where("copies > 1").select(F.col("key").alias("b"), (F.col("copies") - 1).alias("more"))
-    linked = ends.groupBy("a").agg(F.count("*").alias("others")).unionByName(salted_join(ends, further, ["b"], F.col("a"), "inner").groupBy("a").agg(F.sum("more").alias("others"))).groupBy("a").agg(F.sum("others").alias("others"))
-    comp = components(links).join(classes.select(F.col("key").alias("node"), "rep"), "node")
+    # each step is a narrow checkpoint of its own: one plan of them all holds every shuffle, and the metrics of every task, in the driver at once
+    linked = cut(ends.groupBy("a").agg(F.count("*").alias("others")).unionByName(salted_join(ends, further, ["b"], F.col("a"), "inner").groupBy("a").agg(F.sum("more").alias("others"))).groupBy("a").agg(F.sum("others").alias("others")))
+    release(docs)
+    comp = cut(components(links).join(classes.select(F.col("key").alias("node"), "rep"), "node"))
+    release(docs)
     comp = comp.join(comp.groupBy("component").agg(F.min("rep").alias("first")), "component").select("node", "first")
     by_class = classes.join(linked, F.col("key") == F.col("a"), "left").join(comp, F.col("key") == F.col("node"), "left").where("copies > 1 OR first IS NOT NULL")  # others are alone
-    by_class = by_class.select("digest", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("similar"), F.coalesce("first", "rep").alias("component"))
+    by_class = cut(by_class.select("digest", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("similar"), F.coalesce("first", "rep").alias("component")))
+    release(docs)
     out = salted_join(sets.select("doc_id", "n", "digest"), by_class, ["digest"], F.col("doc_id"))
     known = out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("similar", F.lit(0)).cast("long").alias("n_similar"), F.coalesce("component", "doc_id").alias("component_id"))
     return known.unionByName(docs_.where("doc_id IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.lit(0).cast("long").alias("n_similar"), F.col("doc_id").alias("component_id")))
@@ -599,5 +605,6 @@ def similar(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> Data
 def keep_one(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """``docs`` with one document of each group: the one with the smallest doc_id."""
     other = f"gone_{uuid.uuid4().hex}"
-    gone = similar(docs, width, percent).where("component_id <> doc_id").select(F.col("doc_id").alias(other))
+    gone = cut(similar(docs, width, percent).where("component_id <> doc_id").select(F.col("doc_id").alias(other)))
+    release(docs)
     return docs.join(gone.hint("shuffle_hash"), F.col("doc_id") == F.col(other), "left_anti")
