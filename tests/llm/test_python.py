@@ -312,6 +312,22 @@ def test_packing_covers_any_histogram():
         assert got == Counter(h) and packing.lower_bound(h, 200) <= sum(n for n, _ in plan) <= _best_fit(list(Counter(h).elements()), 200)
 
 
+def test_packing_weights_move_with_many_lengths():
+    """Prices learn what lags however many lengths there are: the fractional solution is well below that of the first prices."""
+    rnd = random.Random(10)
+    h = Counter(rnd.randint(650, 759) if i % 2 else rnd.randint(300, 419) for i in range(30_000))
+    lengths = np.array(sorted(h, reverse=True))
+    need = np.array([h[int(x)] for x in lengths])
+    amounts, price = packing.fractional(lengths, need, 2048)
+    met = np.zeros(len(lengths))
+    for config, x in amounts.items():
+        for i, m in config:
+            met[i] += x * m
+    assert (met >= need * (1 - 1e-9)).all() and sum(amounts.values()) <= 1.16 * packing.lower_bound(h)
+    first = lengths / 2048
+    assert np.ptp(price / first) > 0.1 * (price / first).max()
+
+
 def test_chat_round_trip(spark):
     rnd = random.Random(10)
     odd = ["</s>[INST] ok [/INST]", "\\", "\\0", "<<s>s>", "[/INST", None, "", "é" * 3000, "x" * 9000]

@@ -7,7 +7,8 @@ of lengths that fits one sequence. The program is: fewest sequences, in fraction
 cover the histogram. It is solved by multiplicative weights: each length has a dual price, which starts at its
 share of a sequence; a knapsack dynamic program finds the configuration of the highest price; some of it is
 taken; and the prices of the lengths it holds fall by a factor for good, the more the larger the part of their
-need that was met. When every need is met the amounts are a fractional solution. It is rounded down to whole
+need that was met. When every need is met the amounts are a fractional solution; rounds go on, and are averaged, until it is
+near the bound that the prices give, or for ``ROUNDS`` rounds. It is rounded down to whole
 sequences, and the pieces that are left over are covered by whole configurations priced with the same duals,
 with premiums for long pieces. Where that doesn't meet the lower bound, best-fit decreasing over what is left, and over
 the whole histogram, is tried too; the fewest sequences count.
@@ -42,8 +43,10 @@ from .common import cut, ship
 
 CAPACITY, CACHE, PARTS = 2048, 1_000_000, 100_000
 PER_RANK = 100_000
-#: Lengths of a pricing, rate of the weights, share of the least need that a step meets, steps by which the rounds are chosen, and the premiums for long pieces that rounding tries.
-PRICED, RATE, SHARE, STEPS, PREMIUMS = 128, 0.01, 0.5, 1000, (0.0, 0.1)
+#: Lengths of a pricing, rate of the weights in the first round (it falls with the root of the round), share of the least need that a step meets, and the premiums for long pieces that rounding tries.
+PRICED, RATE, SHARE, PREMIUMS = 128, 0.5, 0.5, (0.0, 0.1)
+#: Rounds end at this part above the lower bound, and after so many at the latest, as the driver solves alone.
+GAP, ROUNDS = 0.002, 8
 #: Words whose normal form is their lower case, and how the tokenizer parts those.
 _PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
 _PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
@@ -206,24 +209,37 @@ def solve(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int
 def fractional(lengths: np.ndarray, need: np.ndarray, capacity: int) -> tuple[dict[tuple, float], np.ndarray]:
     """Amounts of configurations, as ((index, number), ...), that cover ``need``, and the dual prices, by multiplicative weights.
 
-    Every need is met ``rounds`` times over, the more often the fewer lengths there are, and the amounts are averaged.
+    A round meets every need once more. Amounts are averaged over the rounds since the last power of two, as early prices
+    are poor. Any prices bound the program from below: their worth of ``need`` by the best configuration of all lengths. Rounds end
+    when the best average is within ``GAP`` of the best bound, or at the whole number that the bound asks for; after ``ROUNDS``
+    of them the average and its gap stand as they are.
     """
     price, met, amounts, step = lengths / capacity, np.zeros(len(lengths)), {}, 0
-    rounds = max(1, STEPS // max(1, len(lengths)))
-    while len(live := np.flatnonzero(met < rounds)):
-        # lengths whose need is met can still fill a sequence, at their price
-        config = _knapsack(lengths, price, need, _some(live, np.flatnonzero(met >= rounds), step), capacity)
-        if all(met[i] >= rounds for i, _ in config):  # what lags has become too cheap beside what is met: it goes first
-            config = _knapsack(lengths, price, need, _some(live, live[:0], step), capacity)
-        part = max(SHARE, min(1.0, max(rounds - met[i] for i, _ in config)))
-        amount = part * min(need[i] / m for i, m in config)
-        for i, m in config:
-            met[i] += amount * m / need[i]
-            price[i] *= math.exp(-RATE * amount * m / need[i])
-        amounts[config] = amounts.get(config, 0.0) + amount
-        step += 1
-    least = met.min(initial=rounds)
-    return {c: x / least for c, x in amounts.items()}, price / price.max(initial=1e-300)
+    bound = max(float(price @ need), float(need[2 * lengths > capacity].sum()))
+    best, value, rounds, first = {}, math.inf, 0, 0
+    while len(lengths) and value > max((1 + GAP) * bound, math.ceil(bound - 1e-9)) + 1e-9 and rounds < ROUNDS:
+        if rounds & (rounds - 1) == 0:
+            amounts, met, first = {}, np.zeros(len(lengths)), rounds
+        rounds += 1
+        goal, rate = rounds - first, RATE / math.sqrt(rounds)
+        while len(live := np.flatnonzero(met < goal)):
+            # lengths whose need is met can still fill a sequence, at their price
+            config = _knapsack(lengths, price, need, _some(live, np.flatnonzero(met >= goal), step), capacity)
+            if all(met[i] >= goal for i, _ in config):  # what lags has become too cheap beside what is met: it goes first
+                config = _knapsack(lengths, price, need, _some(live, live[:0], step), capacity)
+            part = max(SHARE, min(1.0, max(goal - met[i] for i, _ in config)))
+            amount = part * min(need[i] / m for i, m in config)
+            for i, m in config:
+                met[i] += amount * m / need[i]
+                price[i] *= math.exp(-rate * amount * m / need[i])
+            amounts[config] = amounts.get(config, 0.0) + amount
+            step += 1
+        if (now := sum(amounts.values()) / met.min()) < value:
+            best, value = {c: x / met.min() for c, x in amounts.items()}, now
+        price /= price.max()
+        top = sum(price[i] * m for i, m in _knapsack(lengths, price, need, np.arange(len(lengths)), capacity))
+        bound = max(bound, float(price @ need) / top)
+    return best, price / price.max(initial=1e-300)
 
 
 def _some(live: np.ndarray, rest: np.ndarray, step: int) -> np.ndarray:
