@@ -328,6 +328,30 @@ def test_packing_weights_move_with_many_lengths():
     assert np.ptp(price / first) > 0.1 * (price / first).max()
 
 
+def test_packing_prices_of_any_size_fill_a_sequence():
+    """A length that was met far too often is still worth a sequence once all others are met, beside rare and frequent ones."""
+    lengths, need = np.array([70, 40, 30]), np.array([2, 5, 9])
+    for scale in (1.0, 1e-13, 1e-300):
+        got = packing._knapsack(lengths, scale * lengths, need, np.arange(3), 100)
+        assert got and sum(int(lengths[i]) * m for i, m in got) == 100 and all(m <= need[i] for i, m in got)
+    for seed in range(25):
+        rnd = random.Random(seed)
+        capacity = rnd.choice([50, 100, 200, 400])
+        h = {rnd.randint(1, capacity): rnd.randint(1, 5) if rnd.random() < 0.5 else int(10 ** rnd.uniform(0, 6)) for _ in range(rnd.randint(2, min(capacity, 60)))}
+        lengths = np.array(sorted(h, reverse=True))
+        need = np.array([h[int(x)] for x in lengths])
+        met, got, plan = np.zeros(len(lengths)), Counter(), packing.solve(h, capacity)
+        for config, x in packing.fractional(lengths, need, capacity)[0].items():
+            for i, m in config:
+                met[i] += x * m
+        assert (met >= need * (1 - 1e-9)).all()
+        for n, c in plan:
+            assert n > 0 and c and sum(k * m for k, m in c.items()) <= capacity
+            for k, m in c.items():
+                got[k] += m * n
+        assert got == Counter(h) and packing.lower_bound(h, capacity) <= sum(n for n, _ in plan) <= sum(n for n, _ in packing.best_fit(lengths, need, capacity))
+
+
 def test_chat_round_trip(spark):
     rnd = random.Random(10)
     odd = ["</s>[INST] ok [/INST]", "\\", "\\0", "<<s>s>", "[/INST", None, "", "é" * 3000, "x" * 9000]

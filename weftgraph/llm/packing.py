@@ -31,7 +31,6 @@ import math
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +46,10 @@ PER_RANK = 100_000
 PRICED, RATE, SHARE, PREMIUMS = 128, 0.5, 0.5, (0.0, 0.1)
 #: Rounds end at this part above the lower bound, and after so many at the latest, as the driver solves alone.
 GAP, ROUNDS = 0.002, 8
+#: No price falls below this, so that a length is worth something beside those of its pricing however often it was met.
+LEAST = 1e-300
+#: Part of the highest price that taking an item costs, so that no ties are taken.
+TINY = 1e-12
 #: Words whose normal form is their lower case, and how the tokenizer parts those.
 _PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
 _PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
@@ -66,55 +69,57 @@ class Words:
         self.forget()
 
     def forget(self) -> None:
-        self.parts: dict[str, list[int]] = {}
+        self.parts: dict[str, tuple[int, ...]] = {}
         self.keys = np.zeros(0, X.U)
         self.first = np.zeros(0, np.int64)
         self.count = np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.uint32)
 
-    def _encode(self, words: list[str]) -> list[list[int]]:
-        """Ids of each word; printable ASCII and Latin-1 letters need no normalising but lower case."""
-        out, model, known = [], self.tokenizer.model, self.parts
+    def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words, and how many each has; printable ASCII and Latin-1 letters need no normalising but lower case."""
+        ids, count, model, known = [], [], self.tokenizer.model, self.parts
         for w in words:
-            if _PLAIN.fullmatch(w) is None or "<|" in w:
-                out.append(self.tokenizer.encode(w, add_special_tokens=False).ids)
-                continue
-            ids: list[int] = []
-            for part in _PARTS.findall(w.lower()):
+            before = len(ids)
+            if w.isascii() and w.isalpha():
+                parts = [w.lower()]
+            elif _PLAIN.fullmatch(w) is None or "<|" in w:
+                ids += self.tokenizer.encode(w, add_special_tokens=False).ids
+                parts = []
+            else:
+                parts = _PARTS.findall(w.lower())
+            for part in parts:
                 got = known.get(part)
                 if got is None:
                     if len(known) >= PARTS:
                         known.clear()
-                    got = known[part] = [t.id for t in model.tokenize(part if part.isascii() else part.encode().decode("latin-1").translate(_BYTES))]
+                    got = known[part] = tuple([t.id for t in model.tokenize(part if part.isascii() else part.encode().decode("latin-1").translate(_BYTES))])
                 ids += got
-            out.append(ids)
-        return out
+            count.append(len(ids) - before)
+        return np.array(ids, np.uint32), np.array(count, np.int64)
 
-    def learn(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, h: np.ndarray) -> None:
-        uniq, at = np.unique(h, return_index=True)
+    def learn(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """The place of every word among ``keys``, once those not seen before are in it."""
+        uniq, at, back = np.unique(h, return_index=True, return_inverse=True)
         p = np.searchsorted(self.keys, uniq)
-        if len(self.keys):
-            new = self.keys[np.minimum(p, len(self.keys) - 1)] != uniq
-            uniq, at, p = uniq[new], at[new], p[new]
-        if not len(uniq):
-            return
-        if len(self.keys) + len(uniq) > CACHE and len(self.keys):
+        new = self.keys[np.minimum(p, len(self.keys) - 1)] != uniq if len(self.keys) else np.ones(len(uniq), bool)
+        if not new.any():
+            return p[back]
+        if len(self.keys) + new.sum() > CACHE and len(self.keys):
             self.forget()
             return self.learn(buf, starts, ends, h)
-        data = memoryview(buf)
-        ids = self._encode([bytes(data[s:e]).decode("utf-8", "replace") for s, e in zip(starts[at].tolist(), ends[at].tolist())])
-        count = np.fromiter(map(len, ids), np.int64, len(ids))
+        data, at, to = buf.tobytes(), at[new], p[new]
+        ids, count = self._encode([data[s:e].decode("utf-8", "replace") for s, e in zip(starts[at].tolist(), ends[at].tolist())])
         first = len(self.ids) + np.cumsum(count) - count
-        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(ids), np.uint32, int(count.sum()))])
-        self.keys, self.first, self.count = np.insert(self.keys, p, uniq), np.insert(self.first, p, first), np.insert(self.count, p, count)
+        self.ids = np.concatenate([self.ids, ids])
+        self.keys, self.first, self.count = np.insert(self.keys, to, uniq[new]), np.insert(self.first, to, first), np.insert(self.count, to, count)
+        return (p + np.cumsum(new) - new)[back]
 
     def encode(self, col: pa.Array) -> Iterator[np.ndarray]:
         """Ids of every row, ended by 0."""
         for i, j, buf, offs in X.blocks(col):
             own, offs = buf[offs[0] : offs[-1]], offs - offs[0]
             h, starts, ends, first = words(own, offs)
-            self.learn(own, starts, ends, h)
-            p = np.searchsorted(self.keys, h)
+            p = self.learn(own, starts, ends, h)
             count, src = self.count[p], self.first[p]
             total = np.concatenate([[0], np.cumsum(count)])
             flat = self.ids[np.repeat(src - total[:-1], count) + np.arange(total[-1])] if total[-1] else np.zeros(0, np.uint32)
@@ -231,7 +236,7 @@ def fractional(lengths: np.ndarray, need: np.ndarray, capacity: int) -> tuple[di
             amount = part * min(need[i] / m for i, m in config)
             for i, m in config:
                 met[i] += amount * m / need[i]
-                price[i] *= math.exp(-rate * amount * m / need[i])
+                price[i] = max(price[i] * math.exp(-rate * amount * m / need[i]), LEAST)
             amounts[config] = amounts.get(config, 0.0) + amount
             step += 1
         if (now := sum(amounts.values()) / met.min()) < value:
@@ -290,25 +295,28 @@ def _knapsack(lengths: np.ndarray, price: np.ndarray, limit: np.ndarray, among:
 
     A length that fits several times stands for 1, 2, 4, ... pieces, so each item is taken or not.
     """
-    items: list[tuple[int, int]] = []
-    for i, n in zip(among.tolist(), np.minimum(limit[among], capacity // lengths[among]).tolist()):
+    items: list[tuple[int, int, int, float]] = []
+    worth = price[among] / price[among].max()
+    for i, n, w, v in zip(among.tolist(), np.minimum(limit[among], capacity // lengths[among]).tolist(), lengths[among].tolist(), worth.tolist()):
         m = 1
         while n > 0:
-            items.append((i, min(m, n)))
+            k = min(m, n)
+            if v * k > TINY:  # others are never taken
+                items.append((i, k, w * k, v * k - TINY))
             n -= m
             m *= 2
-    best, took = np.zeros(capacity + 1), np.zeros((len(items), capacity + 1), bool)
-    for k, (i, m) in enumerate(items):
-        w = int(lengths[i]) * m
-        value = best[: capacity + 1 - w] + price[i] * m
-        np.greater(value, best[w:] + 1e-12, out=took[k, w:])
-        np.maximum(best[w:], value, out=best[w:])
+    best, took, room = np.zeros(capacity + 1), np.zeros((len(items), capacity + 1), bool), np.empty(capacity + 1)
+    for row, (_, _, w, v) in zip(took, items):
+        rest, value = best[w:], room[w:]
+        np.add(best[: capacity + 1 - w], v, out=value)
+        np.greater(value, rest, out=row[w:])
+        np.maximum(value, rest, out=rest)
     c, pick = int(best.argmax()), {}
     for k in range(len(items) - 1, -1, -1):
         if took[k, c]:
-            i, m = items[k]
+            i, m, w, _ = items[k]
             pick[i] = pick.get(i, 0) + m
-            c -= int(lengths[i]) * m
+            c -= w
     return tuple(sorted(pick.items()))
 
 
