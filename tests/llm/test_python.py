@@ -433,6 +433,20 @@ def test_pipeline_stages(spark, tmp_path):
     assert P.run(spark, str(tmp_path)).count() >= len(seen["packing"])
 
 
+def test_pipeline_packs_rare_lengths_beside_frequent_ones(spark, tmp_path):
+    import corpus_pipeline as P
+
+    h = {310: 2, 503: 1, 89: 1, 6: 1, 160: 2, 115: 165, 78: 1, 92: 1, 291: 58, 348: 81, 543: 2, 201: 1}
+    rows = [(i, "a " * (n - 1)) for i, n in enumerate(Counter(h).elements())]
+    seqs = defaultdict(list)
+    for r in P.pack(spark, spark.createDataFrame(rows, "doc_id long, text string"), str(tmp_path)).collect():
+        seqs[r.sequence_id].append((r.offset, r.length))
+    assert Counter(n for v in seqs.values() for _, n in v) == Counter(h)
+    for v in seqs.values():
+        assert all(o + n == p for (o, n), (p, _) in zip(sorted(v), [*sorted(v)[1:], (sum(n for _, n in v), 0)])) and sum(n for _, n in v) <= 2048
+    assert len(seqs) == packing.lower_bound(h)
+
+
 def test_filters_keep_clashing_columns_null_ids_and_empty_tables(spark, tmp_path):
     import corpus_pipeline as P
 

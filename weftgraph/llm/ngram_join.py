@@ -388,7 +388,7 @@ def _hot_pairs(batches: Iterator[pa.RecordBatch], parts: int, percent: int) -> I
 def candidates(docs: DataFrame, rank: Broadcast, parts: int, width: int = WIDTH, percent: int = PERCENT, hot: int = HOT) -> DataFrame:
     """(a, b, cell): keys (the first 8 bytes of the digests) of class pairs that pass the filters of the first order, and the leader of b."""
     posts = prefix_postings(docs, rank, parts, width, percent)
-    found = cut(posts.repartition(parts, "part").mapInArrow(lambda x: _pairs(x, parts, percent, hot), PAIRS))
+    found = cut(posts.repartitionById(parts, "part").mapInArrow(lambda x: _pairs(x, parts, percent, hot), PAIRS))
     release(docs)
     split = found.where("token IS NOT NULL").repartition(parts, F.xxhash64("token", "left", "right")).mapInArrow(lambda x: _hot_pairs(x, parts, percent), PAIRS)
     pairs = found.where("token IS NULL").unionByName(split).select("a", "b").repartition(parts, "b").groupBy("b", "a").agg(F.lit(1).alias("one"))
