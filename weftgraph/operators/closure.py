@@ -163,16 +163,39 @@ def type_closure(types: DataFrame, triples: DataFrame, axioms: DataFrame) -> Dat
 
 
 def triple_closure(triples: DataFrame, axioms: DataFrame) -> DataFrame:
-    """Realised triples: sub-relations, inverses, symmetry and transitivity to a fix-point."""
-    rel = relation_closure(axioms)
-    trans = axioms.where("kind = 'transitive'").select(F.col("s").alias("k")).distinct()
-    done = cut(triples.select(*HRT).distinct())
-    n = done.count()
+    """Realised triples: sub-relations, inverses, symmetry and transitivity to a fix-point.
+
+    ``rel`` is closed, so it is applied once to what is given. Only transitive relations need rounds: each joins the new
+    triples of these relations with all of them, and keeps what is new alone.
+    """
+    rel = cut(relation_closure(axioms).withColumnRenamed("s", "r"))
+    trans = [x[0] for x in axioms.where("kind = 'transitive'").select("s").distinct().collect()]  # relations of an ontology
+
+    def implied(t: DataFrame) -> DataFrame:
+        j = t.join(rel, "r")
+        return j.select(F.when(F.col("s_inv"), F.col("t")).otherwise(F.col("h")).alias("h"), F.col("o").alias("r"), F.when(F.col("s_inv"), F.col("h")).otherwise(F.col("t")).alias("t"))
+
+    done = triples.select(*HRT).unionByName(implied(triples.select(*HRT))).distinct()
+    if not trans:
+        return done
+    fed = sorted({*trans, *(x[0] for x in rel.where(F.col("r").isin(trans)).select("o").distinct().collect())})  # relations that rounds can add to
+    into = rel.where(F.col("o").isin(fed))
+    sources = sorted({*fed, *(x[0] for x in into.select("r").distinct().collect())})
+    given = triples.select(*HRT).where(F.col("r").isin(sources))
+    known = delta = cut(given.unionByName(implied(given)).where(F.col("r").isin(fed)).distinct())
+    added = None
     while True:
-        j = done.join(rel.withColumnRenamed("s", "r"), "r")
-        up = j.select(F.when(F.col("s_inv"), F.col("t")).otherwise(F.col("h")).alias("h"), F.col("o").alias("r"), F.when(F.col("s_inv"), F.col("h")).otherwise(F.col("t")).alias("t"))
-        done = cut(done.unionByName(up).unionByName(by_transitivity(done, trans)).distinct())
-        m = done.count()
-        if m == n:
-            return done
-        n = m
+        x, d = known.where(F.col("r").isin(trans)), delta.where(F.col("r").isin(trans))
+        hop = _hop(d, x) if delta is known else _hop(d, x).unionByName(_hop(x, d))
+        delta = cut(difference(hop.unionByName(implied(hop)).distinct(), known))
+        if delta.isEmpty():
+            break
+        known = known.unionByName(delta)
+        added = delta if added is None else added.unionByName(delta)
+    return done if added is None else done.unionByName(added)
+
+
+def _hop(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(x, r, z) for (x, r, y) of ``a`` and (y, r, z) of ``b``."""
+    n = b.select(F.col("h").alias("t"), "r", F.col("t").alias("z"))
+    return a.join(n, ["r", "t"]).select("h", "r", F.col("z").alias("t"))
