@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from ..model import HRT, Graph
+from ..plans.checkpoints import mark, release_since
 from ..plans.scan import scan_relations
 
 
@@ -20,9 +21,10 @@ def scan_stream(stream: DataFrame, g: Callable[[], Graph], write: Callable[[Data
     """
 
     def batch(new: DataFrame, number: int) -> None:
-        now = g()
+        now, at = g(), mark()
         rows = Graph(now.triples.select(*HRT).unionByName(new.select(*HRT)), now.types, now.triples, now.patterns)
         write(scan_relations(rows).where("is_new").select(*HRT, "is_valid", "pattern"), number)
+        release_since(new.sparkSession, at)
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
