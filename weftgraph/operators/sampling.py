@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..model import HRT
+from ..model import HRT, triple_set
 from ..plans.checkpoints import cut
 from .rules import functionality
 
@@ -115,14 +115,14 @@ def inductive_drop(t: DataFrame, share: float, seed: int = 0, min_triples: int =
 
     Candidates that would leave a neighbour alone give way; relations that would starve keep all their triples.
     """
-    t = cut(t.select(*HRT).distinct())
-    e = cut(t.select(F.col("h").alias("a"), F.col("t").alias("b")).unionByName(t.select(F.col("t").alias("a"), F.col("h").alias("b"))).where("a <> b").distinct())
-    pick = e.select("a").distinct().where(draw(seed, "a") < share)
-    kept_degree = e.join(pick.select(F.col("a").alias("b")), "b", "left_anti").groupBy("a").agg(F.count("*").alias("n"))
-    lonely = e.select("a").distinct().join(kept_degree, "a", "left_anti").join(pick, "a", "left_anti")
-    risky = e.join(lonely.select(F.col("a")), "a", "left_semi").select(F.col("b").alias("a")).distinct()
-    pick = cut(pick.join(risky, "a", "left_anti"))
-    hit = lambda c: t.join(pick.select(F.col("a").alias(c)), c, "left_semi").select(*HRT)
+    t = cut(triple_set(t))
+    e = t.select(F.col("h").alias("a"), F.col("t").alias("b")).unionByName(t.select(F.col("t").alias("a"), F.col("h").alias("b"))).where("a <> b")
+    drawn = lambda c: draw(seed, c) < share
+    near = e.groupBy("a").agg(F.bool_or(~drawn("b")).alias("kept"))  # the draw of an end is known from its name
+    lonely = cut(near.where(~F.col("kept") & ~drawn("a")).select("a"))
+    risky = cut(e.join(lonely, "a", "left_semi").select(F.col("b").alias("a")).distinct())
+    pick = cut(near.where(drawn("a")).select("a").join(risky, "a", "left_anti"))
+    hit = lambda c: t.where(drawn(c)).join(pick.select(F.col("a").alias(c)), c, "left_semi").select(*HRT)
     lost = cut(hit("h").unionByName(hit("t")).distinct())
     starve = lost.groupBy("r").agg(F.count("*").alias("x")).join(t.groupBy("r").agg(F.count("*").alias("n")), "r").where(F.col("n") - F.col("x") < min_triples).select("r")
     bad = lost.join(starve, "r", "left_semi")
