@@ -101,7 +101,8 @@ def fill_types(types: DataFrame, t: DataFrame, domain: DataFrame, range_: DataFr
     """Types (ent, cls) for untyped entities: the first class of a domain or range that their triples imply."""
     d = t.join(domain.select(F.col("k").alias("r"), F.col("v").alias("cls")), "r").select(F.col("h").alias("ent"), "cls")
     r = t.join(range_.select(F.col("k").alias("r"), F.col("v").alias("cls")), "r").select(F.col("t").alias("ent"), "cls")
-    return d.unionByName(r).join(types.select("ent").distinct(), "ent", "left_anti").groupBy("ent").agg(F.min("cls").alias("cls"))
+    first = d.unionByName(r).distinct().groupBy("ent").agg(F.min("cls").alias("cls"))  # the least of a text sorts its rows, so they are made few first
+    return first.join(types.select("ent").distinct(), "ent", "left_anti")
 
 
 def fill_constraints(rels: DataFrame, table: DataFrame, prefix: str) -> DataFrame:
